@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import chats, rules, secrets, shards, urls
+from inkwell.llm import bpe, chats, jaccard, quality, rules, secrets, shards, urls
 from inkwell.llm.common import read
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.documents_sharded(read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.documents_scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.documents_scanned(read(spark, sf_dir, "documents"))
 
@@ -22,6 +30,10 @@ def op6_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.formatted(read(spark, sf_dir, "conversations"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(read(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -31,9 +43,12 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op2_shards": op2_shards,
+    "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
     "op6_chats": op6_chats,
+    "op8_jaccard": op8_jaccard,
     "op9_urls": op9_urls,
     "op10_rules": op10_rules,
 }
