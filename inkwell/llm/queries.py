@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, chats, jaccard, quality, rules, secrets, shards, urls
+from inkwell.llm import bpe, chats, decontaminate, jaccard, pii, quality, rules, secrets, shards, urls
 from inkwell.llm.common import read
 
 
@@ -26,10 +26,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.documents_scanned(read(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.documents_searched(read(spark, sf_dir, "documents"))
+
+
 def op6_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.formatted(read(spark, sf_dir, "conversations"))
 
 
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(read(spark, sf_dir, "documents"))
 
@@ -47,7 +55,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shards": op2_shards,
     "op3_quality": op3_quality,
     "op4_secrets": op4_secrets,
+    "op5_pii": op5_pii,
     "op6_chats": op6_chats,
+    "op7_leaks": op7_leaks,
     "op8_jaccard": op8_jaccard,
     "op9_urls": op9_urls,
     "op10_rules": op10_rules,

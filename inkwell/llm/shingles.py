@@ -36,16 +36,22 @@ class Words(NamedTuple):
     count: np.ndarray
 
 
-def words_of(texts: pa.Array, lower: bool = True) -> Words:
-    """Words are maximal runs of bytes other than the spaces; A-Z count as a-z. A null text has no words."""
+def words_of(texts: pa.Array, lower: bool = True, parts=None) -> Words:
+    """Words are maximal runs of bytes other than the spaces; A-Z count as a-z. A null text has no words.
+
+    parts: a function of the bytes, giving those that count as theirs (lower case) and which of them are inside words.
+    """
     texts = texts.cast(pa.large_string())
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8) if n and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     data = raw[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    data = _LOWER[data] if lower else data
-    inside = ~_SPACE[data]
+    if parts:
+        data, inside = parts(data)
+    else:
+        data = _LOWER[data] if lower else data
+        inside = ~_SPACE[data]
     if texts.null_count:  # what lies under a null doesn't count
         for i in np.flatnonzero(np.asarray(texts.is_null())):
             inside[offsets[i] : offsets[i + 1]] = False
