@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import materialise
-from inkwell.llm.shingles import mixed, windows, words_of
+from inkwell.llm.shingles import slices, windows, words_of
 
 WINDOW, SHARE = 8, 0.5
 #: The filter of benchmark windows has so many bits at most, 16 MB.
@@ -118,15 +118,16 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            t = Templates(batch.column("text"))
-            for size in sorted({min(window, n) for n in t.count.tolist()} - {0}):
-                runs, good = t.windows(size)
-                which = np.flatnonzero(good)
-                owner = np.searchsorted(t.first, which, "right") - 1
-                mine = np.minimum(t.count[owner], window) == size
-                owner, columns = _rows(t, which[mine], runs, size)
-                total = np.bincount(owner, minlength=len(t.first))
-                yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(owner)), pa.array(total[owner]), *columns], ["item_id", "n", "size", "pos", "hash", "slots"])
+            for begin, texts in slices(batch.column("text")):
+                t = Templates(texts)
+                for size in sorted({min(window, n) for n in t.count.tolist()} - {0}):
+                    runs, good = t.windows(size)
+                    which = np.flatnonzero(good)
+                    owner = np.searchsorted(t.first, which, "right") - 1
+                    mine = np.minimum(t.count[owner], window) == size
+                    owner, columns = _rows(t, which[mine], runs, size)
+                    total = np.bincount(owner, minlength=len(t.first))
+                    yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(owner + begin)), pa.array(total[owner]), *columns], ["item_id", "n", "size", "pos", "hash", "slots"])
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null").mapInArrow(run, f"item_id long, n long, {_FOUND}")
 
@@ -138,13 +139,14 @@ def document_windows(docs: DataFrame, bits: bytes, n_bits: int, sizes: list[int]
     def run(batches):
         table = np.frombuffer(shipped.value, np.uint8)
         for batch in batches:
-            t = Templates(batch.column("text"))
-            for size in sizes:
-                runs, good = t.windows(size)
-                place = (runs >> np.uint64(64 - n_bits)).astype(np.int64)
-                which = np.flatnonzero(good & ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool))
-                owner, columns = _rows(t, which, runs, size)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), *columns], ["doc_id", "size", "pos", "hash", "slots"])
+            for begin, texts in slices(batch.column("text")):
+                t = Templates(texts)
+                for size in sizes:
+                    runs, good = t.windows(size)
+                    place = (runs >> np.uint64(64 - n_bits)).astype(np.int64)
+                    which = np.flatnonzero(good & ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool))
+                    owner, columns = _rows(t, which, runs, size)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner + begin)), *columns], ["doc_id", "size", "pos", "hash", "slots"])
 
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {_FOUND}")
 

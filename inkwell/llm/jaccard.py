@@ -79,10 +79,10 @@ def digests(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column("text"), size)
-            f1 = np.array([np.add.reduce(mixed(s)) if len(s) else 0 for s in sets], np.uint64)
-            f2 = np.array([np.add.reduce(mixed(s ^ _U(0x5851F42D4C957F2D))) if len(s) else 0 for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], ["doc_id", "n_shingles", "f1", "f2"])
+            n, f1, f2 = (np.zeros(batch.num_rows, k) for k in (np.int64, np.uint64, np.uint64))
+            for i, s in enumerate(shingle_sets(batch.column("text"), size)):
+                n[i], f1[i], f2[i] = len(s), np.add.reduce(mixed(s)), np.add.reduce(mixed(s ^ _U(0x5851F42D4C957F2D)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], ["doc_id", "n_shingles", "f1", "f2"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
 
@@ -93,32 +93,33 @@ def signature_rows(docs: DataFrame, heavy: dict[int, int], size: int = WORDS, pe
     def run(batches):
         bands = Bands(percent)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            sets = shingle_sets(batch.column("text"), size)
-            found = []
-            for i, s in zip(ids, sets, strict=True):
-                if heavy and len(s):
-                    f1 = int(np.add.reduce(mixed(s)).view(np.int64))
-                    if heavy.get(f1, i) != i:
-                        s = s[:0]
+            found, owners, held = [], [], 0
+            for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), size), strict=True):
+                if heavy and len(s) and heavy.get(int(np.add.reduce(mixed(s)).view(np.int64)), i) != i:
+                    continue
                 found.append(signatures(s, bands))
-            counts = [len(f) for f in found]
-            sig = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            rows = pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), counts))], ["sig", "doc_id"])
-            for at in range(0, len(sig), 1 << 16):
-                yield rows.slice(at, 1 << 16)
+                owners.append(i)
+                held += len(found[-1])
+                if held >= 1 << 16:
+                    yield _rows(found, owners)
+                    found, owners, held = [], [], 0
+            yield _rows(found, owners)
 
     return docs.filter("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "sig long, doc_id long")
 
 
+def _rows(found: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+    sig = np.concatenate([np.zeros(0, np.uint64), *found])
+    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), [len(f) for f in found]))], ["sig", "doc_id"])
+
+
 def linked(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose texts link, by their whole sets. Joins by id; a hot a is split by Spark's skew handling."""
 
     def run(batches):
         for batch in batches:
-            left, right = shingle_sets(batch.column("ta"), size), shingle_sets(batch.column("tb"), size)
             good = []
-            for x, y in zip(left, right, strict=True):
+            for x, y in zip(shingle_sets(batch.column("ta"), size), shingle_sets(batch.column("tb"), size), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -65,13 +66,52 @@ def words_of(texts: pa.Array, lower: bool = True, parts=None) -> Words:
     count = np.diff(np.append(first, len(begins)))
     if not len(begins):
         return Words(data, np.zeros(0, np.uint64), begins, ends, first, count)
-    sizes = ends - begins
-    powers = np.cumprod(np.full(int(sizes.max()) + 1, _BASE))
-    flat = np.repeat(begins - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
-    place = flat - np.repeat(begins, sizes)
-    terms = (data[flat].astype(np.uint64) + _U(1)) * powers[place]
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    return Words(data, mixed(np.add.reduceat(terms, starts) + sizes.astype(np.uint64) * _STEP), begins, ends, first, count)
+    return Words(data, _hashed(data, begins, ends), begins, ends, first, count)
+
+
+#: Powers of the base and of its inverse modulo 2^64, made once.
+BLOCK = 1 << 18
+_POWERS = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(BLOCK, _BASE))))
+_INVERSE = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(BLOCK, _U(pow(int(_BASE), -1, 1 << 64))))))
+
+
+def _hashed(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomial hash of each word, from prefix sums over blocks of bytes; a word longer than a block is summed block by block."""
+    out = np.zeros(len(begins), np.uint64)
+    at = 0
+    while at < len(begins):
+        low = int(begins[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
+        high = int(ends[to - 1])
+        if high - low <= BLOCK:
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum((data[low:high].astype(np.uint64) + _U(1)) * _POWERS[: high - low], out=sums[1:])
+            b = begins[at:to] - low
+            out[at:to] = (sums[ends[at:to] - low] - sums[b]) * _INVERSE[b]
+        else:
+            whole, power, wrap = 0, 1, (1 << 64) - 1
+            for k in range(low, high, BLOCK):
+                part = data[k : min(high, k + BLOCK)].astype(np.uint64) + _U(1)
+                whole = whole + int(np.add.reduce(part * _POWERS[: len(part)])) * power & wrap
+                power = power * int(_POWERS[BLOCK]) & wrap
+            out[at] = whole
+        at = to
+    return mixed(out + (ends - begins).astype(np.uint64) * _STEP)
+
+
+def slices(texts: pa.Array, most: int = 1 << 21) -> list[tuple[int, pa.Array]]:
+    """A batch in runs of texts of about `most` bytes, each with the place where it begins; bounds what a worker holds."""
+    texts = texts.cast(pa.large_string())
+    n = len(texts)
+    if not n:
+        return [(0, texts)]
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    out, at = [], 0
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
+        out.append((at, texts.slice(at, to - at)))
+        at = to
+    return out
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -84,13 +124,13 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed(out + _U(size))
 
 
-def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each text; of a text with fewer words, one of them all; without words, none."""
-    words = words_of(texts)
-    runs, out = windows(words.hashes, size), []
-    for at, n in zip(words.first.tolist(), words.count.tolist(), strict=True):
-        if n >= size:
-            out.append(np.unique(runs[at : at + n - size + 1]))
-        else:
-            out.append(windows(words.hashes[at : at + n], n) if n else np.zeros(0, np.uint64))
-    return out
+    for _, some in slices(texts):
+        words = words_of(some)
+        runs = windows(words.hashes, size)
+        for at, n in zip(words.first.tolist(), words.count.tolist(), strict=True):
+            if n >= size:
+                yield np.unique(runs[at : at + n - size + 1])
+            else:
+                yield windows(words.hashes[at : at + n], n) if n else np.zeros(0, np.uint64)
