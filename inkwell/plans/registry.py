@@ -1,26 +1,47 @@
-"""Every query of the library, by name, with its SQL."""
+"""Every query of the library, by name, with its SQL where there is one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
-def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and characters by language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
 
+class Tables:
+    """The tables of a folder, each read when asked for."""
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"language_profile": language_profile}
-_SQL: dict[str, str] = {"language_profile": "select lang, count(*) as n_docs, sum(length(text))::bigint as n_chars from documents group by lang"}
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+
+def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    """Registers a function of the tables under its own name."""
+
+    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from inkwell.plans import relations, scalars, sequences  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
