@@ -96,7 +96,7 @@ def character_indent_twips(indent: Column, half_points: Column) -> Column:
 
 
 def clamped_twips(value: Column, low: int, high: int, fallback: int) -> Column:
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), F.nullif(value, F.lit(0)))), F.lit(fallback))
+    return F.when(value == 0, F.lit(fallback)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def legacy_indent_hundredths(value: Column) -> Column:

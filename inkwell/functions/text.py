@@ -13,6 +13,11 @@ WIDE_CJK, WIDE_HANGUL, WIDE_KANA = r"\u4E00-\u9FFF\u3400-\u4DBF\uF900-\uFAFF", r
 MOST_VISIBLE = 256
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value evaluated once, and in code of its own."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def count_class(text: Column, inside: str) -> Column:
     """How many characters are in a class."""
     return F.regexp_count(text, F.lit(f"[{inside}]"))

@@ -62,7 +62,7 @@ def inferred_indent(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey").join(m.mode(seen, ["c_custkey"], "v", "indent"), "c_custkey", "left").select("c_custkey", F.coalesce("indent", F.lit(200)).alias("indent"))
 
 
-_WIDTHS = "(select l_orderkey, list(case when l_partkey % 3 = 0 then 0 else l_partkey end order by l_linenumber) as w from lineitem group by l_orderkey)"
+_WIDTHS = "(select l_orderkey, list(case when l_partkey % 3 = 0 then 0 else l_partkey end order by l_linenumber, case when l_partkey % 3 = 0 then 0 else l_partkey end) as w from lineitem group by l_orderkey)"
 
 
 @query(f"""select k, w[1:2] as widths from (select l_orderkey % 50 as k, w, row_number() over (partition by l_orderkey % 50 order by len(list_filter(w[1:2], lambda x: x > 0)) desc, list_sum(w[1:2]) desc, l_orderkey) as rn from {_WIDTHS} where len(w) >= 2 and len(list_filter(w[1:2], lambda x: x > 0)) > 0) where rn = 1""")

@@ -78,7 +78,7 @@ def utf16_units(t: Tables) -> DataFrame:
 @query("""select doc_id, 2 * (length(s) - length(replace(s, '#', ''))) > length(s) or length(s) = 0 as garbled from (select doc_id, case doc_id % 4 when 0 then '' when 1 then '##' || substr(text, 1, 3) when 2 then '###' || substr(text, 1, 1) else text end as s from documents)""")
 def garbled_text(t: Tables) -> DataFrame:
     s = F.expr("case doc_id % 4 when 0 then '' when 1 then concat('##', substr(text, 1, 3)) when 2 then concat('###', substr(text, 1, 1)) else text end")
-    return t.documents.select("doc_id", text.garbled(F.translate(s, "#", "\x00")).alias("garbled"))
+    return t.documents.select("doc_id", text.garbled(F.regexp_replace(s, "#", "\x00")).alias("garbled"))
 
 
 @query(f"""select event_id, upper(regexp_extract(trim(code), '^(\\w+)', 1)) as name, regexp_extract(trim(code), '^(\\w+)\\s*(.*)$', 2) as arguments from (select event_id, {_CODE_SQL} as code from events)""")

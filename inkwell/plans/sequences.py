@@ -164,7 +164,7 @@ def filled_forward(t: Tables) -> DataFrame:
     return seq.carried(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderkey"], F.expr("case when o_orderkey % 4 = 0 then o_totalprice end"), "filled").select("o_custkey", "o_orderkey", "filled")
 
 
-@query("""select l_orderkey, string_agg(l_returnflag || l_linenumber, '' order by l_linenumber) as text from lineitem group by l_orderkey""")
+@query("""select l_orderkey, string_agg(l_returnflag || l_linenumber, '' order by l_linenumber, l_returnflag) as text from lineitem group by l_orderkey""")
 def ordered_concat(t: Tables) -> DataFrame:
     rows = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("r"))
     return rows.select("l_orderkey", F.array_join(F.transform("r", lambda x: F.concat(x["l_returnflag"], x["l_linenumber"].cast("string"))), "").alias("text"))
