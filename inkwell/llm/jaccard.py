@@ -14,6 +14,7 @@ from inkwell.llm.shingles import mixed, shingle_sets
 WORDS, PERCENT = 4, 85
 #: A set of copies of more than this share of all rows emits signatures only once; there are at most as many such sets.
 HEAVY_SETS = 10_000
+PARTS = 64
 _U = np.uint64
 
 
@@ -75,16 +76,19 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def digests(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and the set's 128-bit digest (f1, f2)."""
+    """doc_id, n_shingles, the set's 128-bit digest (f1, f2) and its profile: how many shingles fall into each of PARTS classes, 255 at most."""
 
     def run(batches):
         for batch in batches:
             n, f1, f2 = (np.zeros(batch.num_rows, k) for k in (np.int64, np.uint64, np.uint64))
+            profiles = []
             for i, s in enumerate(shingle_sets(batch.column("text"), size)):
-                n[i], f1[i], f2[i] = len(s), np.add.reduce(mixed(s)), np.add.reduce(mixed(s ^ _U(0x5851F42D4C957F2D)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], ["doc_id", "n_shingles", "f1", "f2"])
+                spread = mixed(s)
+                n[i], f1[i], f2[i] = len(s), np.add.reduce(spread), np.add.reduce(mixed(s ^ _U(0x5851F42D4C957F2D)))
+                profiles.append(np.minimum(np.bincount((spread & _U(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(profiles, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "profile"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, profile binary")
 
 
 def signature_rows(docs: DataFrame, heavy: dict[int, int], size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -113,6 +117,23 @@ def _rows(found: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), [len(f) for f in found]))], ["sig", "doc_id"])
 
 
+def near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by their profiles: sets differ in at least as many shingles as their profiles do."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("pa", "pb"))
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            good = (100 + percent) * np.abs(a - b).sum(axis=1) <= (100 - percent) * total
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    one = lambda k: profiles.select(F.col("rep").alias(k), F.col("profile").alias(f"p{k}"), F.col("n_shingles").alias(f"n{k}"))
+    sized = pairs.join(one("a"), "a").join(one("b"), "b").filter(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)")
+    return sized.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a long, b long")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose texts link, by their whole sets. Joins by id; a hot a is split by Spark's skew handling."""
 
@@ -155,10 +176,11 @@ def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     """doc_id, n_shingles, component_id of every row of docs.
 
     Documents with equal sets are one class, held by the least doc_id. Documents of different sets become candidates by a
-    common signature; candidates are checked by their whole sets, in three rounds that leave no candidate pair of different
-    components unchecked: each document against the least document that it shares a bucket with; then against the first of
-    each of its buckets, where components still differ; then, in the buckets that still hold several components, the pairs
-    across these. Pairs within a component need no check, so a bucket of near copies never becomes all its pairs.
+    common signature. What sizes and profiles don't rule out is checked by the whole sets, in three rounds that leave no two
+    documents of one bucket in different components unchecked: each class against the least one that it shares a bucket
+    with; then against the least one of each of its buckets, where components still differ; then, in the buckets that
+    still hold several components, all pairs across these. Pairs within a component need no check, so that a bucket of near copies
+    never becomes all its pairs.
 
     A null text and one without words have no shingles and stand alone. Rows with the same doc_id are one document, with
     the links of all of them. A null doc_id has no links and a null component_id. An empty table stays empty.
@@ -169,46 +191,50 @@ def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     classes = materialise(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     total = own.count()
     heavy = {r.f1: r.rep for r in classes.filter(F.col("n") > max(64, total // HEAVY_SETS)).select("f1", "rep").collect()}
-    members = materialise(usable.join(classes, ["f1", "f2"]).select("doc_id", "rep", "n_shingles"))
+    members = materialise(usable.join(classes, ["f1", "f2"]).select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("profile")).alias("profile")))
+    profiles = materialise(members.filter("profile is not null").dropDuplicates(["rep"]).select("rep", "n_shingles", "profile"))
+    placed = members.select("doc_id", "rep").distinct()
 
     bucket = Window.partitionBy("sig")
     rows = signature_rows(docs, heavy, size, percent)
-    buckets = materialise(rows.withColumn("lead", F.min("doc_id").over(bucket)).withColumn("last", F.max("doc_id").over(bucket)).filter("lead <> last").select("sig", "doc_id", "lead"))
-    sized = members.select("doc_id", "rep", "n_shingles").distinct()
-    left, right = (sized.select(F.col("doc_id").alias(k), F.col("rep").alias(f"{k}_rep"), F.col("n_shingles").alias(f"{k}_n")) for k in ("x", "y"))
+    least, greatest, many = F.min("doc_id").over(bucket), F.max("doc_id").over(bucket), F.count(F.lit(1)).over(bucket)
+    buckets = materialise(rows.select("sig", "doc_id", least.alias("lead"), greatest.alias("last"), (many > 2).alias("many")).filter("lead <> last").drop("last"))
+    met = materialise(buckets.filter("doc_id <> lead").groupBy("doc_id", "lead").agg(F.max("many").alias("many")))
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs of documents (x, y) as pairs of classes (a, b), a < b, that their sizes let link."""
-        known = pairs.join(left, "x").join(right, "y").filter(f"x_rep <> y_rep and {percent} * greatest(x_n, y_n) <= 100 * least(x_n, y_n)")
+    def classed(pairs: DataFrame) -> DataFrame:
+        """Pairs of documents (x, y) as pairs of different classes (a, b), a < b."""
+        known = pairs.join(placed.select(F.col("doc_id").alias("x"), F.col("rep").alias("x_rep")), "x").join(placed.select(F.col("doc_id").alias("y"), F.col("rep").alias("y_rep")), "y").filter("x_rep <> y_rep")
         return known.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
-    pairs = materialise(candidates(buckets.filter("doc_id <> lead").select(F.col("doc_id").alias("x"), F.col("lead").alias("y")).distinct()))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(docs.join(wanted, "doc_id", "left_semi"))
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        return docs.join(wanted, "doc_id", "left_semi")
+
+    pairs = materialise(near(classed(met.select(F.col("doc_id").alias("x"), F.col("lead").alias("y"))), profiles, percent))
+    texts = materialise(texts_of(pairs))
     several = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).filter("b <> top")
     links = members.join(several, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b")
     links = materialise(links.union(linked(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, size, percent)))
 
     labels = materialise(components(links))
     label = lambda df, key, name: df.join(labels.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
-    open_pairs = materialise(label(label(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b"))
-    if open_pairs.limit(1).count():
-        links = materialise(links.union(linked(open_pairs, texts, size, percent)))
+    apart = materialise(label(label(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b"))
+    if apart.limit(1).count():
+        links = materialise(links.union(linked(apart, texts, size, percent)))
         labels = materialise(components(links))
-        placed = label(sized.select("doc_id", F.col("rep")), "rep", "c").select("doc_id", "c")
-        lead = placed.select(F.col("doc_id").alias("lead"), F.col("c").alias("lead_c"))
-        apart = label(label(open_pairs, "a", "ca"), "b", "cb").filter("ca <> cb")
-        apart = apart.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        some = sized.join(apart, "rep", "left_semi").select("doc_id").distinct()
-        mixed_up = buckets.join(some, "doc_id", "left_semi").join(placed, "doc_id").join(lead, "lead").filter("c <> lead_c").select("sig").distinct()
-        rest = materialise(buckets.join(mixed_up, "sig", "left_semi").join(placed, "doc_id").select("sig", "doc_id", "c").distinct())
+
+    component = label(placed, "rep", "c").select("doc_id", "c").distinct()
+    lead = component.select(F.col("doc_id").alias("lead"), F.col("c").alias("lead_c"))
+    split = materialise(met.filter("many").join(component, "doc_id").join(lead, "lead").filter("c <> lead_c").select("doc_id", "lead"))
+    if split.limit(1).count():
+        sigs = buckets.filter("many").join(split, ["doc_id", "lead"], "left_semi").select("sig").distinct()
+        rest = materialise(buckets.filter("many and doc_id <> lead").join(sigs, "sig", "left_semi").join(component, "doc_id").select("sig", "doc_id", "c").distinct())
         across = rest.select("sig", F.col("doc_id").alias("x"), F.col("c").alias("cx")).join(rest.select("sig", F.col("doc_id").alias("y"), F.col("c").alias("cy")), "sig").filter("cx < cy")
-        more = materialise(candidates(across.select("x", "y").distinct()).join(pairs, ["a", "b"], "left_anti"))
+        more = materialise(near(classed(across.select("x", "y").distinct()).join(pairs, ["a", "b"], "left_anti"), profiles, percent))
         if more.limit(1).count():
-            wanted = more.select(F.col("a").alias("doc_id")).union(more.select(F.col("b").alias("doc_id"))).distinct()
-            links = materialise(links.union(linked(more, docs.join(wanted, "doc_id", "left_semi"), size, percent)))
+            links = materialise(links.union(linked(more, texts_of(more), size, percent)))
             labels = materialise(components(links))
-    own_label = label(members.select("doc_id", "rep").distinct(), "rep", "component").groupBy("doc_id").agg(F.min("component").alias("component"))
+    own_label = label(placed, "rep", "component").groupBy("doc_id").agg(F.min("component").alias("component"))
     return own.join(own_label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
