@@ -217,7 +217,7 @@ class Decoder:
                     begin = at
                 continue
             at += state == 0
-            out.append("�")
+            out.append("\ufffd")
             begin, state = at, 0
         return "".join(out), data[begin:]
 
@@ -248,7 +248,7 @@ class Decoder:
                 text, waits = data[:cut].decode(), data[cut:]
             yield text
         if waits:
-            yield "�"
+            yield "\ufffd"
 
     def decode(self, ids: np.ndarray) -> str:
         return "".join(self.stream(ids[i : i + CHUNK] for i in range(0, len(ids), CHUNK)))
