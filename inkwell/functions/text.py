@@ -44,7 +44,7 @@ def clean_textbox(text: Column) -> Column:
 
 def xml_safe(text: Column) -> Column:
     """What XML allows; U+FFFD becomes a space. Strings here hold whole code points, so no halves of pairs."""
-    return F.regexp_replace(F.translate(text, "�", " "), r"[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "")
+    return F.regexp_replace(F.translate(text, "\ufffd", " "), r"[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "")
 
 
 def comparison_key(text: Column) -> Column:

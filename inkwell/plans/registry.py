@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
 
 
 def _load() -> None:
-    from inkwell.plans import relations, scalars, sequences  # noqa: F401
+    from inkwell.plans import documents, relations, scalars, sequences  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
