@@ -114,7 +114,7 @@ c as (
   from d join s using (r) left join cover using (r)),
 f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from c)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or 100 * n_symbols > 50 * n_words or 100 * n_dup_lines > 60 * n_lines or 100 * n_capitals > 60 * word_chars
+  not (base_failed or 100 * n_symbols > 20 * n_words or 100 * n_dup_lines > 60 * n_lines or 100 * n_capitals > 60 * word_chars
        or coalesce(word_chars / n_words not between 1.5 and 30, false)) as kept
 from f
 """

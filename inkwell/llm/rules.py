@@ -72,7 +72,7 @@ def _symbols(text: Column) -> Column:
 RULES = (
     Rule("few_words", lambda text, parts: F.size(parts) < 10),
     Rule("repeated_windows", lambda text, parts: _share(repeated_words(parts), F.size(parts), 20)),
-    Rule("symbols", lambda text, parts: _share(_symbols(text), F.size(parts), 50)),
+    Rule("symbols", lambda text, parts: _share(_symbols(text), F.size(parts), 20)),
     Rule("repeated_lines", lambda text, parts: let(lines_with_words(text), lambda x: _share(duplicates(x), F.size(x), 60))),
     Rule("capitals", lambda text, parts: _share(F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")), F.length(stripped(text)), 60)),
     Rule("word_length", lambda text, parts: let(F.length(stripped(text)), lambda n: (2 * n < 3 * F.size(parts)) | (n > 30 * F.size(parts)))),
