@@ -104,3 +104,36 @@ def test_registry(spark):
     known = entry.queries()
     assert set(entry.oracle_sql()) <= set(known) and len(known) > 80
     assert entry.entry(spark).count() == 4
+
+
+def test_assignments(spark):
+    from inkwell.operators import assign
+
+    boxes = spark.createDataFrame([("d", 1, 5), ("d", 2, 0), ("e", 1, -1), ("f", 1, 1)], "k string, idx long, para long")
+    shapes = spark.createDataFrame([("d", 1001, 0), ("d", 1002, 5), ("e", 7, -1), ("e", 3, 2)], "k string, shape_id long, para long")
+    got = {(r.k, r.idx): (r.shape_id, r.score) for r in assign.textboxes_to_shapes(boxes, shapes, "k").collect()}
+    assert got == {("d", 1): (1002, 1), ("d", 2): (1001, 1), ("e", 1): (7, 6)}  # the nearest paragraph beats the order of input
+    runs = spark.createDataFrame([("d", 0, 100), ("d", 1, 101), ("d", 2, 0), ("d", 3, 9)], "k string, run_idx long, offset long")
+    images = spark.createDataFrame([("d", 0, 99), ("d", 1, 500), ("d", 2, 0)], "k string, image_idx long, offset long")
+    assert {r.run_idx: r.image_idx for r in assign.runs_to_images(runs, images, "k").collect()} == {0: 0, 1: 1, 2: 2, 3: 0}
+    cells = spark.createDataFrame([("t", 0, 0, 1, 50), ("t", 1, 0, 1, 70), ("t", 1, 1, 3, 101), ("t", 2, 0, 2, 90), ("t", 3, 9, 1, 5), ("u", 0, 0, 5, 10)], "k string, row_idx int, col_idx int, span int, width int")
+    assert {r.k: r.widths for r in assign.column_widths(cells, ["k"], 4).collect()} == {"t": [70, 34, 34, 33], "u": [3, 3, 2, 2]}
+
+
+def test_ingest_and_cli(spark, tmp_path, capsys):
+    from inkwell import cli
+    from inkwell.sinks import packages
+    from inkwell.sources import word
+    from inkwell.streaming.ingest import ingest
+
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    (source / "a.doc").write_bytes(word.encode({"body": "one\rtwo"}))
+    ingest(spark, str(source), out, str(tmp_path / "cp")).awaitTermination()
+    (source / "b.doc").write_bytes(b"broken")
+    ingest(spark, str(source), out, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.status for r in spark.read.parquet(out).collect()) == ["failed", "ok"]
+    assert cli.main([str(tmp_path / "nothing"), out]) == 1
+    assert cli.main([str(source), str(tmp_path / "docx")]) == 2 and "1 of 2 files" in capsys.readouterr().out
+    made = {r.path[-5:]: r for r in spark.read.parquet(str(tmp_path / "docx")).collect()}
+    assert made["b.doc"].error == "CorruptedFile" and packages.faults(bytes(made["a.doc"].docx)) == []
