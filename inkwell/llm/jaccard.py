@@ -155,7 +155,12 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, which never hang more than the edges together, until nothing changes. Each
     step is written to the shared folder.
     """
+    def mark(df: DataFrame) -> tuple:
+        """The number of edges and the sum of their hashes: equal for equal sets of edges."""
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
     edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = mark(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -165,10 +170,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         small = materialise(small.filter("a <> b").distinct())
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        edges, now = small, mark(small)
+        if now == before:
             break
+        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
