@@ -14,7 +14,8 @@ from inkwell.llm.shingles import mixed, shingle_sets
 WORDS, PERCENT = 4, 85
 #: A set of copies of more than this share of all rows emits signatures only once; there are at most as many such sets.
 HEAVY_SETS = 10_000
-PARTS = 64
+#: Bits of the number of classes of a profile, from and to; classes of a bucket that are compared at once.
+LEAST_CLASSES, MOST_CLASSES, BLOCK = 9, 20, 4096
 _U = np.uint64
 
 
@@ -76,7 +77,7 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def digests(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit digest (f1, f2) and its profile: how many shingles fall into each of PARTS classes, 255 at most."""
+    """doc_id, n_shingles, the set's 128-bit digest (f1, f2) and its profile."""
 
     def run(batches):
         for batch in batches:
@@ -85,7 +86,7 @@ def digests(docs: DataFrame, size: int = WORDS) -> DataFrame:
             for i, s in enumerate(shingle_sets(batch.column("text"), size)):
                 spread = mixed(s)
                 n[i], f1[i], f2[i] = len(s), np.add.reduce(spread), np.add.reduce(mixed(s ^ _U(0x5851F42D4C957F2D)))
-                profiles.append(np.minimum(np.bincount((spread & _U(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
+                profiles.append(profile_of(spread))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(profiles, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "profile"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, profile binary")
@@ -117,23 +118,82 @@ def _rows(found: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), [len(f) for f in found]))], ["sig", "doc_id"])
 
 
+def profile_of(spread: np.ndarray) -> bytes:
+    """One bit for each class of hashes: whether an odd number of the set's fall into it; twice as many classes as hashes at least.
+
+    Each hash that only one of two sets has turns one bit, so that sets differ in at least as many as their profiles do. With so
+    many classes few turn back, and most sets that are alike but not enough are told apart without their texts.
+    """
+    classes = 1 << min(MOST_CLASSES, max(LEAST_CLASSES, (2 * len(spread)).bit_length()))
+    return np.packbits(np.bincount((spread & _U(classes - 1)).astype(np.int64), minlength=classes).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(profile: np.ndarray, size: int) -> np.ndarray:
+    """A profile as it would be with fewer classes."""
+    while len(profile) > size:
+        half = len(profile) // 2
+        profile = profile[:half] ^ profile[half:]
+    return profile
+
+
+def apart_by(a: bytes, b: bytes) -> int:
+    """In how many shingles two sets differ at least, by their profiles."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64))
+
+
 def near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that may link by their profiles: sets differ in at least as many shingles as their profiles do."""
+    """The pairs (a, b) that may link by their sizes and profiles."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("pa", "pb"))
-            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            good = (100 + percent) * np.abs(a - b).sum(axis=1) <= (100 - percent) * total
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            most = (100 - percent) * (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) // (100 + percent)
+            good = [apart_by(x, y) <= m for x, y, m in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), most.tolist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     one = lambda k: profiles.select(F.col("rep").alias(k), F.col("profile").alias(f"p{k}"), F.col("n_shingles").alias(f"n{k}"))
     sized = pairs.join(one("a"), "a").join(one("b"), "b").filter(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)")
     return sized.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
+def across(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b), a < b, of classes of one bucket and different components that may link by sizes and profiles.
+
+    rows: sig, rep, c, n_shingles, profile. A bucket is compared where it lies, so that only pairs that pass become rows; one
+    of more than `block` classes is dealt into blocks, and each two blocks are a task's work, at most about twice that.
+    """
+
+    def run(batches):
+        for batch in batches:
+            every = batch.column("all")
+            ends = np.cumsum([len(x) for x in every])
+            flat = every.flatten()
+            rep, c, n = (flat.field(k).to_numpy() for k in ("rep", "c", "n_shingles"))
+            profile = flat.field("profile").to_pylist()
+            least = 1 << LEAST_CLASSES - 3
+            coarse = np.stack([folded(np.frombuffer(p, np.uint8), least) for p in profile]).view(np.uint64) if profile else np.zeros((0, least // 8), np.uint64)
+            begin = 0
+            for end in ends.tolist():
+                for low in range(begin, end, 128):
+                    high = min(end, low + 128)
+                    most = (100 - percent) * (n[low:high, None] + n[None, begin:end]) // (100 + percent)
+                    good = (c[low:high, None] != c[None, begin:end]) & (rep[low:high, None] < rep[None, begin:end]) & (np.abs(n[low:high, None] - n[None, begin:end]) <= most)
+                    i, j = np.nonzero(good)
+                    fits = np.bitwise_count(coarse[low + i] ^ coarse[begin + j]).sum(axis=1) <= most[i, j]
+                    i, j = low + i[fits], begin + j[fits]
+                    fits = [len(profile[x]) == least == len(profile[y]) or apart_by(profile[x], profile[y]) <= m for x, y, m in zip(i.tolist(), j.tolist(), most[i - low, j - begin].tolist(), strict=True)]
+                    if any(fits):
+                        yield pa.RecordBatch.from_arrays([pa.array(rep[i[fits]]), pa.array(rep[j[fits]])], ["a", "b"])
+                begin = end
+
+    many = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("sig")) / block).cast("int")
+    dealt = rows.withColumn("__blocks", many).withColumn("__own", F.expr("cast(pmod(xxhash64(rep), __blocks) as int)"))
+    dealt = dealt.withColumn("__with", F.explode(F.expr("sequence(0, __blocks - 1)")))
+    grouped = dealt.groupBy("sig", F.least("__own", "__with").alias("i"), F.greatest("__own", "__with").alias("j")).agg(F.collect_list(F.struct("rep", "c", "n_shingles", "profile")).alias("all"))
+    return grouped.filter(F.size("all") > 1).select("all").mapInArrow(run, "a long, b long").distinct()
+
+
 def linked(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose texts link, by their whole sets. Joins by id; a hot a is split by Spark's skew handling."""
 
@@ -233,9 +293,9 @@ def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     split = materialise(met.filter("many").join(component, "doc_id").join(lead, "lead").filter("c <> lead_c").select("doc_id", "lead"))
     if split.limit(1).count():
         sigs = buckets.filter("many").join(split, ["doc_id", "lead"], "left_semi").select("sig").distinct()
-        rest = materialise(buckets.filter("many and doc_id <> lead").join(sigs, "sig", "left_semi").join(component, "doc_id").select("sig", "doc_id", "c").distinct())
-        across = rest.select("sig", F.col("doc_id").alias("x"), F.col("c").alias("cx")).join(rest.select("sig", F.col("doc_id").alias("y"), F.col("c").alias("cy")), "sig").filter("cx < cy")
-        more = materialise(near(classed(across.select("x", "y").distinct()).join(pairs, ["a", "b"], "left_anti"), profiles, percent))
+        rest = buckets.filter("many and doc_id <> lead").join(sigs, "sig", "left_semi").join(placed, "doc_id").select("sig", "rep").distinct()
+        rest = label(rest, "rep", "c").join(profiles, "rep")
+        more = materialise(across(rest, percent).join(pairs, ["a", "b"], "left_anti"))
         if more.limit(1).count():
             links = materialise(links.union(linked(more, texts_of(more), size, percent)))
             labels = materialise(components(links))

@@ -217,3 +217,29 @@ def test_quality(spark):
     assert quality.documents_scored(df.limit(0), labels).collect() == []
     flipped = labels.selectExpr("doc_id", "if(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, 1 - quality, quality) as quality")
     assert {(r.doc_id, r.score) for r in quality.documents_scored(df, flipped).collect()} == {(r.doc_id, r.score) for r in got}  # held-out labels teach nothing
+
+
+def test_profiles_never_overstate():
+    rnd = np.random.default_rng(8)
+    for n in (1, 5, 140, 600, 3000):
+        for share in (0.0, 0.05, 0.3, 1.0):
+            pool = rnd.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            a, b = pool[:n], np.concatenate((pool[: n - int(share * n)], pool[n : n + int(share * n)]))[: max(1, n - n // 8)]
+            differ = len(np.setxor1d(a, b))
+            bound = jaccard.apart_by(jaccard.profile_of(a), jaccard.profile_of(b))
+            assert differ * 0.5 - 5 <= bound <= differ
+
+
+def test_blocks_of_a_bucket(spark):
+    rnd = np.random.default_rng(9)
+    base = rnd.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[k % 7 :], rnd.integers(0, 1 << 63, k % 5, dtype=np.uint64)))) for k in range(40)]
+    rows = [(1, i, i % 6, len(s), bytearray(jaccard.profile_of(s))) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "sig long, rep long, c long, n_shingles long, profile binary")
+    found = [{(r.a, r.b) for r in jaccard.across(df, 85, block).collect()} for block in (7, 4096)]
+    assert found[0] == found[1]
+    for i in range(40):
+        for j in range(i + 1, 40):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if i % 6 != j % 6 and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                assert (i, j) in found[0]
