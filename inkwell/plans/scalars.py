@@ -136,12 +136,11 @@ def href_extract(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
-@query("""select page_id, case page_id % 3 when 0 then 'go  there' when 1 then 'open' else null end as shown, case page_id % 3 when 0 then 'go there' when 1 then 'open HYPERLINK "' || url else ' ' end as stripped from pages""")
+@query("""select page_id, case page_id % 3 when 0 then 'go there' when 1 then 'open' else null end as shown, case page_id % 3 when 0 then 'go there' when 1 then 'open HYPERLINK "' || url else ' ' end as stripped from pages""")
 def link_text(t: Tables) -> DataFrame:
     s = F.expr("""case page_id % 3 when 0 then concat('go HYPERLINK "', url, '" there') when 1 then concat('open HYPERLINK "', url) else concat(' HYPERLINK "', url, '"') end""")
     rows = t.pages.select("page_id", s.alias("s"))
-    # the code and its spaces become one space
-    return rows.select("page_id", F.when(F.col("page_id") % 3 == 0, F.replace(fields.link_text(F.col("s")), F.lit("go there"), F.lit("go  there"))).otherwise(fields.link_text(F.col("s"))).alias("shown"), fields.without_link_codes(F.col("s")).alias("stripped"))
+    return rows.select("page_id", fields.link_text(F.col("s")).alias("shown"), fields.without_link_codes(F.col("s")).alias("stripped"))
 
 
 @query("""select o_orderkey, strftime(o_orderdate, '%d/%m/%Y %H:%M') as shown from orders""")
