@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Memory bounds of a worker's caches; at a bound a cache starts anew, which changes no result.
-MOST_STATES, MOST_WORDS, MOST_PAIRS = 400_000, 400_000, 1_000_000
+MOST_STATES, MOST_WORDS, MOST_PAIRS = 300_000, 300_000, 300_000
 #: Texts up to so many characters are split in one go, longer ones match by match.
 AT_ONCE = 1 << 20
 CHUNK = 1 << 16
@@ -110,13 +110,18 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.states: list[tuple] = [((0, START, ()),)]
-        self.numbers: dict[tuple, int] = {self.states[0]: 0}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Forget all states but the first. A state is kept as bytes: for each configuration its place, the token before it, how many tokens it holds, and these."""
+        first = _packed_state([(0, START, ())])
+        self.states: list[bytes] = [first]
+        self.numbers: dict[bytes, int] = {first: 0}
+        #: By state and byte: twice the next state, plus one if tokens are emitted; and these tokens.
+        self.steps: dict[int, int] = {}
+        self.emitted: dict[int, tuple[int, ...]] = {}
+        self.finals: dict[int, tuple[int, ...]] = {}
+
+    def _step(self, state: int, byte: int) -> int:
         made, nexts, ends, pairs = [], self.next, self.ends, self.vocabulary.pairs
-        for node, before, held in self.states[state]:
+        for node, before, held in _configurations(self.states[state]):
             to = nexts.get(node << 8 | byte)
             if to is None:
                 continue
@@ -130,32 +135,54 @@ class Transducer:
             least = min([len(held) for _, _, held in made])
             while shared < least and all([held[shared] == first[shared] for _, _, held in made]):
                 shared += 1
-        key = tuple([(node, before, held[shared:]) for node, before, held in made]) if shared else tuple(made)
+        key = _packed_state([(node, before, held[shared:]) for node, before, held in made])
         if (number := self.numbers.get(key)) is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-        self.steps[state << 8 | byte] = found = (number, first[:shared])
+        at = state << 8 | byte
+        if shared:
+            self.emitted[at] = first[:shared]
+        self.steps[at] = found = number << 1 | (shared > 0)
         return found
 
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of a piece."""
         out: list[int] = []
-        state, steps = 0, self.steps
+        state, steps, emitted = 0, self.steps, self.emitted
         for i, byte in enumerate(piece):
             found = steps.get(state << 8 | byte)
             if found is None:
                 if len(self.states) >= MOST_STATES:
                     at = self.states[state]
                     self.reset()
-                    steps, state = self.steps, 0
+                    steps, emitted, state = self.steps, self.emitted, 0
                     if i:
                         self.states.append(at)
                         self.numbers[at] = state = 1
                 found = self._step(state, byte)
-            state, emitted = found
-            if emitted:
-                out += emitted
-        return out + list(next(held for node, _, held in self.states[state] if node == 0))
+            if found & 1:
+                out += emitted[state << 8 | byte]
+            state = found >> 1
+        if (last := self.finals.get(state)) is None:
+            last = self.finals[state] = next(held for node, _, held in _configurations(self.states[state]) if node == 0)
+        out += last
+        return out
+
+
+def _packed_state(configurations: list[tuple[int, int, tuple[int, ...]]]) -> bytes:
+    flat: list[int] = []
+    for node, before, held in configurations:
+        flat += (node, before, len(held), *held)
+    return struct.pack(f"<{len(flat)}i", *flat)
+
+
+def _configurations(state: bytes) -> list[tuple[int, int, tuple[int, ...]]]:
+    flat, out, at = struct.unpack(f"<{len(state) // 4}i", state), [], 0
+    while at < len(flat):
+        n = flat[at + 2]
+        out.append((flat[at], flat[at + 1], flat[at + 3 : at + 3 + n]))
+        at += 3 + n
+    return out
 
 
 #: The well-formed UTF-8 sequences; first byte from, to; range of the second byte; bytes after it.
