@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.llm.common import WORKER_CACHES
+
 #: Memory bounds of a worker's caches; at a bound a cache starts anew, which changes no result.
 MOST_STATES, MOST_WORDS, MOST_PAIRS = 300_000, 300_000, 300_000
 #: Texts up to so many characters are split in one go, longer ones match by match.
@@ -315,6 +317,7 @@ class Codec:
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
+WORKER_CACHES.append(_CODECS)
 
 
 def codec(path: str, pattern: str) -> Codec:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialise
+from inkwell.llm.common import materialise, release_caches
 from inkwell.llm.shingles import slices, windows, words_of
 
 WINDOW, SHARE = 8, 0.5
@@ -117,6 +117,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, n (windows of the item), size, pos, hash, slots. An item of fewer tokens than a window is one window of its own size."""
 
     def run(batches):
+        release_caches()
         for batch in batches:
             for begin, texts in slices(batch.column("text")):
                 t = Templates(texts)
@@ -137,6 +138,7 @@ def document_windows(docs: DataFrame, bits: bytes, n_bits: int, sizes: list[int]
     shipped = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
+        release_caches()
         table = np.frombuffer(shipped.value, np.uint8)
         for batch in batches:
             for begin, texts in slices(batch.column("text")):

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialise
+from inkwell.llm.common import materialise, release_caches
 from inkwell.llm.shingles import mixed, shingle_sets
 
 WORDS, PERCENT = 4, 85
@@ -80,6 +80,7 @@ def digests(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit digest (f1, f2) and its profile."""
 
     def run(batches):
+        release_caches()
         for batch in batches:
             n, f1, f2 = (np.zeros(batch.num_rows, k) for k in (np.int64, np.uint64, np.uint64))
             profiles = []
@@ -96,6 +97,7 @@ def signature_rows(docs: DataFrame, heavy: dict[int, int], size: int = WORDS, pe
     """sig, doc_id. Of the sets in heavy (first half of the digest: doc_id that stands for it) only that document has rows."""
 
     def run(batches):
+        release_caches()
         bands = Bands(percent)
         for batch in batches:
             found, owners, held = [], [], 0
@@ -147,6 +149,7 @@ def near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that may link by their sizes and profiles."""
 
     def run(batches):
+        release_caches()
         for batch in batches:
             most = (100 - percent) * (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) // (100 + percent)
             good = [apart_by(x, y) <= m for x, y, m in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), most.tolist(), strict=True)]
@@ -165,6 +168,7 @@ def across(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """
 
     def run(batches):
+        release_caches()
         for batch in batches:
             every = batch.column("all")
             ends = np.cumsum([len(x) for x in every])
@@ -198,6 +202,7 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int =
     """The pairs (a, b) whose texts link, by their whole sets. Joins by id; a hot a is split by Spark's skew handling."""
 
     def run(batches):
+        release_caches()
         for batch in batches:
             good = []
             for x, y in zip(shingle_sets(batch.column("ta"), size), shingle_sets(batch.column("tb"), size), strict=True):

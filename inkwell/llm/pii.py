@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialise, span_string
+from inkwell.llm.common import materialise, release_caches, span_string
 
 KINDS = ("email", "ip", "card", "phone", "context")
 #: The base patterns; emails are found from their @, which finds the same matches in one pass.
@@ -102,6 +102,7 @@ def read_texts(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), base, base_sha256 and seen of every row: what one pass over the texts finds."""
 
     def run(batches):
+        release_caches()
         for batch in batches:
             base, sums, seen = [], [], []
             for value in batch.column("text"):
@@ -181,6 +182,7 @@ def masked(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def run(batches):
+        release_caches()
         for batch in batches:
             texts = []
             for value, more in zip(batch.column("text"), batch.column("added"), strict=True):
