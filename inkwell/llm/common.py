@@ -40,17 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back.
-
-    The files outlive lost executors and go when the application ends.
-    """
-    spark = df.sparkSession
+def kept_through(spark: SparkSession, write) -> str:
+    """A new path in the shared folder, after write(path). The files outlive lost executors and go when the application ends."""
     path = f"{shared_dir(spark).rstrip('/')}/inkwell-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write(path)
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
+    return df.sparkSession.read.schema(df.schema).parquet(kept_through(df.sparkSession, df.write.parquet))
 
 
 def let(value: Column, body) -> Column:

@@ -6,8 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from inkwell.llm.common import materialise
+from inkwell.llm.common import kept_through
 
 SHARDS, SEED, BUCKET_BYTES = 16, 20_240_917, 64 << 20
 
@@ -26,35 +27,42 @@ def shuffled(records: DataFrame, identity: list[str], size: str, shards: int = S
     global order, which is cut into even runs. Only bucket counts, a few bytes each, meet in one place.
 
     Nulls count as values of the hash; records equal in every column are interchangeable; an empty table stays empty.
-    Columns named shard or slot give way to the outputs.
+    Columns named shard or slot give way to the outputs. Partitions come out as the buckets, in global order.
+
+    records are read three times, so they must be the same each time; what isn't is to be materialised before.
     """
-    records = materialise(records.drop("shard", "slot"))
+    records = records.drop("shard", "slot")
     total = records.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     buckets = max(shards, math.ceil(total.b / bucket_bytes))
-    dealt = records.select(F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(buckets)).cast("int").alias("__bucket"), F.struct(*[records[c] for c in records.columns]).alias("__record"))
+    dealt = records.select(F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(buckets)).cast("int").alias("__bucket"), F.struct(*identity, *[c for c in records.columns if c not in identity]).alias("__record"))
     begins = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__begin", F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
     begins = begins.select(F.col("__bucket").alias("__b"), F.coalesce("__begin", F.lit(0)).alias("__begin"))
-    order = F.struct(*[F.col("__record")[c].alias(f"k{i}") for i, c in enumerate(identity)], F.col("__record").alias("record"))
-    mixed = dealt.repartitionById(buckets, F.col("__bucket")).groupBy("__bucket").agg(F.sort_array(F.collect_list(order)).alias("__all"))
+    mixed = dealt.repartitionById(buckets, F.col("__bucket")).groupBy("__bucket").agg(F.sort_array(F.collect_list("__record")).alias("__all"))
     mixed = mixed.select("__bucket", F.posexplode(F.shuffle("__all", seed)).alias("__at", "__one"))
-    # one row a bucket, whose number is known here: few beyond doubt below this bound
-    begins = F.broadcast(begins) if buckets <= 100_000 else begins
+    # one row of two numbers a bucket of bucket_bytes
+    begins = F.broadcast(begins)
     position, n = F.col("__begin") + F.col("__at"), F.lit(max(1, total.n))
     shard = F.expr(f"cast((__begin + __at) * {shards} div {max(1, total.n)} as int)")
     placed = mixed.join(begins, F.col("__bucket") == F.col("__b")).withColumn("shard", shard)
     slot = (position - F.expr(f"(cast(shard as bigint) * {max(1, total.n)} + {shards - 1}) div {shards}")).cast("long")
-    return placed.select("__one.record.*", "shard", slot.alias("slot"))
-
-
-def documents_sharded(documents: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of all documents."""
-    rows = documents.select("doc_id", byte_size(documents["text"]).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    out = shuffled(rows, ["doc_id", "text_crc32", "size"], "size")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(*[F.col("__one")[c].alias(c) for c in records.columns], "shard", slot.alias("slot"))
 
 
 def write_shards(records: DataFrame, path: str, text: str = "text", identity: list[str] | None = None, **options) -> None:
-    """Write whole records as one folder of Parquet files per shard, files and rows in slot order."""
+    """Write whole records as one folder of Parquet files per shard, files (by name) and rows in slot order.
+
+    A bucket is a run of slots, so that its task writes it where it was shuffled, without another exchange.
+    """
     size = "__size"
     out = shuffled(records.withColumn(size, byte_size(records[text])), identity or [c for c in records.columns], size, **options).drop(size)
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def documents_sharded(documents: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of all documents, told from the written shards of their whole texts."""
+    spark, records = documents.sparkSession, documents.select("doc_id", "text")
+    path = kept_through(spark, lambda p: write_shards(records, p, identity=["doc_id", "text"]))
+    schema = StructType([*records.schema, StructField("slot", LongType()), StructField("shard", IntegerType())])
+    out = spark.read.schema(schema).parquet(path)
+    digest = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return out.select("doc_id", byte_size(out["text"]).alias("size"), digest, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

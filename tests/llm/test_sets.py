@@ -1,11 +1,14 @@
 """Jaccard join, decontamination, chats, shards, urls, quality: each against a plain version."""
 
 import collections
+import glob
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from inkwell.llm import chats, decontaminate, jaccard, quality, shards, shingles, urls
@@ -172,6 +175,29 @@ def test_write_shards(spark, tmp_path):
     assert back.count() == 100 and {r.shard for r in back.select("shard").distinct().collect()} == set(range(16))
 
 
+def test_shards_hold_whole_texts(spark, monkeypatch):
+    rows = [(i, None if i % 9 == 0 else f"{i} é\n" * (i % 40)) for i in range(600)]
+    written, write = [], shards.write_shards
+
+    def small_buckets(records, path, **options):
+        write(records, path, **options, bucket_bytes=1000)
+        written.append(path)
+
+    monkeypatch.setattr(shards, "write_shards", small_buckets)
+    got = shards.documents_sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    texts = {(r.shard, r.slot): (r.doc_id, r.text) for r in spark.read.parquet(*written).collect()}
+    assert sorted(texts.values()) == sorted(rows, key=lambda r: r[0])
+    told = got.collect()
+    assert len(told) == len(rows)
+    for r in told:
+        i, text = texts[r.shard, r.slot]
+        assert (r.doc_id, r.size, r.text_crc32) == (i, len((text or "").encode()) + 1, zlib.crc32((text or "").encode()))
+    for shard in range(16):  # files by name and rows in slot order
+        files = sorted(glob.glob(f"{written[0].removeprefix('file:')}/shard={shard}/*.parquet"))
+        slots = [x for f in files for x in pq.read_table(f, columns=["slot"], partitioning=None).column(0).to_pylist()]
+        assert slots == list(range(len(slots))) and slots
+
+
 def test_urls(spark):
     rules = [("block", "Example.com", "/en/"), ("allow", "com", "/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
     cases = {
