@@ -86,35 +86,40 @@ class Templates:
         self.template[number], self.template[name], self.template[unit] = NUMBER, NAME, UNIT
         self.literal = ~(number | name | unit)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each window, and whether it counts: within one text, and half of it literal at least."""
-        runs = windows(self.template, size)
+    def windows(self, size: int) -> list[tuple[bool, np.ndarray, np.ndarray]]:
+        """(exact, hash of each window, whether it counts), of templates and of the tokens themselves, whatever their case.
+
+        Windows lie within one text; of templates only those count that are half literal at least.
+        """
         literal = np.concatenate(([0], np.cumsum(self.literal)))
-        counts = 2 * (literal[size:] - literal[:-size]) >= size if len(runs) else np.zeros(0, bool)
-        inside = np.zeros(len(runs), bool)
+        inside = np.zeros(max(0, len(self.value) - size + 1), bool)
         for at, n in zip(self.first.tolist(), self.count.tolist(), strict=True):
             if n >= size:
                 inside[at : at + n - size + 1] = True
-        return runs, counts & inside
+        mostly = 2 * (literal[size:] - literal[:-size]) >= size if len(inside) else inside
+        return [(False, windows(self.template, size), mostly & inside), (True, windows(self.value, size), inside)]
 
     def slots(self, at: np.ndarray, size: int) -> np.ndarray:
         """For each window the values of its placeholders, 0 where a token is literal."""
         return np.where(self.literal, np.uint64(0), self.value | np.uint64(1))[at[:, None] + np.arange(size)]
 
 
-_FOUND = "size int, pos long, hash long, slots array<long>"
+_FOUND = "exact boolean, size int, pos long, hash long, slots array<long>"
 
 
-def _rows(templates: Templates, which: np.ndarray, runs: np.ndarray, size: int) -> tuple[np.ndarray, list[pa.Array]]:
+def _rows(templates: Templates, which: np.ndarray, runs: np.ndarray, size: int, exact: bool) -> tuple[np.ndarray, list[pa.Array]]:
     """The text of each of the windows, and its columns."""
     owner = np.searchsorted(templates.first, which, "right") - 1
     slots = templates.slots(which, size).view(np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * size), pa.array(slots.ravel()))
-    return owner, [pa.array(np.full(len(which), size, np.int32)), pa.array(which - templates.first[owner]), pa.array(runs[which].view(np.int64)), lists]
+    return owner, [pa.array(np.full(len(which), exact)), pa.array(np.full(len(which), size, np.int32)), pa.array(which - templates.first[owner]), pa.array(runs[which].view(np.int64)), lists]
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, n (windows of the item), size, pos, hash, slots. An item of fewer tokens than a window is one window of its own size."""
+    """item_id, n (windows of the item), n_usable (those with a template), usable (whether this is one), exact, size, pos, hash, slots.
+
+    An item of fewer tokens than a window is one window of its own size. Each window has a row of its tokens (exact), and one of its template if that counts.
+    """
 
     def run(batches):
         release_caches()
@@ -122,19 +127,21 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
             for begin, texts in slices(batch.column("text")):
                 t = Templates(texts)
                 for size in sorted({min(window, n) for n in t.count.tolist()} - {0}):
-                    runs, good = t.windows(size)
-                    which = np.flatnonzero(good)
-                    owner = np.searchsorted(t.first, which, "right") - 1
-                    mine = np.minimum(t.count[owner], window) == size
-                    owner, columns = _rows(t, which[mine], runs, size)
-                    total = np.bincount(owner, minlength=len(t.first))
-                    yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(owner + begin)), pa.array(total[owner]), *columns], ["item_id", "n", "size", "pos", "hash", "slots"])
+                    found = t.windows(size)
+                    usable, every = found[0][2], found[1][2]
+                    owners = lambda which: np.searchsorted(t.first, which, "right") - 1
+                    n, n_usable = (np.bincount(owners(np.flatnonzero(x)), minlength=len(t.first)) for x in (every, usable))
+                    for exact, runs, good in found:
+                        which = np.flatnonzero(good)
+                        which = which[np.minimum(t.count[owners(which)], window) == size]
+                        owner, columns = _rows(t, which, runs, size, exact)
+                        yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(owner + begin)), pa.array(n[owner]), pa.array(n_usable[owner]), pa.array(usable[which]), *columns], ["item_id", "n", "n_usable", "usable", "exact", "size", "pos", "hash", "slots"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null").mapInArrow(run, f"item_id long, n long, {_FOUND}")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null").mapInArrow(run, f"item_id long, n long, n_usable long, usable boolean, {_FOUND}")
 
 
 def document_windows(docs: DataFrame, bits: bytes, n_bits: int, sizes: list[int]) -> DataFrame:
-    """doc_id, size, pos, hash, slots of the windows whose hash the filter may hold."""
+    """doc_id, exact, size, pos, hash, slots of the windows whose hash the filter may hold."""
     shipped = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -144,11 +151,11 @@ def document_windows(docs: DataFrame, bits: bytes, n_bits: int, sizes: list[int]
             for begin, texts in slices(batch.column("text")):
                 t = Templates(texts)
                 for size in sizes:
-                    runs, good = t.windows(size)
-                    place = (runs >> np.uint64(64 - n_bits)).astype(np.int64)
-                    which = np.flatnonzero(good & ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool))
-                    owner, columns = _rows(t, which, runs, size)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner + begin)), *columns], ["doc_id", "size", "pos", "hash", "slots"])
+                    for exact, runs, good in t.windows(size):
+                        place = (runs >> np.uint64(64 - n_bits)).astype(np.int64)
+                        which = np.flatnonzero(good & ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool))
+                        owner, columns = _rows(t, which, runs, size, exact)
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner + begin)), *columns], ["doc_id", "exact", "size", "pos", "hash", "slots"])
 
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {_FOUND}")
 
@@ -156,19 +163,23 @@ def document_windows(docs: DataFrame, bits: bytes, n_bits: int, sizes: list[int]
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots, reparameterised: the documents that hold at least share of an item's template windows.
 
-    Windows of templates meet by hash. Those of one document and item with the same shift are an alignment; it counts if each
-    slot value of the item has one value in the document and the other way round, so that a question asked anew with other
-    numbers or names is found, and a text that merely has the same shape isn't. reparameterised: some slot differs.
+    Windows meet by the hash of their tokens, whatever the case (exact copies), and by that of their templates where half of
+    their tokens are literal. Those of one document and item with the same shift are an alignment. Its
+    template windows count if each slot value of the item has one value in the document and the other way round, so that a
+    question asked anew with other numbers or names is found, and a text that merely has the same shape isn't. reparameterised:
+    some slot differs.
+
+    n_windows and coverage are those of all windows or of those with a template, whichever cover more.
 
     Documents are scanned in one pass against a bit filter of the benchmark, of fixed greatest size; only windows that pass are
     shuffled, then joined exactly. Items with the same templates and values count as the least of them. A null text has
     no windows; rows of one doc_id count together; a null doc_id or item_id can't be named and has no row; an empty table on
-    either side gives no row. An item whose windows are all mostly placeholders can't be told from others and isn't searched.
+    either side gives no row. An item whose windows are all mostly placeholders is found only as it is, not with other values.
     """
     items = benchmark_windows(benchmark, window)
-    whole = items.groupBy("item_id").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("pos", "hash", "slots")))).alias("all"))
+    whole = items.groupBy("item_id").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("exact", "pos", "hash", "slots")))).alias("all"))
     firsts = whole.groupBy("all").agg(F.min("item_id").alias("item_id")).select("item_id")
-    items = materialise(items.dropDuplicates(["item_id", "pos"]).join(firsts, "item_id", "left_semi"))
+    items = materialise(items.dropDuplicates(["item_id", "exact", "pos"]).join(firsts, "item_id", "left_semi"))
     total = items.count()
     # 64 bits a window, up to the bound
     n_bits = min(MOST_BITS, max(15, math.ceil(math.log2(64 * max(1, total)))))
@@ -180,19 +191,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     sizes = [r.size for r in items.select("size").distinct().collect()]
     found = document_windows(docs, bytes(table), n_bits, sorted(sizes))
 
-    met = found.alias("d").join(items.alias("i"), ["size", "hash"]).select(
-        "doc_id", "item_id", "n", (F.col("d.pos") - F.col("i.pos")).alias("shift"), F.col("i.pos").alias("pos"), F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots")
+    theirs = F.when(F.col("exact"), F.col("i.slots")).otherwise(F.col("d.slots"))
+    met = found.alias("d").join(items.alias("i"), ["exact", "size", "hash"]).select(
+        "doc_id", "item_id", "n", "n_usable", "usable", "exact", (F.col("d.pos") - F.col("i.pos")).alias("shift"), F.col("i.pos").alias("pos"), F.arrays_zip(F.col("i.slots").alias("a"), theirs.alias("b")).alias("slots")
+    )
+    line = ["doc_id", "item_id", "shift"]
+    met = materialise(met.withColumn("slots", F.array_distinct(F.filter("slots", lambda s: s["a"] != 0))).distinct())
+    slots = met.filter("not exact").groupBy(*line).agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("all"))
+    one = lambda side: F.size(F.array_distinct(F.transform("all", lambda s: s[side]))) == F.size("all")
+    agreed = met.join(slots, line, "left").filter(F.col("exact") | (one("a") & one("b")))
+    lines = agreed.groupBy(*line, "n", "n_usable").agg(
+        F.collect_set("pos").alias("at"), F.collect_set(F.when(F.col("usable"), F.col("pos"))).alias("usable_at"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
-    filled_slots = F.array_distinct(F.filter("slots", lambda s: s["a"] != 0))
-    lines = met.groupBy("doc_id", "item_id", "n", "shift").agg(F.collect_set("pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(filled_slots))).alias("slots"))
-    one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side]))) == F.size("slots")
-    lines = lines.filter(one("a") & one("b"))
-    pairs = lines.groupBy("doc_id", "item_id", "n").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"),
+    every = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    pairs = lines.groupBy("doc_id", "item_id", "n", "n_usable").agg(
+        every("at").alias("n_all"),
+        every("usable_at").alias("n_with_template"),
         F.max(F.size("slots")).cast("long").alias("n_slots"),
         F.min(F.exists("slots", lambda s: s["a"] != s["b"])).alias("reparameterised"),
     )
-    return pairs.withColumn("coverage", F.col("n_windows") / F.col("n")).filter(F.col("coverage") >= share).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "reparameterised")
+    of_all, of_usable = F.col("n_all") / F.col("n"), F.when(F.col("n_usable") > 0, F.col("n_with_template") / F.col("n_usable")).otherwise(0.0)
+    pairs = pairs.withColumn("coverage", F.greatest(of_all, of_usable)).withColumn("n_windows", F.when(of_usable > of_all, F.col("n_with_template")).otherwise(F.col("n_all")))
+    return pairs.filter(F.col("coverage") >= share).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "reparameterised")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -121,6 +121,21 @@ def test_leaks(spark):
     assert decontaminate.leaks(d.limit(0), b).collect() == [] and decontaminate.leaks(d, b.limit(0)).collect() == []
 
 
+def leaks_of(spark, docs, bench):
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    return {(r.doc_id, r.item_id): r for r in found.collect()}
+
+
+def test_leaks_in_any_case_and_of_placeholders(spark):
+    filler = "some quite ordinary words stand here before and after what matters. "
+    item = "A train leaves Boston with 40 cars and meets Anna after 3 km on the way to the old bridge."
+    sums, names = "What is 12 + 15 + 17 - 3?", "They are Anna, Otto, Bob, Carla, Dora, Emil, Fritz, Gerd and Hanna Schmidt."
+    docs = [(k, filler + t + " " + filler) for k, t in enumerate((item.upper(), item.title(), item.lower(), sums, names, "What is 11 + 15 + 18 - 2?", "They are Max, Moritz, Rolf, Udo, Ines, Karl, Lena, Nora and Olga Meier."))]
+    got = leaks_of(spark, docs, [(1, item), (2, sums), (3, names)])
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 3)}
+    assert all(r.coverage == 1 and not r.reparameterised for r in got.values())
+
+
 def plain_chats(rows, block):
     convs = collections.defaultdict(list)
     for c, turn, role, text in rows:
