@@ -13,6 +13,8 @@ from inkwell.llm.common import materialise, release_caches
 from inkwell.llm.shingles import slices, windows, words_of
 
 WINDOW, SHARE = 8, 0.5
+#: So many consecutive tokens of an item make a leak, whatever their share.
+RUN = 13
 #: The filter of benchmark windows has so many bits at most, 16 MB.
 MOST_BITS = 27
 #: Units that follow a number.
@@ -160,16 +162,16 @@ def document_windows(docs: DataFrame, bits: bytes, n_bits: int, sizes: list[int]
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {_FOUND}")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots, reparameterised: the documents that hold at least share of an item's template windows.
 
     Windows meet by the hash of their tokens, whatever the case (exact copies), and by that of their templates where half of
-    their tokens are literal. Those of one document and item with the same shift are an alignment. Its
-    template windows count if each slot value of the item has one value in the document and the other way round, so that a
-    question asked anew with other numbers or names is found, and a text that merely has the same shape isn't. reparameterised:
-    some slot differs.
+    their tokens are literal. Those of one document and item with the same shift are an alignment. In it each slot value of the
+    item takes the document's value that most template windows give it; windows that say otherwise don't count, so that a
+    question asked anew with other numbers or names is found. reparameterised: some slot differs.
 
-    n_windows and coverage are those of all windows or of those with a template, whichever cover more.
+    n_windows and coverage are those of all windows or of those with a template, whichever cover more. run consecutive tokens
+    that are equal make a leak of any share.
 
     Documents are scanned in one pass against a bit filter of the benchmark, of fixed greatest size; only windows that pass are
     shuffled, then joined exactly. Items with the same templates and values count as the least of them. A null text has
@@ -197,23 +199,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     )
     line = ["doc_id", "item_id", "shift"]
     met = materialise(met.withColumn("slots", F.array_distinct(F.filter("slots", lambda s: s["a"] != 0))).distinct())
-    slots = met.filter("not exact").groupBy(*line).agg(F.array_distinct(F.flatten(F.collect_set("slots"))).alias("all"))
-    one = lambda side: F.size(F.array_distinct(F.transform("all", lambda s: s[side]))) == F.size("all")
-    agreed = met.join(slots, line, "left").filter(F.col("exact") | (one("a") & one("b")))
+    votes = met.filter("not exact").select(*line, F.explode("slots").alias("s")).groupBy(*line, "s.a", "s.b").agg(F.count(F.lit(1)).alias("votes"))
+    values = votes.groupBy(*line, "a").agg(F.max(F.struct("votes", (F.col("a") == F.col("b")).alias("same"), "b"))["b"].alias("b"))
+    values = values.groupBy(*line).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("values"))
+    agreed = met.join(values, line, "left").filter(F.col("exact") | F.forall("slots", lambda s: F.element_at("values", s["a"]) == s["b"]))
     lines = agreed.groupBy(*line, "n", "n_usable").agg(
-        F.collect_set("pos").alias("at"), F.collect_set(F.when(F.col("usable"), F.col("pos"))).alias("usable_at"),
+        F.collect_set("pos").alias("at"), F.collect_set(F.when(F.col("usable"), F.col("pos"))).alias("usable_at"), F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("pos")))).alias("exact_at"),
         F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
+    # in a sorted array of distinct places, steps - 1 further on and as much greater: all between are there
+    steps = max(1, run - window + 1)
+    long_run = F.exists(F.transform("exact_at", lambda x, i: F.get("exact_at", i + steps - 1) == x + steps - 1), lambda x: F.coalesce(x, F.lit(False))) & (F.col("n") + window - 1 >= run)
     every = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
     pairs = lines.groupBy("doc_id", "item_id", "n", "n_usable").agg(
         every("at").alias("n_all"),
         every("usable_at").alias("n_with_template"),
         F.max(F.size("slots")).cast("long").alias("n_slots"),
         F.min(F.exists("slots", lambda s: s["a"] != s["b"])).alias("reparameterised"),
+        F.max(long_run).alias("long_run"),
     )
     of_all, of_usable = F.col("n_all") / F.col("n"), F.when(F.col("n_usable") > 0, F.col("n_with_template") / F.col("n_usable")).otherwise(0.0)
     pairs = pairs.withColumn("coverage", F.greatest(of_all, of_usable)).withColumn("n_windows", F.when(of_usable > of_all, F.col("n_with_template")).otherwise(F.col("n_all")))
-    return pairs.filter(F.col("coverage") >= share).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "reparameterised")
+    return pairs.filter((F.col("coverage") >= share) | F.col("long_run")).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "reparameterised")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -136,6 +136,18 @@ def test_leaks_in_any_case_and_of_placeholders(spark):
     assert all(r.coverage == 1 and not r.reparameterised for r in got.values())
 
 
+def test_leaks_by_runs_and_with_merged_values(spark):
+    filler = "some quite ordinary words stand here before and after what matters. "
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(59)]
+    item = "A man walks 3 km along the river and then 5 miles over the hill to the old mill by the sea."
+    both = "A man walks 4 miles along the river and then 4 miles over the hill to the old mill by the sea."
+    docs = [(1, filler + " ".join(words[10:42]) + " " + filler), (2, filler + " ".join(words[10:23]) + " " + filler), (3, filler + " ".join(words[10:22]) + " " + filler), (4, filler + both)]
+    docs.append((5, filler + " ".join(words[10:22] + ["zzz"] + words[23:29])))
+    got = leaks_of(spark, docs, [(1, " ".join(words)), (2, item)])
+    assert set(got) == {(1, 1), (2, 1), (4, 2)}
+    assert got[1, 1].n_windows == 25 and got[2, 1].n_windows == 6 and got[4, 2].coverage == 1 and got[4, 2].reparameterised
+
+
 def plain_chats(rows, block):
     convs = collections.defaultdict(list)
     for c, turn, role, text in rows:
