@@ -146,7 +146,7 @@ def apart_by(a: bytes, b: bytes) -> int:
 
 
 def near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that may link by their sizes and profiles."""
+    """The pairs (a, b) that may link by their sizes and profiles; of documents with several sets, by any of these."""
 
     def run(batches):
         release_caches()
@@ -157,13 +157,13 @@ def near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
 
     one = lambda k: profiles.select(F.col("rep").alias(k), F.col("profile").alias(f"p{k}"), F.col("n_shingles").alias(f"n{k}"))
     sized = pairs.join(one("a"), "a").join(one("b"), "b").filter(f"{percent} * greatest(na, nb) <= 100 * least(na, nb)")
-    return sized.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a long, b long").distinct()
 
 
 def across(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b), a < b, of classes of one bucket and different components that may link by sizes and profiles.
 
-    rows: sig, rep, c, n_shingles, profile. A bucket is compared where it lies, so that only pairs that pass become rows; one
+    rows: sig, rep, c, n_shingles, profile, one for each set of rep. A bucket is compared where it lies, so that only pairs that pass become rows; one
     of more than `block` classes is dealt into blocks, and each two blocks are a task's work, at most about twice that.
     """
 
@@ -261,8 +261,8 @@ def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     classes = materialise(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     total = own.count()
     heavy = {r.f1: r.rep for r in classes.filter(F.col("n") > max(64, total // HEAVY_SETS)).select("f1", "rep").collect()}
-    members = materialise(usable.join(classes, ["f1", "f2"]).select("doc_id", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("profile")).alias("profile")))
-    profiles = materialise(members.filter("profile is not null").dropDuplicates(["rep"]).select("rep", "n_shingles", "profile"))
+    members = materialise(usable.join(classes, ["f1", "f2"]).select("doc_id", "rep", "f1", "f2", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("profile")).alias("profile")))
+    profiles = materialise(members.filter("profile is not null").dropDuplicates(["rep", "f1", "f2"]).select("rep", "n_shingles", "profile"))
     placed = members.select("doc_id", "rep").distinct()
 
     bucket = Window.partitionBy("sig")

@@ -73,6 +73,20 @@ def test_jaccard_stage_and_empty(spark, copies):
     assert jaccard.joined(df.limit(0)).collect() == []
 
 
+def test_jaccard_of_repeated_ids(spark):
+    rnd = random.Random(5)
+    words = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
+    rows = []
+    for i in range(0, 80, 2):
+        short, long = words(100), words(400)
+        both = [(i, " ".join(short)), (i, " ".join(long))]
+        rows += both if i % 4 else both[::-1]
+        rows.append((i + 1, " ".join([*long[:200], "zzz", *long[201:]])))
+    rows += [(90, rows[0][1]), (3, " ".join(words(50)))]
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows, 4, 85)
+
+
 def test_signatures_are_complete():
     rnd, bands = np.random.default_rng(4), jaccard.Bands()
     for n in [*range(1, 40), 57, 100, 333, 1000]:
