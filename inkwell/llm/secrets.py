@@ -32,9 +32,14 @@ _LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALPHABETS = (
     Alphabet("entropy_hex", _DIGITS + "abcdefABCDEF", r"(?<![0-9A-Za-z])[0-9a-fA-F]{24,}+(?![0-9A-Za-z])", r"[0-9].*[a-fA-F]|[a-fA-F].*[0-9]", 24, 3.0),
     Alphabet("entropy_base64", _LETTERS + _LETTERS.upper() + _DIGITS + "+/_=-", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 20, 3.7),
+    Alphabet("entropy_lower", _LETTERS + _DIGITS, r"(?<![0-9A-Za-z])[a-z0-9]{20,}+(?![0-9A-Za-z])", r"[0-9].*[a-z]|[a-z].*[0-9]", 20, 3.6),
+    Alphabet("entropy_upper", _LETTERS.upper() + _DIGITS, r"(?<![0-9A-Za-z])[A-Z0-9]{20,}+(?![0-9A-Za-z])", r"[0-9].*[A-Z]|[A-Z].*[0-9]", 20, 3.6),
+    Alphabet("entropy_letters", _LETTERS + _LETTERS.upper(), r"(?<![0-9A-Za-z])[A-Za-z]{20,}+(?![0-9A-Za-z])", r"[a-z].*[A-Z]", 20, 3.8),
 )
-#: What is never a secret, whatever its entropy: placeholders, alphabets, UUIDs, paths of words.
-ALLOWED = r"(?i)example|placeholder|changeme|x{6,}|0123456789|abcdefgh|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^/?([a-z]+/){2,}[a-z]*$"
+#: Candidates that are never a secret, whatever their entropy: UUIDs, paths of words.
+ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^/?([a-z]+/){2,}[a-z]*$"
+#: Placeholders and alphabets: they part a candidate, and what stands beside them is judged without them.
+PLACEHOLDER = r"(?i)example|placeholder|changeme|x{6,}|0123456789|abcdefgh" + "".join(f"{c}?" for c in "ijklmnopqrstuvwxyz")
 KINDS = ("assign", "access", "hex", *(a.name for a in ALPHABETS))
 
 
@@ -104,7 +109,8 @@ def highest_entropy(s: Column, alphabet: Alphabet) -> Column:
 def entropy_spans(text: Column, alphabet: Alphabet, kind: int, allowed: str = ALLOWED) -> Column:
     """The candidates of a class that are mixed enough and not allowed."""
     cut = lambda x: F.substr(text, x["start"] + 1, x["end"] - x["start"])
-    secret = lambda s: F.when(F.rlike(s, F.lit(alphabet.needs)) & ~F.rlike(s, F.lit(allowed)), highest_entropy(s, alphabet) >= alphabet.high).otherwise(False)
+    mixed = lambda s: F.when(F.rlike(s, F.lit(alphabet.needs)), F.coalesce(highest_entropy(s, alphabet) >= alphabet.high, F.lit(False))).otherwise(False)
+    secret = lambda s: F.when(F.rlike(s, F.lit(alphabet.needs)) & ~F.rlike(s, F.lit(allowed)), F.exists(F.split(s, PLACEHOLDER, -1), mixed)).otherwise(False)
     return F.filter(found(text, alphabet.run, kind), lambda x: let(cut(x), secret))
 
 
@@ -126,7 +132,9 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
     access = F.when(body.contains("AKIA"), found(body, ACCESS, 1)).otherwise(none)
     spans = F.concat(assign, access, found(body, HEX, 2))
     for k, alphabet in enumerate(ALPHABETS, 3):
-        added = F.when(F.rlike(body, F.lit("[0-9]")), entropy_spans(body, alphabet, k)).otherwise(none)
+        added = entropy_spans(body, alphabet, k)
+        if "0" in alphabet.chars:
+            added = F.when(F.rlike(body, F.lit("[0-9]")), added).otherwise(none)
         spans = _joined(spans, added)
     return documents.drop("spans").withColumn("spans", spans)
 

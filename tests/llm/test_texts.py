@@ -114,6 +114,20 @@ def test_secrets_random(spark):
         assert (r.base_sha256, r.spans) == plain_secrets(texts[r.doc_id]), texts[r.doc_id]
 
 
+def test_secrets_of_every_case(spark):
+    key = "Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0Lz"
+    found = {
+        "k3j9x0qzv7m2w8r4t6y1p5n0b3c7d9fg": "entropy_lower", "JBSWY3DPEHPK3PXPN5XW4ZLTOR2WC3TF": "entropy_upper", "qWvZkRtYbNmXsLpJhGfDcKaUeIoQzT": "entropy_letters",
+        f"example/{key}": "entropy_base64", f"Zx9abcdefgh{key}": "entropy_base64", f"{key}_changeme": "entropy_base64",
+    }
+    none = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "AKIAIOSFODNN7-example", "Donaudampfschifffahrtsgesellschaft", "antidisestablishmentarianism", "path/of/words/placeholder/more", "x" * 40 + "1A"]
+    texts = [f"see {t} here" for t in [*found, *none]]
+    got = {r.doc_id: r.spans for r in secrets.documents_scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (t, kind) in enumerate(found.items()):
+        assert got[i] == f"{kind}:4:{4 + len(t)}", t
+    assert [got[len(found) + i] for i in range(len(none))] == [""] * len(none)
+
+
 def plain_pii(text):
     text = text or ""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
