@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.llm.common import materialise
+
 
 def asof_floor(points: DataFrame, starts: DataFrame, keys: Sequence[str], at: str, start: str, value: str, fallback_first: bool = True) -> DataFrame:
     """points with the value of the last start at or before them, of several equal starts the greatest value; before all starts the first one's, or null.
@@ -72,15 +74,21 @@ def by_priority(left: DataFrame, right: DataFrame, on: Column, left_keys: Sequen
     return found.select(*left_keys, *[F.col(f"__b.{c}").alias(c) for c in picks])
 
 
-def ancestors(nodes: DataFrame, node: str, base: str, most: int = 32) -> DataFrame:
-    """node, ancestor, depth: itself at 0, then base by base. Doubles the reach each round, so a chain of n takes log n joins."""
+def ancestors(nodes: DataFrame, node: str, base: str, most: int | None = None) -> DataFrame:
+    """node, ancestor, depth: itself at 0, then base by base, up to depth most if given. Doubles the reach each round, so a chain of n takes log n joins.
+
+    Ends when a round finds no new pair, so that a cycle ends too: each of its nodes has all of them, at the least depth.
+    """
     reach = nodes.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("depth"))
     step = nodes.filter(F.col(base).isNotNull()).select(F.col(node).alias("node"), F.col(base).alias("ancestor"), F.lit(1).alias("depth"))
     step = step.join(nodes.select(F.col(node).alias("ancestor")), "ancestor", "left_semi").select("node", "ancestor", "depth")
+    both = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
     size = 1
-    while size < most:
-        far = reach.alias("a").join(step.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        reach = reach.union(far)
-        step = step.alias("a").join(step.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+    while most is None or size <= most:
+        far = both(reach, step).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        new = materialise(far.join(reach, ["node", "ancestor"], "left_anti"))
+        if not new.limit(1).count():
+            break
+        reach, step = reach.union(new), materialise(both(step, step))
         size *= 2
-    return reach.filter(F.col("depth") <= most)
+    return reach if most is None else reach.filter(F.col("depth") <= most)

@@ -87,6 +87,15 @@ def test_mode_and_ancestors(spark):
     assert {r.node: (r.d, r.c) for r in got} == {i: (i, i + 1) for i in range(20)} | {50: (0, 1)}
 
 
+def test_ancestors_of_long_chains_and_cycles(spark):
+    rows = [(i, i - 1 if i else None) for i in range(100)] + [(200, 201), (201, 202), (202, 200), (203, 200), (300, 300)]
+    got = matching.ancestors(spark.createDataFrame(rows, "n int, b int"), "n", "b").collect()
+    found = {n: sorted((r.depth, r.ancestor) for r in got if r.node == n) for n, _ in rows}
+    assert all(found[i] == [(d, i - d) for d in range(i + 1)] for i in range(100))
+    assert found[200] == [(0, 200), (1, 201), (2, 202)] and found[203] == [(0, 203), (1, 200), (2, 201), (3, 202)] and found[300] == [(0, 300)]
+    assert max(r.depth for r in matching.ancestors(spark.createDataFrame(rows, "n int, b int"), "n", "b", most=40).collect()) == 40
+
+
 def test_files(spark, tmp_path):
     for name, raw in {"a.DOC": bytes.fromhex("D0CF11E0A1B11AE1"), "b.docx": b"PK\x03\x04", "c.txt": b"x", "sub/d.doc": b"y" * 50, "e.docx": b"plain"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
