@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -15,18 +14,6 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-#: Caches that a Python worker holds from one task to the next.
-WORKER_CACHES: list[dict] = []
-
-
-def release_caches() -> None:
-    """A worker that turns to another operator lets go of what earlier ones keep, so that its memory is that of one operator."""
-    if any(WORKER_CACHES):
-        for cache in WORKER_CACHES:
-            cache.clear()
-        gc.collect()
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

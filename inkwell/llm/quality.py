@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import release_caches
 
 #: The most labelled documents that a fit takes of either class; a fit has this bound at every size.
 MOST_OF_CLASS = 3000
@@ -124,7 +123,6 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_OF_CLASS) -> Mode
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def run(batches):
-        release_caches()
         make = Featuriser()
         for batch in batches:
             features = [make(t.as_py()) for t in batch.column("text")]
@@ -142,7 +140,6 @@ def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(score, T.DoubleType())])
 
     def run(batches):
-        release_caches()
         make, own = Featuriser(), shipped.value
         for batch in batches:
             made = pa.array([own.score(make(t.as_py() or "")) for t in batch.column("__text")], pa.float64())

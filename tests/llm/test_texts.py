@@ -195,10 +195,27 @@ def test_bpe(spark, docs):
         assert "".join(codec.decoder.stream(ids[i : i + k] for i in range(0, len(ids), k))) == raw.decode("utf-8", "replace")
 
 
-def test_bpe_bounded_caches(monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_STATES", 20)
-    monkeypatch.setattr(bpe, "MOST_WORDS", 3)
-    monkeypatch.setattr(bpe, "MOST_PAIRS", 10)
-    small, full = bpe.Codec(*bpe.default_vocabulary()), bpe.codec(*bpe.default_vocabulary())
-    text = "the quick brown fox, jumping über 12345 lazy dogs; " * 5 + "=" * 200
-    assert small.encode(text) == full.encode(text) and small.decode(small.encode(text)) == text
+def test_bpe_bounded_tables(monkeypatch):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for name, value in {"STEP_BITS": 10, "STATE_BITS": 10, "PAIR_BITS": 7, "LOOKAHEAD": 48, "PORTION": 100, "SEGMENT": 8, "MOST_LIVING": 300, "AT_ONCE": 200, "CHUNK": 7}.items():
+        monkeypatch.setattr(bpe, name, value)
+    small, rnd = bpe.Codec(*bpe.default_vocabulary()), random.Random(8)
+    texts = ["the quick brown fox, jumping über 12345 lazy dogs; " * 5 + "=" * 200, "".join(rnd.choice("etaoinshr") for _ in range(500)), "a" * 400, "日本語" * 60, "", "x"]
+    for text in texts:
+        assert small.encode(text) == np.array(own.encode_ordinary(text), "<u4").tobytes() and small.decode(small.encode(text)) == text
+    assert [x.tolist() for x in small.encode_all(texts)] == [own.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_long_pieces():
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, rnd = bpe.codec(*bpe.default_vocabulary()), random.Random(9)
+    for text in ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12_000)), "=" * 9000 + "ab", " " * 5000 + "x", "日本語中文" * 1500]:
+        assert codec.encode_all([text])[0].tolist() == own.encode_ordinary(text)
