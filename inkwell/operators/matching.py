@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialise
+from inkwell.storage import materialise
 
 
 def asof_floor(points: DataFrame, starts: DataFrame, keys: Sequence[str], at: str, start: str, value: str, fallback_first: bool = True) -> DataFrame:
