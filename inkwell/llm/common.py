@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.storage import kept_bytes, kept_through, materialise, small_batches
+
+__all__ = ["SPACES", "SPACE_RUN", "free_name", "kept_bytes", "kept_through", "let", "materialise", "read", "running_sums", "small_batches", "span_string", "words"]
+
 #: Fixed value: the characters that part words.
 SPACES = " \t\n\x0b\x0c\r"
 #: Fixed value: the same set as a Java pattern.
@@ -18,32 +19,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the setting is absent (tests on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="inkwell-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once per row, even where body uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def kept_through(spark: SparkSession, write) -> str:
-    """A new path in the shared folder, after write(path). The files outlive lost executors and go when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/inkwell-{uuid.uuid4().hex}"
-    write(path)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+def free_name(base: str, *taken: list[str]) -> str:
+    """A column name that begins with base and, whatever the case, is none of those taken."""
+    used = {c.lower() for columns in taken for c in columns}
+    while base.lower() in used:
+        base += "_"
+    return base
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
-    return df.sparkSession.read.schema(df.schema).parquet(kept_through(df.sparkSession, df.write.parquet))
+def running_sums(values: Column, block: int = 64) -> Column:
+    """array<int>: for each of an array's numbers the sum of those before it.
 
+    Sums grow within blocks, and blocks are joined at the end, so that appending never copies more than a block or the list of
+    blocks: time grows in proportion to the array, up to millions of items.
+    """
 
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once per row, even where body uses it inside lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    def summed(v: Column) -> Column:
+        def one(acc: Column, b: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("all"))
+            items = F.sequence(b * block, F.least(F.size(v), (b + 1) * block) - 1)
+            inner = F.aggregate(items, start, lambda a, k: F.struct((a["at"] + F.get(v, k)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))
+            return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["all"], F.array(x["all"])).alias("all")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("all"))
+        return F.when(F.size(v) > 0, F.flatten(F.aggregate(blocks, start, one)["all"])).otherwise(F.array().cast("array<int>"))
+
+    return let(values.cast("array<int>"), summed)
 
 
 def words(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -118,15 +119,17 @@ def _rows(templates: Templates, which: np.ndarray, runs: np.ndarray, size: int,
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, n (windows of the item), n_usable (those with a template), usable (whether this is one), exact, size, pos, hash, slots.
+    """item_id, form, n (windows of the item), n_usable (those with a template), usable (whether this is one), exact, size, pos, hash, slots.
 
-    An item of fewer tokens than a window is one window of its own size. Each window has a row of its tokens (exact), and one of its template if that counts.
+    form: a digest of the item's tokens and template; items of one form are alike in all that is compared. An item of fewer tokens
+    than a window is one window of its own size. Each window has a row of its tokens (exact), and one of its template if that counts.
     """
 
     def run(batches):
         for batch in batches:
             for begin, texts in slices(batch.column("text")):
                 t = Templates(texts)
+                forms = pa.array([hashlib.sha256(t.value[a : a + n].tobytes() + t.template[a : a + n].tobytes()).digest() for a, n in zip(t.first.tolist(), t.count.tolist(), strict=True)], pa.binary())
                 for size in sorted({min(window, n) for n in t.count.tolist()} - {0}):
                     found = t.windows(size)
                     usable, every = found[0][2], found[1][2]
@@ -136,13 +139,13 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                         which = np.flatnonzero(good)
                         which = which[np.minimum(t.count[owners(which)], window) == size]
                         owner, columns = _rows(t, which, runs, size, exact)
-                        yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(owner + begin)), pa.array(n[owner]), pa.array(n_usable[owner]), pa.array(usable[which]), *columns], ["item_id", "n", "n_usable", "usable", "exact", "size", "pos", "hash", "slots"])
+                        yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(owner + begin)), forms.take(pa.array(owner)), pa.array(n[owner]), pa.array(n_usable[owner]), pa.array(usable[which]), *columns], ["item_id", "form", "n", "n_usable", "usable", "exact", "size", "pos", "hash", "slots"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null").mapInArrow(run, f"item_id long, n long, n_usable long, usable boolean, {_FOUND}")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null").mapInArrow(run, f"item_id long, form binary, n long, n_usable long, usable boolean, {_FOUND}")
 
 
 def document_windows(docs: DataFrame, bits: bytes, n_bits: int, sizes: list[int]) -> DataFrame:
-    """doc_id, exact, size, pos, hash, slots of the windows whose hash the filter may hold."""
+    """doc_id, t (hash of the text), exact, size, pos, hash, slots of the windows whose hash the filter may hold."""
     shipped = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -155,9 +158,9 @@ def document_windows(docs: DataFrame, bits: bytes, n_bits: int, sizes: list[int]
                         place = (runs >> np.uint64(64 - n_bits)).astype(np.int64)
                         which = np.flatnonzero(good & ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool))
                         owner, columns = _rows(t, which, runs, size, exact)
-                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner + begin)), *columns], ["doc_id", "exact", "size", "pos", "hash", "slots"])
+                        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(owner + begin)) for c in ("doc_id", "t")] + columns, ["doc_id", "t", "exact", "size", "pos", "hash", "slots"])
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {_FOUND}")
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text").mapInArrow(run, f"doc_id long, t long, {_FOUND}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
@@ -172,14 +175,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     that are equal make a leak of any share.
 
     Documents are scanned in one pass against a bit filter of the benchmark, of fixed greatest size; only windows that pass are
-    shuffled, then joined exactly. Items with the same templates and values count as the least of them. A null text has
-    no windows; rows of one doc_id count together; a null doc_id or item_id can't be named and has no row; an empty table on
-    either side gives no row. An item whose windows are all mostly placeholders is found only as it is, not with other values.
+    shuffled, then joined exactly. Items of one form are searched once, and each of them has its row. Every text of a
+    repeated doc_id or item_id is searched by itself, and of several the one with the highest coverage is told. A null text
+    has no windows; a null doc_id or item_id can't be named and has no row; an empty table on either side gives no row. An
+    item whose windows are all mostly placeholders is found only as it is, not with other values.
     """
-    items = benchmark_windows(benchmark, window)
-    whole = items.groupBy("item_id").agg(F.xxhash64(F.sort_array(F.collect_list(F.struct("exact", "pos", "hash", "slots")))).alias("all"))
-    firsts = whole.groupBy("all").agg(F.min("item_id").alias("item_id")).select("item_id")
-    items = materialise(items.dropDuplicates(["item_id", "exact", "pos"]).join(firsts, "item_id", "left_semi"))
+    every_item = materialise(benchmark_windows(benchmark, window))
+    members = every_item.select("form", "item_id").distinct()
+    items = materialise(every_item.drop("item_id").dropDuplicates(["form", "exact", "size", "pos"]))
     total = items.count()
     # 64 bits a window, up to the bound
     n_bits = min(MOST_BITS, max(15, math.ceil(math.log2(64 * max(1, total)))))
@@ -193,9 +196,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
     theirs = F.when(F.col("exact"), F.col("i.slots")).otherwise(F.col("d.slots"))
     met = found.alias("d").join(items.alias("i"), ["exact", "size", "hash"]).select(
-        "doc_id", "item_id", "n", "n_usable", "usable", "exact", (F.col("d.pos") - F.col("i.pos")).alias("shift"), F.col("i.pos").alias("pos"), F.arrays_zip(F.col("i.slots").alias("a"), theirs.alias("b")).alias("slots")
+        "doc_id", "t", "form", "n", "n_usable", "usable", "exact", (F.col("d.pos") - F.col("i.pos")).alias("shift"), F.col("i.pos").alias("pos"), F.arrays_zip(F.col("i.slots").alias("a"), theirs.alias("b")).alias("slots")
     )
-    line = ["doc_id", "item_id", "shift"]
+    line = ["doc_id", "t", "form", "shift"]
     met = materialise(met.withColumn("slots", F.array_distinct(F.filter("slots", lambda s: s["a"] != 0))).distinct())
     votes = met.filter("not exact").select(*line, F.explode("slots").alias("s")).groupBy(*line, "s.a", "s.b").agg(F.count(F.lit(1)).alias("votes"))
     values = votes.groupBy(*line, "a").agg(F.max(F.struct("votes", (F.col("a") == F.col("b")).alias("same"), "b"))["b"].alias("b"))
@@ -209,7 +212,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     steps = max(1, run - window + 1)
     long_run = F.exists(F.transform("exact_at", lambda x, i: F.get("exact_at", i + steps - 1) == x + steps - 1), lambda x: F.coalesce(x, F.lit(False))) & (F.col("n") + window - 1 >= run)
     every = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
-    pairs = lines.groupBy("doc_id", "item_id", "n", "n_usable").agg(
+    pairs = lines.groupBy("doc_id", "t", "form", "n", "n_usable").agg(
         every("at").alias("n_all"),
         every("usable_at").alias("n_with_template"),
         F.max(F.size("slots")).cast("long").alias("n_slots"),
@@ -218,7 +221,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     )
     of_all, of_usable = F.col("n_all") / F.col("n"), F.when(F.col("n_usable") > 0, F.col("n_with_template") / F.col("n_usable")).otherwise(0.0)
     pairs = pairs.withColumn("coverage", F.greatest(of_all, of_usable)).withColumn("n_windows", F.when(of_usable > of_all, F.col("n_with_template")).otherwise(F.col("n_all")))
-    return pairs.filter((F.col("coverage") >= share) | F.col("long_run")).select("doc_id", "item_id", "n_windows", "coverage", "n_slots", "reparameterised")
+    pairs = pairs.filter((F.col("coverage") >= share) | F.col("long_run")).join(members, "form")
+    best = F.max(F.struct("coverage", "n_windows", "n_slots", (~F.col("reparameterised")).alias("same")))
+    return pairs.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.n_windows", "best.coverage", "best.n_slots", (~F.col("best.same")).alias("reparameterised"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

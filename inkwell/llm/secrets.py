@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import let, span_string
+from inkwell.llm.common import free_name, let, running_sums, span_string
 
 #: The base patterns. Runs that must have a least length state it, where that finds the same matches.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -51,19 +51,16 @@ def found(text: Column, pattern: str, kind: int, keep=None) -> Column:
     unit = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def placed(matches: Column) -> Column:
-        sizes = F.arrays_zip(F.transform(matches, F.length).alias("m"), F.transform(F.split(text, pattern, -1), F.length).alias("g"))
-        if keep:
-            sizes = F.arrays_zip(F.transform(matches, F.length).alias("m"), F.transform(F.split(text, pattern, -1), F.length).alias("g"), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(keep[0])), F.length).alias("v"))
-        start = F.struct(F.lit(0).alias("at"), unit.alias("out"))
+        """A gap and a match make a step; where a match stands is the sum of the steps before it, and its own gap."""
+        sizes = F.transform(matches, F.length)
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        held = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(keep[0])), F.length) if keep else sizes
+        return let(F.struct(sizes.alias("m"), gaps.alias("g"), held.alias("v")), lambda x: let(F.struct(x["m"].alias("m"), x["g"].alias("g"), x["v"].alias("v"), running_sums(F.zip_with(x["m"], F.slice(x["g"], 1, F.size(x["m"])), lambda m, g: m + g)).alias("s")), spans))
 
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["g"]
-            end = begin + F.coalesce(x["m"], F.lit(0))
-            one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-            good = x["m"].isNotNull() & (x["v"] >= keep[1] if keep else F.lit(True))
-            return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-        return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    def spans(x: Column) -> Column:
+        begin = lambda i: F.get(x["s"], i) + F.get(x["g"], i)
+        every = F.transform(x["m"], lambda m, i: F.struct(begin(i).alias("start"), F.lit(kind).alias("kind"), (begin(i) + m).alias("end")))
+        return F.filter(every, lambda _, i: F.get(x["v"], i) >= keep[1]) if keep else every
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(unit))
 
@@ -106,18 +103,18 @@ def highest_entropy(s: Column, alphabet: Alphabet) -> Column:
     return F.when(F.length(s) >= w, let(counts, over))
 
 
-def entropy_spans(text: Column, alphabet: Alphabet, kind: int, allowed: str = ALLOWED) -> Column:
-    """The candidates of a class that are mixed enough and not allowed."""
+def entropy_spans(text: Column, candidates: Column, alphabet: Alphabet, allowed: str = ALLOWED) -> Column:
+    """Those of the candidates of a class that are mixed enough and not allowed."""
     cut = lambda x: F.substr(text, x["start"] + 1, x["end"] - x["start"])
     mixed = lambda s: F.when(F.rlike(s, F.lit(alphabet.needs)), F.coalesce(highest_entropy(s, alphabet) >= alphabet.high, F.lit(False))).otherwise(False)
     secret = lambda s: F.when(F.rlike(s, F.lit(alphabet.needs)) & ~F.rlike(s, F.lit(allowed)), F.exists(F.split(s, PLACEHOLDER, -1), mixed)).otherwise(False)
-    return F.filter(found(text, alphabet.run, kind), lambda x: let(cut(x), secret))
+    return F.filter(candidates, lambda x: let(cut(x), secret))
 
 
 def _joined(spans: Column, added: Column) -> Column:
-    """spans, and those added that meet none of them."""
-    meets = lambda s, e: F.exists(s, lambda b: (b["start"] < e["end"]) & (b["end"] > e["start"]))
-    return let(spans, lambda s: F.concat(s, F.filter(added, lambda e: ~meets(s, e))))
+    """spans, and those added that meet none of them. Only where something is added are the two compared."""
+    meets = lambda e: F.exists(spans, lambda b: (b["start"] < e["end"]) & (b["end"] > e["start"]))
+    return F.when(F.size(added) == 0, spans).otherwise(F.concat(spans, F.filter(added, lambda e: ~meets(e))))
 
 
 def scan(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -125,18 +122,27 @@ def scan(documents: DataFrame, text: str = "text") -> DataFrame:
 
     Base spans always stay; an entropy span is added where it meets neither a base span nor one of an earlier class.
     A null text counts as empty and has none. Repeated rows are scanned one by one; a column named spans gives way.
+    An empty table stays empty. Time grows in proportion to a text and its matches.
     """
-    body = F.coalesce(documents[text], F.lit(""))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    assign = F.when(body.contains("=") | body.contains(":"), found(body, ASSIGN, 0, (2, LEAST_VALUE))).otherwise(none)
-    access = F.when(body.contains("AKIA"), found(body, ACCESS, 1)).otherwise(none)
-    spans = F.concat(assign, access, found(body, HEX, 2))
+    kept = [c for c in documents.columns if c != "spans"]
+    own = lambda k: free_name(f"__{k}", documents.columns)
+    body, none = F.col(own("body")), F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    guard = lambda holds, spans: F.when(holds, spans).otherwise(none)
+    rows = documents.withColumn(own("body"), F.coalesce(documents[text], F.lit("")))
+    matched = {
+        "assign": guard(body.contains("=") | body.contains(":"), found(body, ASSIGN, 0, (2, LEAST_VALUE))),
+        "access": guard(body.contains("AKIA"), found(body, ACCESS, 1)),
+        "hex": found(body, HEX, 2),
+    }
     for k, alphabet in enumerate(ALPHABETS, 3):
-        added = entropy_spans(body, alphabet, k)
-        if "0" in alphabet.chars:
-            added = F.when(F.rlike(body, F.lit("[0-9]")), added).otherwise(none)
-        spans = _joined(spans, added)
-    return documents.drop("spans").withColumn("spans", spans)
+        matched[alphabet.name] = guard(F.rlike(body, F.lit("[0-9]")) if "0" in alphabet.chars else F.lit(True), found(body, alphabet.run, k))
+    rows = rows.withColumns({own(name): spans for name, spans in matched.items()})
+    for alphabet in ALPHABETS:
+        rows = rows.withColumn(own(alphabet.name), entropy_spans(body, F.col(own(alphabet.name)), alphabet))
+    rows = rows.withColumn("spans", F.concat(*[F.col(own(k)) for k in ("assign", "access", "hex")]))
+    for alphabet in ALPHABETS:
+        rows = rows.withColumn("spans", _joined(F.col("spans"), F.col(own(alphabet.name))))
+    return rows.select(*kept, "spans")
 
 
 def documents_scanned(documents: DataFrame) -> DataFrame:
