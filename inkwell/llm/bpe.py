@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.llm.common import free_name
 from inkwell.llm.shingles import slices
 
 #: Sizes of the tables of steps, states and pairs of tokens, as powers of two, each filled to half; full ones start anew, which changes no result.
@@ -523,10 +523,12 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, patter
     kept = [c for c in docs.columns if c != text and c not in {f.name for f in outputs}]
     schema = T.StructType([docs.schema[c] for c in kept] + outputs)
 
+    body = free_name("__text", docs.columns)
+
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
-            for begin, texts in slices(batch.column("__text"), AT_ONCE):
+            for begin, texts in slices(batch.column(body), AT_ONCE):
                 found = own.encode_all([t or "" for t in texts.to_pylist()])
                 made = [
                     pa.array([len(x) for x in found], pa.int64()),
@@ -537,4 +539,4 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, patter
                     made.append(pa.array([x.view("<i4") for x in found], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(begin, len(texts)) for c in kept] + made, [f.name for f in schema.fields])
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, docs[text].alias(body)).mapInArrow(run, schema)

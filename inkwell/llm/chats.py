@@ -46,15 +46,18 @@ def maximal(prefixed: DataFrame) -> DataFrame:
 
 
 def formatted(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """conv_id, part, n_turns, n_equal, text: the maximal conversations, rendered, in parts of at most block turns.
+    """conv_id, n_turns, n_equal, text: the maximal conversations, rendered whole.
 
     turns: conv_id, turn, role, text; other columns are left aside. A null role reads "unknown", a null text is empty. A
     null conv_id is a conversation like any other. Repeated rows are repeated turns. An empty table has no conversations.
+    Turns are sorted in blocks of `block` turns; only rendered blocks meet in the task that joins a conversation's text.
     """
     prefixed = with_prefixes(turns.select("conv_id", "turn", "role", "text"), block)
     keep = maximal(prefixed)
     chosen = prefixed.alias("p").join(keep.alias("k"), F.col("p.conv_id").eqNullSafe(F.col("k.conv_id"))).select("p.conv_id", "pos", "role", "text", "n_turns", "n_equal")
     one = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE))
-    parts = chosen.select("conv_id", "n_turns", "n_equal", F.expr(f"cast((pos - 1) div {block} as int)").alias("part"), F.struct("pos", one.alias("t")).alias("one"))
-    parts = parts.groupBy("conv_id", "part", "n_turns", "n_equal").agg(F.sort_array(F.collect_list("one")).alias("all"))
-    return parts.select("conv_id", "part", "n_turns", "n_equal", F.array_join(F.transform("all", lambda x: x["t"]), "").alias("text"))
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["t"]), "").alias("t")
+    parts = chosen.select("conv_id", "n_turns", "n_equal", F.expr(f"(pos - 1) div {block}").alias("part"), F.struct("pos", one.alias("t")).alias("one"))
+    parts = parts.groupBy("conv_id", "n_turns", "n_equal", "part").agg(joined("one"))
+    whole = parts.groupBy("conv_id", "n_turns", "n_equal").agg(joined(F.struct("part", "t")))
+    return whole.select("conv_id", "n_turns", "n_equal", F.col("t").alias("text"))

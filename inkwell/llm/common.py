@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.storage import kept_bytes, kept_through, materialise, small_batches
 
-__all__ = ["SPACES", "SPACE_RUN", "free_name", "kept_bytes", "kept_through", "let", "materialise", "read", "running_sums", "small_batches", "span_string", "words"]
+__all__ = ["SPACES", "SPACE_RUN", "free_name", "hash_filter", "in_filter", "kept_bytes", "kept_through", "let", "materialise", "read", "running_sums", "small_batches", "span_string", "words"]
 
 #: Fixed value: the characters that part words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -32,6 +35,26 @@ def free_name(base: str, *taken: list[str]) -> str:
     return base
 
 
+def hash_filter(rows: DataFrame, column: str, most_bits: int) -> tuple[bytes, int]:
+    """A bit table of 64-bit hashes and the number of leading bits that address it: 64 bits a row, up to 2 ** most_bits in all.
+
+    Built by an aggregate over blocks of 4 KB, so that the driver gets the table and never the hashes.
+    """
+    n_bits = min(most_bits, max(15, math.ceil(math.log2(64 * max(1, rows.count())))))
+    place = F.shiftrightunsigned(column, 64 - n_bits)
+    filled = rows.groupBy(F.expr(f"shiftrightunsigned(`{column}`, {64 - n_bits}) div 32768").alias("bucket")).agg(F.bitmap_construct_agg((place % 32768).cast("long")).alias("bits"))
+    table = bytearray(1 << (n_bits - 3))
+    for row in filled.collect():
+        table[row.bucket * 4096 : (row.bucket + 1) * 4096] = row.bits
+    return bytes(table), n_bits
+
+
+def in_filter(hashes: np.ndarray, table: np.ndarray, n_bits: int) -> np.ndarray:
+    """Which of the hashes (uint64) the table (its bytes) may hold."""
+    place = (hashes >> np.uint64(64 - n_bits)).astype(np.int64)
+    return ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def running_sums(values: Column, block: int = 64) -> Column:
     """array<int>: for each of an array's numbers the sum of those before it.
 

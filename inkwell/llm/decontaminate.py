@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import materialise
-from inkwell.llm.shingles import slices, windows, words_of
+from inkwell.llm.common import hash_filter, in_filter, materialise
+from inkwell.llm.shingles import raw_bytes, slices, windows, words_of
 
 WINDOW, SHARE = 8, 0.5
 #: So many consecutive tokens of an item make a leak, whatever their share.
@@ -60,11 +59,7 @@ class Templates:
     def __init__(self, texts: pa.Array):
         texts = texts.cast(pa.large_string())
         words = words_of(texts, parts=_parts)
-        n = len(texts)
-        raw = np.zeros(0, np.uint8)
-        if n and texts.buffers()[2] is not None:
-            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
-            raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        raw, _ = raw_bytes(texts)
         self.first, self.count, self.value = words.first, words.count, words.hashes
         begins, ends = words.begins, words.ends
         self.template = self.value.copy()
@@ -155,8 +150,7 @@ def document_windows(docs: DataFrame, bits: bytes, n_bits: int, sizes: list[int]
                 t = Templates(texts)
                 for size in sizes:
                     for exact, runs, good in t.windows(size):
-                        place = (runs >> np.uint64(64 - n_bits)).astype(np.int64)
-                        which = np.flatnonzero(good & ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool))
+                        which = np.flatnonzero(good & in_filter(runs, table, n_bits))
                         owner, columns = _rows(t, which, runs, size, exact)
                         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(owner + begin)) for c in ("doc_id", "t")] + columns, ["doc_id", "t", "exact", "size", "pos", "hash", "slots"])
 
@@ -183,16 +177,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     every_item = materialise(benchmark_windows(benchmark, window))
     members = every_item.select("form", "item_id").distinct()
     items = materialise(every_item.drop("item_id").dropDuplicates(["form", "exact", "size", "pos"]))
-    total = items.count()
-    # 64 bits a window, up to the bound
-    n_bits = min(MOST_BITS, max(15, math.ceil(math.log2(64 * max(1, total)))))
-    place = F.shiftrightunsigned("hash", 64 - n_bits)
-    filled = items.groupBy(F.expr(f"shiftrightunsigned(hash, {64 - n_bits}) div 32768").alias("bucket")).agg(F.bitmap_construct_agg((place % 32768).cast("long")).alias("bits"))
-    table = bytearray(1 << (n_bits - 3))
-    for row in filled.collect():
-        table[row.bucket * 4096 : (row.bucket + 1) * 4096] = row.bits
+    bits, n_bits = hash_filter(items, "hash", MOST_BITS)
     sizes = [r.size for r in items.select("size").distinct().collect()]
-    found = document_windows(docs, bytes(table), n_bits, sorted(sizes))
+    found = document_windows(docs, bits, n_bits, sorted(sizes))
 
     theirs = F.when(F.col("exact"), F.col("i.slots")).otherwise(F.col("d.slots"))
     met = found.alias("d").join(items.alias("i"), ["exact", "size", "hash"]).select(

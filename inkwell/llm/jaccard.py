@@ -12,10 +12,8 @@ from inkwell.llm.common import materialise
 from inkwell.llm.shingles import mixed, shingle_sets
 
 WORDS, PERCENT = 4, 85
-#: A set of copies of more than this share of all rows emits signatures only once; there are at most as many such sets.
-HEAVY_SETS = 10_000
-#: Bits of the number of classes of a profile, from and to; classes of a bucket that are compared at once.
-LEAST_CLASSES, MOST_CLASSES, BLOCK = 9, 20, 4096
+#: Bits of the number of classes of a profile, from and to; classes of a bucket that are compared at once, and bytes of their profiles.
+LEAST_CLASSES, MOST_CLASSES, BLOCK, BLOCK_BYTES = 9, 20, 4096, 4 << 20
 _U = np.uint64
 
 
@@ -48,16 +46,23 @@ class Bands:
         return (100 - self.percent) * (top + self.reach(top)) // (100 + self.percent)
 
 
+#: Sets that differ in fewer shingles get two levels of parts.
+TWO_LEVELS, INNER = 7, 3
+
+
 def spare(differs: int) -> int:
     """Parts beyond those that the differences can touch: with them, a pair shares a part that isn't empty unless both sets have more empty parts than this."""
-    return 0 if differs < 7 else 1 if differs < 15 else 3
+    return 1 if differs < 15 else 3
 
 
 def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of a sorted set of 64-bit hashes.
+    """The signatures of a sorted set of 64-bit hashes: hashes of its items in subsets of the parts of the hash domain, even ranges all.
 
-    Parts are even ranges of the hash domain, the signature of a part a hash of its items. Two levels are not needed: one part
-    equal is enough, so the subsets enumerated are single parts. Empty parts count only in a set with more of them than spare().
+    Sets that differ in k < TWO_LEVELS items: k // 2 + 1 parts, in one of which they differ in one item at most; each is cut into
+    INNER parts, all of which but one are equal there, so every subset of INNER - 1 of these is a signature. Larger k: the
+    second level is one part, so that the subsets are single parts of the first, of which one at least is equal in both; empty
+    ones count only in a set with more of them than spare(). Subsets of more parts would be more selective, but more: single
+    parts, of five to six items here, are the least number of signatures that loses no pair.
     """
     n = len(items)
     if not n:
@@ -66,13 +71,19 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
     for band in (own, own - 1):
         if band < 0 or bands.reach(bands.edges[band]) < n:
             continue
-        extra = spare(differs := bands.differs(band))
-        parts = differs + 1 + extra
+        differs, salt = bands.differs(band), mixed(np.array([band + 1], np.uint64))
+        small = 0 < differs < TWO_LEVELS
+        extra = 0 if differs < TWO_LEVELS else spare(differs)
+        parts = (differs // 2 + 1) * INNER if small else differs + 1 + extra
         cuts = np.searchsorted(items, np.arange(1, parts, dtype=np.uint64) * _U(((1 << 64) - 1) // parts))
         cuts = np.concatenate(([0], cuts, [n]))
-        found = mixed(sums[cuts[1:]] - sums[cuts[:-1]] + np.arange(parts, dtype=np.uint64) * _U(0x2545F4914F6CDD1D) + mixed(np.array([band + 1], np.uint64)))
+        held = sums[cuts[1:]] - sums[cuts[:-1]]
+        if small:
+            inner = held.reshape(-1, INNER)
+            held = (inner.sum(axis=1, keepdims=True) - inner).ravel()  # all but one
+        found = mixed(held + np.arange(parts, dtype=np.uint64) * _U(0x2545F4914F6CDD1D) + salt)
         full = cuts[1:] > cuts[:-1]
-        out.append(found if parts - np.count_nonzero(full) > extra else found[full])
+        out.append(found if small or parts - np.count_nonzero(full) > extra else found[full])
     return np.concatenate(out)
 
 
@@ -92,16 +103,14 @@ def digests(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, profile binary")
 
 
-def signature_rows(docs: DataFrame, heavy: dict[int, int], size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """sig, doc_id. Of the sets in heavy (first half of the digest: doc_id that stands for it) only that document has rows."""
+def signature_rows(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """sig, doc_id of the rows of docs; doc_id not null."""
 
     def run(batches):
         bands = Bands(percent)
         for batch in batches:
             found, owners, held = [], [], 0
             for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), size), strict=True):
-                if heavy and len(s) and heavy.get(int(np.add.reduce(mixed(s)).view(np.int64)), i) != i:
-                    continue
                 found.append(signatures(s, bands))
                 owners.append(i)
                 held += len(found[-1])
@@ -110,7 +119,7 @@ def signature_rows(docs: DataFrame, heavy: dict[int, int], size: int = WORDS, pe
                     found, owners, held = [], [], 0
             yield _rows(found, owners)
 
-    return docs.filter("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "sig long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "sig long, doc_id long")
 
 
 def _rows(found: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
@@ -157,11 +166,11 @@ def near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a long, b long").distinct()
 
 
-def across(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def across(rows: DataFrame, percent: int, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs (a, b), a < b, of classes of one bucket and different components that may link by sizes and profiles.
 
     rows: sig, rep, c, n_shingles, profile, one for each set of rep. A bucket is compared where it lies, so that only pairs that pass become rows; one
-    of more than `block` classes is dealt into blocks, and each two blocks are a task's work, at most about twice that.
+    of more than `block` classes, or of more bytes of profiles than block_bytes, is dealt into blocks, and each two blocks are a row, at most about twice that.
     """
 
     def run(batches):
@@ -187,8 +196,9 @@ def across(rows: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(rep[i[fits]]), pa.array(rep[j[fits]])], ["a", "b"])
                 begin = end
 
-    many = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("sig")) / block).cast("int")
-    dealt = rows.withColumn("__blocks", many).withColumn("__own", F.expr("cast(pmod(xxhash64(rep), __blocks) as int)"))
+    # an aggregate and a join, which Spark can split, rather than a window over a bucket
+    sizes = rows.groupBy("sig").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum(F.octet_length("profile")) / block_bytes)).cast("int").alias("__blocks"))
+    dealt = rows.join(sizes, "sig").withColumn("__own", F.expr("cast(pmod(xxhash64(rep), __blocks) as int)"))
     dealt = dealt.withColumn("__with", F.explode(F.expr("sequence(0, __blocks - 1)")))
     grouped = dealt.groupBy("sig", F.least("__own", "__with").alias("i"), F.greatest("__own", "__with").alias("j")).agg(F.collect_list(F.struct("rep", "c", "n_shingles", "profile")).alias("all"))
     return grouped.filter(F.size("all") > 1).select("all").mapInArrow(run, "a long, b long").distinct()
@@ -240,8 +250,8 @@ def components(edges: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs.
 
-    Documents with equal sets are one class, held by the least doc_id. Documents of different sets become candidates by a
-    common signature. What sizes and profiles don't rule out is checked by the whole sets, in three rounds that leave no two
+    Documents with equal sets are one class, held by the least doc_id; only that document has signatures, so that copies, however
+    many, weigh as one. Documents of different sets become candidates by a common signature. What sizes and profiles don't rule out is checked by the whole sets, in three rounds that leave no two
     documents of one bucket in different components unchecked: each class against the least one that it shares a bucket
     with; then against the least one of each of its buckets, where components still differ; then, in the buckets that
     still hold several components, all pairs across these. Pairs within a component need no check, so that a bucket of near copies
@@ -253,32 +263,27 @@ def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     own = materialise(digests(docs, size))
     usable = own.filter("doc_id is not null and n_shingles > 0")
-    classes = materialise(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    total = own.count()
-    heavy = {r.f1: r.rep for r in classes.filter(F.col("n") > max(64, total // HEAVY_SETS)).select("f1", "rep").collect()}
-    members = materialise(usable.join(classes, ["f1", "f2"]).select("doc_id", "rep", "f1", "f2", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("profile")).alias("profile")))
-    profiles = materialise(members.filter("profile is not null").dropDuplicates(["rep", "f1", "f2"]).select("rep", "n_shingles", "profile"))
-    placed = members.select("doc_id", "rep").distinct()
+    classes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    placed = materialise(usable.join(classes, ["f1", "f2"]).select("doc_id", "rep").distinct())
+    speakers = materialise(placed.select(F.col("rep").alias("doc_id")).distinct())
+    profiles = usable.join(speakers, "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
+    profiles = materialise(profiles.select(F.col("doc_id").alias("rep"), "n_shingles", "profile"))
 
     bucket = Window.partitionBy("sig")
-    rows = signature_rows(docs, heavy, size, percent)
+    rows = signature_rows(docs.join(speakers, "doc_id", "left_semi"), size, percent)
     least, greatest, many = F.min("doc_id").over(bucket), F.max("doc_id").over(bucket), F.count(F.lit(1)).over(bucket)
     buckets = materialise(rows.select("sig", "doc_id", least.alias("lead"), greatest.alias("last"), (many > 2).alias("many")).filter("lead <> last").drop("last"))
     met = materialise(buckets.filter("doc_id <> lead").groupBy("doc_id", "lead").agg(F.max("many").alias("many")))
 
-    def classed(pairs: DataFrame) -> DataFrame:
-        """Pairs of documents (x, y) as pairs of different classes (a, b), a < b."""
-        known = pairs.join(placed.select(F.col("doc_id").alias("x"), F.col("rep").alias("x_rep")), "x").join(placed.select(F.col("doc_id").alias("y"), F.col("rep").alias("y_rep")), "y").filter("x_rep <> y_rep")
-        return known.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-
     def texts_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
         return docs.join(wanted, "doc_id", "left_semi")
 
-    pairs = materialise(near(classed(met.select(F.col("doc_id").alias("x"), F.col("lead").alias("y"))), profiles, percent))
+    pairs = materialise(near(met.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), profiles, percent))
     texts = materialise(texts_of(pairs))
-    several = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).filter("b <> top")
-    links = members.join(several, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b")
+    # the texts of one doc_id hang together
+    several = placed.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).filter("b <> top")
+    links = placed.join(several, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b")
     links = materialise(links.union(linked(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, size, percent)))
 
     labels = materialise(components(links))
@@ -288,12 +293,12 @@ def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
         links = materialise(links.union(linked(apart, texts, size, percent)))
         labels = materialise(components(links))
 
-    component = label(placed, "rep", "c").select("doc_id", "c").distinct()
+    component = label(speakers, "doc_id", "c")
     lead = component.select(F.col("doc_id").alias("lead"), F.col("c").alias("lead_c"))
     split = materialise(met.filter("many").join(component, "doc_id").join(lead, "lead").filter("c <> lead_c").select("doc_id", "lead"))
     if split.limit(1).count():
         sigs = buckets.filter("many").join(split, ["doc_id", "lead"], "left_semi").select("sig").distinct()
-        rest = buckets.filter("many and doc_id <> lead").join(sigs, "sig", "left_semi").join(placed, "doc_id").select("sig", "rep").distinct()
+        rest = buckets.filter("many and doc_id <> lead").join(sigs, "sig", "left_semi").select("sig", F.col("doc_id").alias("rep")).distinct()
         rest = label(rest, "rep", "c").join(profiles, "rep")
         more = materialise(across(rest, percent).join(pairs, ["a", "b"], "left_anti"))
         if more.limit(1).count():
@@ -304,7 +309,10 @@ def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without those whose component has a lesser doc_id; documents that link with nothing stay, and so do null ids."""
+    """docs without those whose component has a lesser doc_id; documents that link with nothing stay, and so do null ids.
+
+    Repeated rows of a doc_id that stays all stay. Other columns pass as they are, whatever their names. An empty table stays empty.
+    """
     gone = joined(docs, size, percent).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

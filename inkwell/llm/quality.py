@@ -6,13 +6,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.llm.common import free_name, materialise
+
 
 #: The most labelled documents that a fit takes of either class; a fit has this bound at every size.
 MOST_OF_CLASS = 3000
+#: The most bytes of features, four a feature, that a fit takes of either class; the first document always counts.
+MOST_BYTES_OF_CLASS = 32 << 20
 #: Hashed features, and the bias behind them.
 WIDTH = 1 << 18
 _U = np.uint64
@@ -109,12 +113,12 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, width: int = WIDTH, cost
     return Model(weights, ratios, 2.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_OF_CLASS) -> Model:
-    """The model of the labelled documents that are not held out, at most `most` of either class: those least by a hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_OF_CLASS, most_bytes: int = MOST_BYTES_OF_CLASS) -> Model:
+    """The model of the labelled documents that are not held out, at most `most` of either class, and most_bytes of features: those least by a hash of doc_id.
 
     labels: doc_id, quality. Rows with crc32(doc_id as text) mod 3 = 1 are held out; a null label or doc_id teaches nothing, nor does
     a label without a document. Of repeated rows the least text counts. Features are made where the texts are; the driver gets the
-    numbers of at most 2 * most documents.
+    numbers of at most 2 * most documents, 2 * most_bytes in all.
     """
     teach = labels.filter("doc_id is not null and quality in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = [teach.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for q in (0, 1)]
@@ -128,13 +132,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_OF_CLASS) -> Mode
             features = [make(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array([f.tobytes() for f in features], pa.binary())], ["doc_id", "quality", "features"])
 
-    rows = sorted(found.mapInArrow(run, "doc_id long, quality int, features binary").collect())
+    made = materialise(found.mapInArrow(run, "doc_id long, quality int, features binary"))
+    # a window over at most `most` rows of a class
+    first = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    bounded = made.withColumn("size", F.sum(F.octet_length("features")).over(first)).withColumn("n", F.row_number().over(first))
+    rows = sorted(bounded.filter((F.col("size") <= most_bytes) | (F.col("n") == 1)).select("doc_id", "quality", "features").collect())
     return fit([np.frombuffer(r.features, np.int32) for r in rows], np.array([r.quality for r in rows]))
 
 
 def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """docs with a score from 0 to 1: of whole texts and nothing else; a null text counts as empty. A column of the same name gives way."""
-    kept = [c for c in docs.columns if c != score]
+    kept, body = [c for c in docs.columns if c != score], free_name("__text", docs.columns)
     # a fixed size: width + 1 weights
     shipped = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.ratios.astype(np.float32), model.slope))
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(score, T.DoubleType())])
@@ -142,10 +150,10 @@ def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     def run(batches):
         make, own = Featuriser(), shipped.value
         for batch in batches:
-            made = pa.array([own.score(make(t.as_py() or "")) for t in batch.column("__text")], pa.float64())
+            made = pa.array([own.score(make(t.as_py() or "")) for t in batch.column(body)], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], [*kept, score])
 
-    return docs.select(*kept, docs["text"].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, docs["text"].alias(body)).mapInArrow(run, schema)
 
 
 def documents_scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -156,6 +164,9 @@ def documents_scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, as they are."""
-    kept = scored(docs.withColumn("__score", F.lit(None).cast("double")), train(docs, labels), "__score").filter("__score >= 0.5")
-    return kept.select(*docs.columns)
+    """The rows of docs that the classifier doesn't reject, as they are, whatever their columns' names.
+
+    Repeated rows are judged one by one and alike; a null text counts as empty; without labels of both classes all stay; an empty table stays empty.
+    """
+    score = free_name("__score", docs.columns)
+    return scored(docs.withColumn(score, F.lit(None).cast("double")), train(docs, labels), score).filter(F.col(score) >= 0.5).select(*docs.columns)

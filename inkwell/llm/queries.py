@@ -73,7 +73,7 @@ p as (select conv_id, pos, list(x) over (partition by conv_id order by pos) as x
 w as (select conv_id, list(x order by pos) as xs, string_agg(y, '' order by pos) as text from t group by conv_id),
 f as (select xs, count(*) as n_equal, min(conv_id) as conv_id from w group by xs),
 b as (select xs, count(*) as n_begun from p group by xs)
-select f.conv_id, cast(0 as integer) as part, cast(len(f.xs) as bigint) as n_turns, f.n_equal, w.text
+select f.conv_id, cast(len(f.xs) as bigint) as n_turns, f.n_equal, w.text
 from f join b on f.xs = b.xs join w on f.conv_id is not distinct from w.conv_id
 where b.n_begun = f.n_equal
 """

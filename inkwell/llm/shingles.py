@@ -37,36 +37,44 @@ class Words(NamedTuple):
     count: np.ndarray
 
 
-def words_of(texts: pa.Array, lower: bool = True, parts=None) -> Words:
-    """Words are maximal runs of bytes other than the spaces; A-Z count as a-z. A null text has no words.
-
-    parts: a function of the bytes, giving those that count as theirs (lower case) and which of them are inside words.
-    """
+def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts, one after another, and where each begins, with the end of the last."""
     texts = texts.cast(pa.large_string())
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8) if n and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
-    data = raw[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    if parts:
-        data, inside = parts(data)
-    else:
-        data = _LOWER[data] if lower else data
-        inside = ~_SPACE[data]
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def runs_of(texts: pa.Array, inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal runs of bytes that are inside words; first run of each text, and the number of runs. A null text has none."""
     if texts.null_count:  # what lies under a null doesn't count
+        inside = inside.copy()
         for i in np.flatnonzero(np.asarray(texts.is_null())):
             inside[offsets[i] : offsets[i + 1]] = False
-    edge = np.zeros(len(data) + 1, bool)
+    edge = np.zeros(len(inside) + 1, bool)
     edge[offsets] = True
-    before = np.concatenate(([False], inside[:-1])) if len(data) else inside
+    before = np.concatenate(([False], inside[:-1])) if len(inside) else inside
     begins = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.concatenate((inside[1:], [False])) if len(data) else inside
+    after = np.concatenate((inside[1:], [False])) if len(inside) else inside
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
     first = np.searchsorted(begins, offsets[:-1])
-    count = np.diff(np.append(first, len(begins)))
-    if not len(begins):
-        return Words(data, np.zeros(0, np.uint64), begins, ends, first, count)
-    return Words(data, _hashed(data, begins, ends), begins, ends, first, count)
+    return begins, ends, first, np.diff(np.append(first, len(begins)))
+
+
+def words_of(texts: pa.Array, lower: bool = True, parts=None) -> Words:
+    """Words are maximal runs of bytes other than the spaces; A-Z count as a-z. A null text has no words.
+
+    parts: a function of the bytes, giving those that count as theirs (lower case) and which of them are inside words.
+    """
+    raw, offsets = raw_bytes(texts)
+    if parts:
+        data, inside = parts(raw)
+    else:
+        data = _LOWER[raw] if lower else raw
+        inside = ~_SPACE[data]
+    begins, ends, first, count = runs_of(texts, inside, offsets)
+    return Words(data, hashed(data, begins, ends), begins, ends, first, count)
 
 
 #: Powers of the base and of its inverse modulo 2^64, made once.
@@ -75,8 +83,8 @@ _POWERS = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(BLOCK, _BASE
 _INVERSE = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(BLOCK, _U(pow(int(_BASE), -1, 1 << 64))))))
 
 
-def _hashed(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The polynomial hash of each word, from prefix sums over blocks of bytes; a word longer than a block is summed block by block."""
+def hashed(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomial hash of each word, ends in rising order, from prefix sums over blocks of bytes; a word longer than a block is summed block by block."""
     out = np.zeros(len(begins), np.uint64)
     at = 0
     while at < len(begins):

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import string
-import tempfile
 from collections.abc import Iterable, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +15,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from inkwell.llm.common import kept_bytes
+
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 _HOST_END, _PATH_END = re.compile(r"[/?#]"), re.compile(r"[?#]")
+#: Rules of a list at most, some gigabyte in the driver.
+MOST_RULES = 4_000_000
 #: (verdict, host, path), the rule list of the query.
 RULES = (
     ("allow", "com", "/"),
@@ -42,8 +45,11 @@ def build(rules: Iterable[tuple[str, str, str]]) -> bytes:
     """The file of a rule list: count, number of path lengths, sorted digests, string offsets, verdicts, path lengths, strings.
 
     A key is host + path. Keys with one digest stand side by side; a probe compares the strings of all of them.
-    Of repeated rules the last holds.
+    Of repeated rules the last holds. A list of rules is held in the driver's memory; more than MOST_RULES are refused.
     """
+    rules = list(islice(rules, MOST_RULES + 1))
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     last = {(h.translate(_LOWER) + p).encode(): (v, len(p.encode())) for v, h, p in rules}
     rows = sorted((xxhash.xxh64_intdigest(k), k, v == "block", n) for k, (v, n) in last.items())
     lengths = sorted({r[3] for r in rows})
@@ -120,16 +126,13 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
 
     A null url, and one without "://", have an empty host and path. A url that no rule fits is allowed, rule null.
     Repeated rows are judged one by one; columns of pages named like an output give way to it; an empty table stays empty.
-    The rule file goes to every machine by addFile, so executors that start later fetch it too.
+    The rule file is written to the shared folder and goes to every machine by addFile, so executors that start later fetch it too.
     """
     blob = build(rules)
     name = f"urls-{hashlib.sha256(blob).hexdigest()[:24]}.digests"
-    local = os.path.join(os.path.realpath(tempfile.gettempdir()), name)
-    if not os.path.exists(local):
-        with open(f"{local}.{os.getpid()}", "wb") as out:
-            out.write(blob)
-        os.replace(f"{local}.{os.getpid()}", local)
-    pages.sparkSession.sparkContext.addFile(local)
+    context = pages.sparkSession.sparkContext
+    if not any(f.endswith(f"/{name}") for f in context.listFiles):
+        context.addFile(kept_bytes(pages.sparkSession, blob, name))
     outputs = ("host", "path", "rule", "verdict")
     kept = [c for c in pages.columns if c not in outputs]
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField(c, T.StringType()) for c in outputs])

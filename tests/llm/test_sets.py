@@ -162,7 +162,120 @@ def test_leaks_by_runs_and_with_merged_values(spark):
     assert got[1, 1].n_windows == 25 and got[2, 1].n_windows == 6 and got[4, 2].coverage == 1 and got[4, 2].reparameterised
 
 
-def plain_chats(rows, block):
+FIXED_UNITS = set(decontaminate.UNITS)
+
+
+def plain_tokens(text):
+    """(token, kind) of a text; kind None: literal."""
+    out, before, stop = [], None, True
+    for m in re.finditer(r"[.!?:\n\r\"]|(?:[0-9A-Za-z\x80-\U0010ffff]|(?<=[0-9])[.,](?=[0-9]))+", text or ""):
+        if m.group() in '.!?:\n\r"':
+            stop = True
+            continue
+        word = m.group()
+        low = "".join(c.lower() if c.isascii() or (c in "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ") else c for c in word)
+        kind = None
+        if any(c in "0123456789" for c in word):
+            kind = "number"
+        elif low[0] != word[0] and not stop:
+            kind = "name"
+        elif before == "number" and low in FIXED_UNITS:
+            kind = "unit"
+        out.append((low, kind))
+        before, stop = kind, False
+    return out
+
+
+def plain_leaks(docs, bench, window=8, share=0.5, run=13):
+    """Every text against every item, window by window, shift by shift."""
+    best = {}
+    for item_id, item in bench:
+        a = plain_tokens(item)
+        size = min(window, len(a))
+        if item_id is None or not size:
+            continue
+        places = range(len(a) - size + 1)
+        usable = {p for p in places if 2 * sum(k is None for _, k in a[p : p + size]) >= size}
+        for doc_id, text in docs:
+            b = plain_tokens(text)
+            if doc_id is None:
+                continue
+            lines = collections.defaultdict(lambda: (set(), set()))
+            form = lambda t: t[0] if t[1] is None else (t[1],)
+            for p in places:
+                for q in range(len(b) - size + 1):
+                    x, y = a[p : p + size], b[q : q + size]
+                    if [t for t, _ in x] == [t for t, _ in y]:
+                        lines[q - p][0].add(p)
+                    if p in usable and 2 * sum(k is None for _, k in y) >= size and [form(t) for t in x] == [form(t) for t in y]:
+                        lines[q - p][1].add(p)
+            found = None
+            for shift, (exact, alike) in lines.items():
+                slots = {p: {(a[p + k][0], b[p + shift + k][0]) for k in range(size) if a[p + k][1]} for p in alike}
+                votes = collections.Counter(s for ss in slots.values() for s in ss)
+                values = {}
+                for (v, w), n in votes.items():
+                    values[v] = max(values.get(v, (0, False, "")), (n, v == w, w)) if v in values else (n, v == w, w)
+                agreed = {p for p, ss in slots.items() if all(values[v][2] == w for v, w in ss)}
+                at = exact | agreed
+                long = len(a) >= run and any(all(p + k in exact for k in range(run - size + 1)) for p in exact) if run > size else bool(exact)
+                found = found or [set(), set(), False]
+                found[0] |= at
+                found[1] |= at & usable
+                found[2] |= long
+            if found:
+                whole, part = len(found[0]) / len(places), len(found[1]) / len(usable) if usable else 0.0
+                if max(whole, part) >= share or found[2]:
+                    best[doc_id, item_id] = max(best.get((doc_id, item_id), 0), whole, part)
+    return best
+
+
+def test_leaks_against_plain(spark):
+    rnd = random.Random(17)
+    words = "the a of train leaves walks with and meets buys apples after on way to old bridge before sells in total how many are there left".split()
+    names, units = ["Anna", "Otto", "Paris", "Boston", "Zoë"], ["km", "miles", "kg", "hours"]
+
+    def sentence(n):
+        out = [rnd.choice(words)]
+        while len(out) < n:
+            out.append(rnd.choice([rnd.choice(words), rnd.choice(words), rnd.choice(names), str(rnd.randint(2, 99)), f"{rnd.randint(2, 99)} {rnd.choice(units)}"]))
+        return " ".join(out).capitalize() + rnd.choice([".", "?", ""])
+
+    items = [sentence(rnd.randint(3, 30)) for _ in range(12)]
+    bench = [*enumerate(items), (3, sentence(20)), (50, items[4]), (51, items[5].replace("Anna", "Otto")), (60, None), (61, ""), (None, sentence(9))]
+
+    def copied(item):
+        kind = rnd.randrange(5)
+        if kind == 0:
+            return item
+        if kind == 1:
+            return rnd.choice([str.upper, str.lower, str.title])(item)
+        if kind == 2:
+            swap = {n: rnd.choice(names) for n in names} | {u: rnd.choice(units) for u in units}
+            return " ".join(swap.get(w, str(int(w) + 3) if w.isdigit() else w) for w in item.split(" "))
+        parts = item.split(" ")
+        k = rnd.randint(0, max(0, len(parts) - 4))
+        return " ".join(parts[k : k + rnd.randint(4, 20)])
+
+    docs = [(k, " ".join([sentence(6), copied(rnd.choice(items)), sentence(5), copied(rnd.choice(items)), sentence(4)])) for k in range(60)]
+    docs += [(7, items[2]), (7, copied(items[3])), (99, None), (None, items[0])]
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = plain_leaks(docs, bench)
+    assert len(want) > 60 and got.keys() == want.keys()
+    for key, coverage in want.items():
+        assert abs(got[key] - coverage) < 1e-9, key
+
+
+def test_leaks_of_repeated_ids_and_equal_items(spark):
+    item = "A train leaves Boston with 40 cars and meets Anna after 3 km on the way to the old bridge."
+    other = "They walk from Rome to the north for 12 days and rest near a lake that nobody has ever seen."
+    again = item.replace("40", "55").replace("Anna", "Otto")
+    got = leaks_of(spark, [(10, item), (10, again), (11, other)], [(1, item), (2, item), (3, item), (3, other)])
+    assert set(got) == {(10, 1), (10, 2), (10, 3), (11, 3)}
+    assert all(r.coverage == 1 and not r.reparameterised for r in got.values())
+
+
+def plain_chats(rows):
     convs = collections.defaultdict(list)
     for c, turn, role, text in rows:
         convs[c].append((turn, role, text))
@@ -173,22 +286,75 @@ def plain_chats(rows, block):
         longer = any(len(w) > len(v) and w[: len(v)] == v for w in convs.values())
         equal = [k for k, w in convs.items() if w == v]
         if not longer and c == min((k for k in equal if k is not None), default=None):
-            parts = ["".join(f"<|im_start|>{r or 'unknown' if r is not None else 'unknown'}\n{t or ''}<|im_end|>\n" for r, t in v[k : k + block]) for k in range(0, len(v), block)]
-            out |= {(c, k): (p, len(v), len(equal)) for k, p in enumerate(parts)}
+            out[c] = ("".join(f"<|im_start|>{'unknown' if r is None else r}\n{t or ''}<|im_end|>\n" for r, t in v), len(v), len(equal))
     return out
 
 
 def test_chats(spark):
     base = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", "yes")]
     rows = [(c, t, *base[t]) for c, n in ((1, 2), (2, 4), (3, 4), (4, 1), (5, 3)) for t in range(n)]
-    rows += [(6, t, "user", f"long {t}") for t in range(23)] + [(7, t, "user", f"long {t}") for t in range(20)] + [(8, 0, None, "a"), (8, None, "user", None), (9, 0, "user", "x"), (9, 0, "user", "x"), (10, 0, "user", "x")]
+    rows += [(6, t, "user", f"long {t}") for t in range(600)] + [(7, t, "user", f"long {t}") for t in range(20)] + [(8, 0, None, "a"), (8, None, "user", None), (9, 0, "user", "x"), (9, 0, "user", "x"), (10, 0, "user", "x")]
+    rows += [(11, 0, "user", "word " * 60_000), (None, 1, "user", "nobody")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, pos int")
     for block in (4, 256):
-        got = {(r.conv_id, r.part): (r.text, r.n_turns, r.n_equal) for r in chats.formatted(df, block).collect()}
-        assert got == plain_chats(rows, block)
+        got = {r.conv_id: (r.text, r.n_turns, r.n_equal) for r in chats.formatted(df, block).collect()}
+        assert got == plain_chats(rows)
     assert chats.formatted(df.limit(0)).collect() == []
 
 
+class PlainTwister:
+    """The Mersenne twister as the shuffle of arrays draws from it."""
+
+    def __init__(self, seed):
+        self.state = np.random.RandomState([seed >> 32 & 0xFFFFFFFF, seed & 0xFFFFFFFF])
+
+    def below(self, n):
+        draw = lambda: int(self.state.randint(0, 1 << 32, dtype=np.uint32)) >> 1
+        if n & -n == n:
+            return n * draw() >> 31
+        while True:
+            bits = draw()
+            if bits - bits % n + n - 1 < 1 << 31:
+                return bits % n
+
+
+def plain_shards(rows, shards_=16, seed=shards.SEED, bucket_bytes=shards.BUCKET_BYTES):
+    """Buckets by the seeded hash, each sorted and shuffled from its first item to its last; even runs of all."""
+    import xxhash
+
+    n_buckets = max(shards_, -(-sum(len((t or "").encode()) + 1 for _, t in rows) // bucket_bytes))
+    buckets = collections.defaultdict(list)
+    for doc_id, text in rows:
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+        h = h if doc_id is None else xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little"), h)
+        h = h if text is None else xxhash.xxh64_intdigest(text.encode(), h)
+        h = h - (1 << 64) if h >> 63 else h
+        buckets[h % n_buckets].append((doc_id, text))
+    out, place, total = collections.Counter(), 0, max(1, len(rows))
+    for b in range(n_buckets):
+        mine = sorted(buckets[b], key=lambda r: ((r[0] is not None, r[0] or 0), (r[1] is not None, (r[1] or "").encode())))
+        order, twister = [], PlainTwister(seed + b)
+        for i in range(len(mine)):
+            j = twister.below(i + 1)
+            order.append(i)
+            order[i], order[j] = order[j], i
+        for k in order:
+            shard = place * shards_ // total
+            slot = place - -(-shard * total // shards_)
+            text = mine[k][1] or ""
+            out[mine[k][0], len(text.encode()) + 1, zlib.crc32(text.encode()), "rows", shard, slot, None] += 1
+            place += 1
+    return out
+
+
+def test_shards_against_plain(spark):
+    rnd = random.Random(6)
+    rows = [(i, None if i % 50 == 0 else "é " * rnd.randint(0, 30)) for i in range(700)] + [(5, "same")] * 40 + [(None, ""), (None, None), (None, "x")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, slot int").repartition(3)
+    got = collections.Counter((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in shards.documents_sharded(df).collect())
+    assert got == plain_shards(rows)
+
+
 def test_shards(spark):
     rows = [(i, None if i % 50 == 0 else "é" * (i % 7), "x") for i in range(1000)] + [(5, "same", "y")] * 40 + [(None, "", None)] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, slot string").repartition(5)
