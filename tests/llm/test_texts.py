@@ -255,15 +255,15 @@ def test_pii_bootstrap_against_plain(spark):
     words = "wir the haus und of café is on ging lang zwei mit".split()
     filler = lambda n: " ".join(rnd.choice(words) for _ in range(n))
     key = lambda: "".join(rnd.choice("BCDFGHJK23456789") for _ in range(9))
-    hidden = [key() for _ in range(45)]
+    hidden = [key() for _ in range(20)]
     entity = lambda: rnd.choice([f"u{rnd.randrange(99)}@mail.example.com", f"{rnd.randrange(200)}.2.3.4", f"+1 (168) 555-{rnd.randrange(1000, 9999)}"])
     texts = []
     for k in range(60):
         texts.append(f"{filler(rnd.randint(2, 9))} reach me under {entity()} or else {filler(4)}")
-        if k < 45:
+        if k < 20:
             texts.append(f"{filler(5)}: reach me under {hidden[k]} or else {filler(3)}")
             texts.append(f"{filler(3)} Ihre Kundennummer {hidden[k]}, danke sehr {filler(3)}")
-        if k % 5 == 0:
+        if k % 10 == 0:
             texts.append(f"{filler(6)} Ihre Kundennummer {key()}, danke sehr {filler(2)}")
         texts.append(f"{filler(8)} {entity()} {filler(8)} {k} {filler(3)}")
     texts += [None, "", "me under", "4111111111111111", "reach me under 55 0199 AB-12 or else x y", "word " * 30_000 + "reach me under zz9 or else"]
