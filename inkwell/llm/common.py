@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import running_sums
 from inkwell.storage import kept_bytes, kept_through, materialise, small_batches
 
 __all__ = ["SPACES", "SPACE_RUN", "free_name", "hash_filter", "in_filter", "kept_bytes", "kept_through", "let", "materialise", "read", "running_sums", "small_batches", "span_string", "words"]
@@ -55,27 +56,6 @@ def in_filter(hashes: np.ndarray, table: np.ndarray, n_bits: int) -> np.ndarray:
     return ((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def running_sums(values: Column, block: int = 64) -> Column:
-    """array<int>: for each of an array's numbers the sum of those before it.
-
-    Sums grow within blocks, and blocks are joined at the end, so that appending never copies more than a block or the list of
-    blocks: time grows in proportion to the array, up to millions of items.
-    """
-
-    def summed(v: Column) -> Column:
-        def one(acc: Column, b: Column) -> Column:
-            start = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("all"))
-            items = F.sequence(b * block, F.least(F.size(v), (b + 1) * block) - 1)
-            inner = F.aggregate(items, start, lambda a, k: F.struct((a["at"] + F.get(v, k)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))
-            return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["all"], F.array(x["all"])).alias("all")))
-
-        blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("all"))
-        return F.when(F.size(v) > 0, F.flatten(F.aggregate(blocks, start, one)["all"])).otherwise(F.array().cast("array<int>"))
-
-    return let(values.cast("array<int>"), summed)
-
-
 def words(text: Column) -> Column:
     """The words of a text: maximal runs of anything but SPACES."""
     return F.array_remove(F.split(text, SPACE_RUN), "")

@@ -88,19 +88,20 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def digests(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit digest (f1, f2) and its profile."""
+    """doc_id, n_shingles, the set's 128-bit digest (f1, f2), its profile and a coarse one of half to once as many classes as shingles."""
 
     def run(batches):
         for batch in batches:
             n, f1, f2 = (np.zeros(batch.num_rows, k) for k in (np.int64, np.uint64, np.uint64))
-            profiles = []
+            profiles, coarse = [], []
             for i, s in enumerate(shingle_sets(batch.column("text"), size)):
                 spread = mixed(s)
                 n[i], f1[i], f2[i] = len(s), np.add.reduce(spread), np.add.reduce(mixed(s ^ _U(0x5851F42D4C957F2D)))
                 profiles.append(profile_of(spread))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(profiles, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "profile"])
+                coarse.append(folded(np.frombuffer(profiles[-1], np.uint8), 1 << max(LEAST_CLASSES, (len(s) // 2).bit_length()) - 3).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(profiles, pa.binary()), pa.array(coarse, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "profile", "coarse"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, profile binary")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, profile binary, coarse binary")
 
 
 def signature_rows(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -267,7 +268,7 @@ def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     placed = materialise(usable.join(classes, ["f1", "f2"]).select("doc_id", "rep").distinct())
     speakers = materialise(placed.select(F.col("rep").alias("doc_id")).distinct())
     profiles = usable.join(speakers, "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    profiles = materialise(profiles.select(F.col("doc_id").alias("rep"), "n_shingles", "profile"))
+    profiles = materialise(profiles.select(F.col("doc_id").alias("rep"), "n_shingles", "profile", "coarse"))
 
     bucket = Window.partitionBy("sig")
     rows = signature_rows(docs.join(speakers, "doc_id", "left_semi"), size, percent)
@@ -299,8 +300,9 @@ def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     if split.limit(1).count():
         sigs = buckets.filter("many").join(split, ["doc_id", "lead"], "left_semi").select("sig").distinct()
         rest = buckets.filter("many and doc_id <> lead").join(sigs, "sig", "left_semi").select("sig", F.col("doc_id").alias("rep")).distinct()
-        rest = label(rest, "rep", "c").join(profiles, "rep")
-        more = materialise(across(rest, percent).join(pairs, ["a", "b"], "left_anti"))
+        # the coarse profiles go with every bucket of a set, the others only with the pairs that these leave
+        rest = materialise(label(rest, "rep", "c").join(profiles.select("rep", "n_shingles", F.col("coarse").alias("profile")), "rep"))
+        more = materialise(near(across(rest, percent).join(pairs, ["a", "b"], "left_anti"), profiles, percent))
         if more.limit(1).count():
             links = materialise(links.union(linked(more, texts_of(more), size, percent)))
             labels = materialise(components(links))
