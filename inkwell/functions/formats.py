@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import xml_safe
+
 #: Palette colours 0 to 16, highlight names 0 to 16, theme colour names and their scheme names 0 to 11.
 PALETTE = ["000000", "000000", "0000FF", "00FFFF", "00FF00", "FF00FF", "FF0000", "FFFF00", "FFFFFF", "00008B", "008B8B", "006400", "8B008B", "8B0000", "808000", "A9A9A9", "D3D3D3"]
 HIGHLIGHTS = ["none", "black", "blue", "cyan", "green", "magenta", "red", "yellow", "white", "darkBlue", "darkCyan", "darkGreen", "darkMagenta", "darkRed", "darkYellow", "darkGray", "lightGray"]
@@ -24,6 +26,15 @@ SHADINGS = {
     19: "diagCross", 20: "thinHorzStripe", 21: "thinVertStripe", 22: "thinReverseDiagStripe", 23: "thinDiagStripe", 24: "thinHorzCross",
     25: "thinDiagCross", 37: "pct12", 38: "pct15", 43: "pct35", 44: "pct37", 46: "pct45", 49: "pct55", 51: "pct62", 52: "pct65", 57: "pct85", 60: "pct95",
 }
+#: Border styles by code (others are single) with the tokens that name them, alignments, underlines, alignments of numbering levels.
+BORDERS = [
+    "None", "Single", "Thick", "Double", None, "Dotted", "Dashed", "DotDash", "DotDotDash", "Triple", "ThinThickSmallGap", "ThickThinSmallGap",
+    "ThinThickThinSmallGap", "ThinThickMediumGap", "ThickThinMediumGap", "ThinThickThinMediumGap", "ThinThickLargeGap", "ThickThinLargeGap",
+    "ThinThickThinLargeGap", "Wave",
+]
+ALIGNMENTS = ["left", "center", "right", "both", "distribute", "thaiDistribute"]
+UNDERLINES = ["none", "single", "word", "double", "dotted", "thick", "dash", "dotDash", "dotDotDash", "wave", "thickWave"]
+LEVEL_ALIGNMENTS = {1: "center", 2: "right"}
 THEME_BIT = 0x0100_0000
 
 
@@ -85,6 +96,49 @@ def shading(code: Column) -> Column:
     return F.when(code == 0xFFFF, F.lit("nil")).otherwise(named(code, SHADINGS, "clear"))
 
 
+def border_style(code: Column) -> Column:
+    return F.coalesce(named(code, {k: n for k, n in enumerate(BORDERS) if n}), F.lit("Single"))
+
+
+def border_token(style: Column) -> Column:
+    """A border style's token: its name with a small first letter; dashed is dash."""
+    return F.when(style == "Dashed", F.lit("dash")).otherwise(F.concat(F.lower(F.substring(style, 1, 1)), F.substr(style, F.lit(2))))
+
+
+def alignment_token(code: Column) -> Column:
+    return named(code, ALIGNMENTS, "left")
+
+
+def underline_token(code: Column) -> Column:
+    return named(code, UNDERLINES, "none")
+
+
+def level_alignment(code: Column) -> Column:
+    return named(code, LEVEL_ALIGNMENTS, "left")
+
+
+def legacy_widths(widths: Column) -> Column:
+    """Widths of a legacy table definition: one more on each that is positive, two more on the first."""
+    return F.transform(widths, lambda w, i: F.when(w > 0, w + F.when(i == 0, 3).otherwise(1)).otherwise(w))
+
+
+def number_at(data: Column, at: int, size: int) -> Column:
+    """The little-endian number in bytes at (from 0) of binary data; null beyond its end."""
+    digits = F.concat(*[F.hex(F.substring(data, at + k + 1, 1)) for k in reversed(range(size))])
+    return F.when(F.octet_length(data) >= at + size, F.conv(digits, 16, 10).cast("long"))
+
+
+def shading_operand(data: Column) -> Column:
+    """struct<fore, back, pattern> of a shading: ten bytes of two colours and a pattern, a length of ten before them or not, else four of two palette colours; null if shorter."""
+
+    def direct(at: int) -> Column:
+        return F.struct(number_at(data, at, 4).alias("fore"), number_at(data, at + 4, 4).alias("back"), shading(number_at(data, at + 8, 2)).alias("pattern"))
+
+    legacy = F.struct(number_at(data, 0, 2).alias("fore"), number_at(data, 2, 2).alias("back"), F.lit("clear").alias("pattern"))
+    size = F.octet_length(data)
+    return F.when((size == 11) & (number_at(data, 0, 1) == 10), direct(1)).when(size >= 10, direct(0)).when(size >= 4, legacy)
+
+
 def highlight(code: Column) -> Column:
     return named(code, HIGHLIGHTS, "none")
 
@@ -119,11 +173,20 @@ def border(word: Column, colour: Column) -> dict[str, Column]:
     }
 
 
+def _safe_id(name: Column, fallback: Column) -> Column:
+    """A name as an id: what XML allows, without spaces; the fallback where nothing is left."""
+    return F.coalesce(F.nullif(F.replace(xml_safe(F.coalesce(name, F.lit(""))), F.lit(" "), F.lit("")), F.lit("")), fallback)
+
+
+def style_name(name: Column, fallback: Column) -> Column:
+    """A style's name as XML may hold it, without white space at its ends; the fallback where nothing is left."""
+    return F.coalesce(F.nullif(F.regexp_replace(xml_safe(F.coalesce(name, F.lit(""))), r"^[\s\x85\xA0]+|[\s\x85\xA0]+$", ""), F.lit("")), fallback)
+
+
 def style_id(index: Column, name: Column) -> Column:
-    """The id of a paragraph style: by index 0 to 9, by known name, by "heading n", else the name without spaces."""
+    """The id of a paragraph style: by index 0 to 9, by known name, by "heading n", else the name without spaces and what XML forbids."""
     low = F.lower(name)
     level = F.regexp_extract(low, r"^heading ([1-9])$", 1)
-    own = F.nullif(F.replace(name, F.lit(" "), F.lit("")), F.lit(""))
     return (
         F.when((index == 0) | (low == "normal"), F.lit("Normal"))
         .when(index.between(1, 9), F.concat(F.lit("Heading"), index.cast("string")))
@@ -131,18 +194,18 @@ def style_id(index: Column, name: Column) -> Column:
         .when(low == "list paragraph", F.lit("ListParagraph"))
         .when(low == "no spacing", F.lit("NoSpacing"))
         .when(level != "", F.concat(F.lit("Heading"), level))
-        .otherwise(F.coalesce(own, F.concat(F.lit("Style"), index.cast("string"))))
+        .otherwise(_safe_id(name, F.concat(F.lit("Style"), index.cast("string"))))
     )
 
 
 def table_style_id(index: Column, name: Column) -> Column:
-    low, own = F.lower(name), F.nullif(F.replace(name, F.lit(" "), F.lit("")), F.lit(""))
-    return F.when((index == 0) | (low == "normal table"), F.lit("TableNormal")).when((index == 1) | (low == "table grid"), F.lit("TableGrid")).otherwise(F.coalesce(own, F.concat(F.lit("TableGrid"), index.cast("string"))))
+    low, own = F.lower(name), _safe_id(name, F.concat(F.lit("TableGrid"), index.cast("string")))
+    return F.when((index == 0) | (low == "normal table"), F.lit("TableNormal")).when((index == 1) | (low == "table grid"), F.lit("TableGrid")).otherwise(own)
 
 
 def character_style_id(index: Column, name: Column) -> Column:
-    own = F.nullif(F.replace(name, F.lit(" "), F.lit("")), F.lit(""))
-    return F.when(F.lower(name) == "default paragraph font", F.lit("DefaultParagraphFont")).otherwise(F.coalesce(own, F.concat(F.lit("CharStyle"), index.cast("string"))))
+    own = _safe_id(name, F.concat(F.lit("CharStyle"), index.cast("string")))
+    return F.when(F.lower(name) == "default paragraph font", F.lit("DefaultParagraphFont")).otherwise(own)
 
 
 def resolved_target(source_dir: Column, target: Column) -> Column:

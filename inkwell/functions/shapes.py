@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkwell.functions.formats import bits, named
-from inkwell.functions.text import bound
+from inkwell.functions.text import NUMBERED, bound
 
 #: Shape kinds by code, frames of reference by code, wraps by code, image types with extension and content type.
 SHAPE_KINDS = {
@@ -81,7 +84,7 @@ def merged_floating(old: Column, new: Column, positions: list[str]) -> Column:
 
 
 def section_heading(text: Column) -> Column:
-    return F.rlike(text, F.lit(r"^(第[一二三四五六七八九十百0-9]+条[：:].*|[0-9]+\.[0-9].*)$"))
+    return F.rlike(text, F.lit(NUMBERED))
 
 
 def metadata_cell(text: Column) -> Column:
@@ -102,3 +105,27 @@ def plausible_header(extracted: Column, parsed: Column) -> Column:
     a, b = comparison_key(extracted), comparison_key(parsed)
     fits = (F.length(b) <= F.greatest(F.lit(96), 4 * F.length(a))) & (F.contains(b, a) | F.contains(a, b))
     return (F.length(b) > 0) & F.when(F.length(a) == 0, F.length(b) <= 64).otherwise(fits)
+
+
+def picture_size(goal_width: Column, goal_height: Column, scale_x: Column, scale_y: Column, most_width: Column) -> Column:
+    """struct<width, height, flip_x, flip_y> of a picture's header: goals scaled by thousandths, a negative scale turns it over, the width cut to the page; null without a goal."""
+    scaled = lambda goal, scale: F.when((scale != 0) & (F.abs(scale) != 1000), goal * F.abs(scale) / F.lit(1000.0)).otherwise(goal.cast("double"))
+    width = scaled(goal_width, scale_x)
+    width = F.when((most_width > 0) & (width > most_width), most_width.cast("double")).otherwise(width)
+    made = F.struct(F.round(width).cast("int").alias("width"), F.round(scaled(goal_height, scale_y)).cast("int").alias("height"), (scale_x < 0).alias("flip_x"), (scale_y < 0).alias("flip_y"))
+    return bound(made, lambda m: F.when((goal_width > 0) & (goal_height > 0) & (m["width"] > 0) & (m["height"] > 0), m))
+
+
+def _pixel() -> bytes:
+    """A PNG of one transparent pixel."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(bytes(5))) + chunk(b"IEND", b"")
+
+
+#: What stands for an image without bytes.
+PLACEHOLDER = _pixel()
+
+
+def image_bytes(data: Column) -> Column:
+    """An image's bytes, the placeholder where there are none."""
+    return F.when(F.octet_length(data) > 0, data).otherwise(F.lit(bytearray(PLACEHOLDER)))

@@ -18,6 +18,27 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running_sums(values: Column, block: int = 64) -> Column:
+    """array<int>: for each of an array's numbers the sum of those before it.
+
+    Sums grow within blocks, and blocks are joined at the end, so that appending never copies more than a block or the list of
+    blocks: time grows in proportion to the array, up to millions of items.
+    """
+
+    def summed(v: Column) -> Column:
+        def one(acc: Column, b: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("all"))
+            items = F.sequence(b * block, F.least(F.size(v), (b + 1) * block) - 1)
+            inner = F.aggregate(items, start, lambda a, k: F.struct((a["at"] + F.get(v, k)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))
+            return bound(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["all"], F.array(x["all"])).alias("all")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("all"))
+        return F.when(F.size(v) > 0, F.flatten(F.aggregate(blocks, start, one)["all"])).otherwise(F.array().cast("array<int>"))
+
+    return bound(values.cast("array<int>"), summed)
+
+
 def count_class(text: Column, inside: str) -> Column:
     """How many characters are in a class."""
     return F.regexp_count(text, F.lit(f"[{inside}]"))
@@ -116,3 +137,67 @@ def level_text(text: Column) -> Column:
 def utf16_length(text: Column) -> Column:
     """The length in UTF-16 units, in which character positions count."""
     return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+#: Fixed value: the marks that stand in runs of their own.
+SPECIAL = r"\x01\x08\x13\x14\x15"
+#: Headings of articles, chapters and sections of a contract; headings that begin with a number.
+ARTICLE, NUMBERED = r"^第[一二三四五六七八九十百0-9]+[条章节][：:、]", r"^(第[一二三四五六七八九十百0-9]+条[：:].*|[0-9]+\.[0-9].*)$"
+#: The numbers of the heading styles, and of the title's.
+HEADINGS, TITLE = (1, 9), 15
+
+
+def special_parts(text: Column) -> Column:
+    """The text cut so that each special mark stands alone."""
+    return F.regexp_extract_all(text, F.lit(f"[{SPECIAL}]|[^{SPECIAL}]+"), F.lit(0))
+
+
+def paragraph_type(text: Column, in_table: Column, nesting: Column) -> Column:
+    """TableCell by a cell mark or by properties, PageBreak by a page break, else Normal."""
+    cell = text.contains("\x07") | F.coalesce(in_table, F.lit(False)) | (F.coalesce(nesting, F.lit(0)) > 0)
+    return F.when(cell, F.lit("TableCell")).when(text.contains("\x0c"), F.lit("PageBreak")).otherwise(F.lit("Normal"))
+
+
+def is_heading(style: Column, name: Column) -> Column:
+    """Whether a paragraph is a heading or title, by the number of its style or by its name."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return (style == TITLE) | style.between(*HEADINGS) | F.startswith(low, F.lit("heading")) | (low == "title")
+
+
+def flat_table_paragraph(kind: Column, text: Column) -> Column:
+    return (kind == "TableCell") & F.coalesce(text.contains("\x07"), F.lit(False))
+
+
+def article_heading(text: Column) -> Column:
+    return F.rlike(text, F.lit(ARTICLE))
+
+
+def nested_title(text: Column) -> Column:
+    """Whether a title announces a nested table."""
+    return F.contains(text, F.lit("嵌套")) | F.contains(F.lower(text), F.lit("nested"))
+
+
+def splittable(picture: Column, field: Column, embedded: Column, text: Column, size: Column) -> Column:
+    """Whether a run may be cut: of text alone, as long as the positions that it covers."""
+    return ~picture & ~field & ~embedded & (size > 0) & (utf16_length(text) == size)
+
+
+def narrative_indent(heading_before: Column, normal: Column, listed: Column, indents: Column, text: Column) -> Column:
+    """Whether a paragraph gets the indent of narrative text: behind a heading, normal, no list, no indent of its own, long enough."""
+    body = F.regexp_replace(text, r"^[\s\x85\xA0]+|[\s\x85\xA0]+$", "")
+    words = F.size(F.array_remove(F.split(body, "[ \t]"), ""))
+    return heading_before & normal & ~listed & (indents == 0) & (F.length(body) >= 60) & (words >= 8)
+
+
+def east_asian_font(font: Column, text: Column, language: Column, minor: Column, major: Column) -> Column:
+    """The font of a run: its own, else for East Asian text (or language 0804) the theme's, else SimSun; null where none is wanted."""
+    wanted = east_asian(text) | (language == 0x0804)
+    return F.coalesce(F.nullif(font, F.lit("")), F.when(wanted, F.coalesce(minor, major, F.lit("SimSun"))))
+
+
+def message(level: Column, text: Column, kind: Column, detail: Column, at: Column | None = None) -> Column:
+    """A diagnostic as a line: time if given, level, text; the kind and detail of an exception on a line of their own."""
+    head = F.concat(F.lit("["), F.upper(level), F.lit("] "), text)
+    if at is not None:
+        head = F.concat(F.lit("["), F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("] "), head)
+    return F.when(kind.isNull(), head).otherwise(F.concat(head, F.lit("\n  Exception: "), kind, F.lit(": "), F.coalesce(detail, F.lit(""))))

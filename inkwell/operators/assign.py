@@ -103,3 +103,92 @@ def column_widths(cells: DataFrame, keys: Sequence[str], columns: int) -> DataFr
 
     kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys)
     return whole.mapInArrow(run, f"{kinds}, widths array<long>")
+
+
+def prefix_runs(cells: Sequence[str], runs: Sequence[str]) -> list[tuple[int, int, int, int]]:
+    """(cell, run, offset, length): each cell's text taken from the runs' text, in order, as far as both agree.
+
+    Blanks and cell marks in the runs that a cell doesn't begin with are stepped over; at anything else a cell ends.
+    """
+    out, run, at = [], 0, 0
+    for k, cell in enumerate(cells):
+        rest = cell.strip()
+        while rest and run < len(runs):
+            text = runs[run]
+            if at >= len(text):
+                run, at = run + 1, 0
+                continue
+            n = 0
+            while n < min(len(rest), len(text) - at) and rest[n] == text[at + n]:
+                n += 1
+            if n:
+                out.append((k, run, at, n))
+                at, rest = at + n, rest[n:]
+            elif text[at].isspace() or text[at] == "\x07":
+                at += 1
+            else:
+                break
+    return out
+
+
+def cells_to_runs(paragraphs: DataFrame, key: str) -> DataFrame:
+    """key, cell, run, offset, length of paragraphs (key, cells array<string>, runs array<string>), each by itself, in Arrow batches."""
+    kind = paragraphs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k.as_py(), *x) for k, c, r in zip(batch.column(key), batch.column("cells"), batch.column("runs"), strict=True) for x in prefix_runs(c.as_py() or [], r.as_py() or [])]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(key).type), *(pa.array(c, pa.int64()) for c in columns[1:])], [key, "cell", "run", "offset", "length"])
+
+    return paragraphs.select(key, "cells", "runs").mapInArrow(run, f"{key} {kind}, cell long, run long, offset long, length long")
+
+
+def column_major(rows: Sequence[Sequence[str]], merged: Sequence[Sequence[int]]) -> list[tuple[int, int, int, list[str]]] | None:
+    """(row, column, row span, paragraphs) of a nested table whose rows were single cells of several paragraphs, dealt to columns; None if they don't go evenly.
+
+    merged: by row and column 1 for a cell merged into the one above, 2 for one merged into the one to its left. Columns are gone through one by one,
+    each row giving its next paragraph. A cell merged upwards, or one of a row that has fewer paragraphs left than columns while a row
+    above has more, adds the owner's next paragraph to the owner instead, which then spans down to here.
+    """
+    total = sum(map(len, rows))
+    if len(rows) < 2 or total <= len(rows) or total % len(rows):
+        return None
+    n = total // len(rows)
+    queues, left = [list(r) for r in rows], [n] * len(rows)
+    cells: list[list[list[str]]] = [[[] for _ in range(n)] for _ in rows]
+    spans = [[1] * n for _ in rows]
+    flag = lambda r, c: merged[r][c] if r < len(merged) and c < len(merged[r]) else 0
+    for c in range(n):
+        for r, queue in enumerate(queues):
+            owner = -1
+            if flag(r, c) == 1:
+                owner = next((k for k in range(r - 1, -1, -1) if spans[k][c] >= r - k or cells[k][c]), -1)
+            elif r and len(queue) < left[r]:
+                owner = next((k for k in range(r - 1, -1, -1) if len(queues[k]) > left[k]), -1)
+            if owner >= 0:
+                if queues[owner]:
+                    cells[owner][c].append(queues[owner].pop(0))
+                spans[owner][c] = max(spans[owner][c], r - owner + 1)
+            elif queue:
+                part = queue.pop(0)
+                if flag(r, c) == 2 and c:
+                    cells[r][c - 1].append(part)
+                else:
+                    cells[r][c] = [part]
+            left[r] -= 1
+    return [(r, c, spans[r][c], cells[r][c]) for r in range(len(rows)) for c in range(n)]
+
+
+def column_major_tables(tables: DataFrame, key: str) -> DataFrame:
+    """key, row_idx, col_idx, row_span, texts of tables (key, rows array<array<string>>, merged array<array<int>>) that column_major() can deal; the others have no rows."""
+    kind = tables.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k.as_py(), *x) for k, r, m in zip(batch.column(key), batch.column("rows"), batch.column("merged"), strict=True) for x in column_major(r.as_py() or [], m.as_py() or []) or ()]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            types = [batch.schema.field(key).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "row_idx", "col_idx", "row_span", "texts"])
+
+    return tables.select(key, "rows", "merged").mapInArrow(run, f"{key} {kind}, row_idx long, col_idx long, row_span long, texts array<string>")

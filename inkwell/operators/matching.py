@@ -42,14 +42,42 @@ def bounded_lookback(points: DataFrame, starts: DataFrame, keys: Sequence[str],
     return found.withColumn(name, F.when(F.col(at) - F.col(name) <= bound, F.col(name)))
 
 
-def containing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, start: str, end: str, order: str) -> DataFrame:
-    """points with order of the first range that holds them, start <= at < end; null without one. An equi-join by key, the ranges as residual."""
+def containing(points: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, start: str, end: str, order: str, disjoint: bool = False) -> DataFrame:
+    """points with order of the first range that holds them, start <= at < end; null without one. Equal points stay as many as they are.
+
+    disjoint: the ranges of a key don't overlap, so that the last one that begins at or before a point is the only candidate: no pairs.
+    Else an equi-join by key, the ranges as residual.
+    """
+    if disjoint:
+        held = ranges.filter(F.col(start) < F.col(end)).select(*keys, start, F.struct(F.col(order).alias("__order"), F.col(end).alias("__end")).alias("__range"))
+        found = asof_floor(points, held, keys, at, start, "__range", fallback_first=False)
+        return found.withColumn(order, F.when(F.col(at) < F.col("__range.__end"), F.col("__range.__order"))).drop("__range")
+    counted = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("__n"))
     r = ranges.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(start).alias("__start"), F.col(end).alias("__end"), F.col(order).alias("__order"))
-    on = [F.col(k) == F.col(f"__{k}") for k in keys] + [(F.col("__start") <= F.col(at)) & (F.col(at) < F.col("__end"))]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return points.join(r, cond, "left").groupBy(*points.columns).agg(F.min("__order").alias(order))
+    cond = (F.col("__start") <= F.col(at)) & (F.col(at) < F.col("__end"))
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__{k}"))
+    found = counted.join(r, cond, "left").groupBy(*points.columns, "__n").agg(F.min("__order").alias(order))
+    return found.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
+
+
+def property_at(paragraphs: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str, bound: int = 2000) -> DataFrame:
+    """paragraphs (start_cp, end_cp) with the value of a range (start_cp, end_cp): the one that holds the start; else the first that begins within the
+    paragraph; else the last one before, its last place at most bound away; else the first of all, unless it begins more than bound behind.
+
+    Ranges don't overlap. Two look-ups on one axis and a join by key, no pairs.
+    """
+    held = ranges.filter("start_cp < end_cp")
+    known = held.select(*keys, F.col("start_cp").alias("__s"), F.struct(F.col("start_cp").alias("s"), F.col("end_cp").alias("e"), F.col(value).alias("v")).alias("__r"))
+    rows = asof_floor(paragraphs, known, keys, "start_cp", "__s", "__r", fallback_first=False).withColumnRenamed("__r", "__before")
+    rows = asof_ceiling(rows, known, keys, "start_cp", "__s", "__r", fallback_last=False).withColumnRenamed("__r", "__behind")
+    rows = rows.join(known.groupBy(*keys).agg(F.min_by("__r", "__s").alias("__first")), list(keys), "left")
+    b, n, first = F.col("__before"), F.col("__behind"), F.col("__first")
+    here = F.when(b["e"] > F.col("start_cp"), b)
+    within = F.when(n["s"] <= F.col("end_cp"), n)
+    past = F.when(F.col("start_cp") - (b["e"] - 1) <= bound, b)
+    found = F.coalesce(here, within, past, F.when(first["s"] <= F.col("start_cp") + bound, first))
+    return rows.withColumn(value, found["v"]).drop("__before", "__behind", "__first")
 
 
 def mode(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

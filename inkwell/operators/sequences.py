@@ -9,25 +9,23 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BEFORE = (Window.unboundedPreceding, -1)
+from inkwell.functions.text import running_sums
+from inkwell.operators.matching import asof_floor
+
 _SO_FAR = (Window.unboundedPreceding, 0)
 
 
-def paragraphs(docs: DataFrame, key: str, text: Column, mark: str = "\n") -> DataFrame:
+def paragraphs(docs: DataFrame, key: str, text: Column, mark: str = "\n", start: Column | None = None) -> DataFrame:
     """key, para_idx, start_cp, end_cp, segment: a text cut at marks, the last part always given, in one row-wise pass.
 
-    Positions come from a running sum within the row's own array, so that nothing is shuffled.
+    Positions come from running sums within the row's own array, in time that grows with the text, so that nothing is shuffled.
+    start: where the text begins among the positions of its document (a textbox's story, say); 0 if not given.
     """
-    parts = F.split(text, mark)
-    sizes = F.transform(parts, lambda p: F.length(p) + 1)
-    begun = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
-        lambda acc: acc["all"],
-    )
-    rows = docs.select(key, F.posexplode(F.arrays_zip(parts.alias("segment"), begun.alias("start"))).alias("para_idx", "p"))
-    return rows.select(key, "para_idx", F.col("p.start").cast("long").alias("start_cp"), (F.col("p.start") + F.length("p.segment")).cast("long").alias("end_cp"), F.col("p.segment").alias("segment"))
+    parts = docs.select(key, (F.lit(0) if start is None else start).cast("long").alias("__start"), F.split(text, mark).alias("__parts"))
+    begun = running_sums(F.transform("__parts", lambda p: F.length(p) + 1))
+    rows = parts.select(key, "__start", F.posexplode(F.arrays_zip(F.col("__parts").alias("segment"), begun.alias("start"))).alias("para_idx", "p"))
+    begin = F.col("__start") + F.col("p.start")
+    return rows.select(key, "para_idx", begin.alias("start_cp"), (begin + F.length("p.segment")).alias("end_cp"), F.col("p.segment").alias("segment"))
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str = "island") -> DataFrame:
@@ -58,12 +56,77 @@ def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Col
 
 
 def split_at(ranges: DataFrame, cuts: DataFrame, keys: Sequence[str], start: str, end: str, cut: str) -> DataFrame:
-    """ranges with seg_start and seg_end: cut at the places that lie strictly inside them."""
-    own = Window.partitionBy(*keys, start, end).orderBy("seg_start")
-    on = [ranges[k] == cuts[k] for k in keys] + [(cuts[cut] > ranges[start]) & (cuts[cut] < ranges[end])]
-    inside = ranges.join(cuts.dropDuplicates([*keys, cut]), on).select(*[ranges[c] for c in ranges.columns], cuts[cut].alias("seg_start"))
-    points = ranges.withColumn("seg_start", F.col(start)).unionByName(inside)
-    return points.withColumn("seg_end", F.coalesce(F.lead("seg_start").over(own), F.col(end)))
+    """ranges with seg_start and seg_end: cut at the places that lie strictly inside them. Ranges may overlap, and equal rows are cut alike.
+
+    An equi-join by key with the place as residual; where the ranges of a key don't overlap, segments() does it in one pass.
+    """
+    names = ranges.columns
+    counted = ranges.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    own = Window.partitionBy(*names).orderBy("seg_start")
+    on = [counted[k] == cuts[k] for k in keys] + [(cuts[cut] > counted[start]) & (cuts[cut] < counted[end])]
+    inside = counted.join(cuts.dropDuplicates([*keys, cut]), on).select(*[counted[c] for c in counted.columns], cuts[cut].alias("seg_start"))
+    points = counted.withColumn("seg_start", F.col(start)).unionByName(inside)
+    cut_up = points.withColumn("seg_end", F.coalesce(F.lead("seg_start").over(own), F.col(end)))
+    return cut_up.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
+
+
+def segments(base: DataFrame, keys: Sequence[str], start: str, end: str, fields: Sequence[str], over: DataFrame | None = None, cuts: DataFrame | None = None, cut: str = "cut") -> DataFrame:
+    """keys, start, end, base (struct of fields), over (struct of fields, null where no range of over lies): the elementary segments of base.
+
+    Neither the ranges of base nor those of over may overlap each other. All boundaries are laid on one axis, and the open range of
+    either side is carried forward: one shuffle and one sort, no pairs. cuts: further places to part at.
+    """
+    kind = F.struct(*fields)
+
+    def marks(df: DataFrame, side: int) -> DataFrame:
+        opens = df.select(*keys, F.col(start).alias("__at"), F.lit(1).alias("__open"), kind.alias("__v"))
+        ends = df.select(*keys, F.col(end).alias("__at"), F.lit(0).alias("__open"), F.lit(None).cast(opens.schema["__v"].dataType).alias("__v"))
+        return opens.unionByName(ends).withColumn("__side", F.lit(side))
+
+    points = marks(base.filter(F.col(start) < F.col(end)), 0)
+    if over is not None:
+        points = points.unionByName(marks(over.filter(F.col(start) < F.col(end)), 1))
+    if cuts is not None:
+        none = F.lit(None).cast(points.schema["__v"].dataType)
+        points = points.unionByName(cuts.select(*keys, F.col(cut).alias("__at"), F.lit(0).alias("__open"), none.alias("__v"), F.lit(2).alias("__side")))
+    w = Window.partitionBy(*keys).orderBy("__at", "__open", "__side")
+    state = lambda side: F.last(F.when(F.col("__side") == side, F.struct("__open", "__v")), ignorenulls=True).over(w.rowsBetween(*_SO_FAR))
+    seen = points.select(*keys, "__at", F.lead("__at").over(w).alias("__to"), state(0).alias("__base"), state(1).alias("__over"))
+    held = seen.filter("__to > __at and __base.__open = 1")
+    return held.select(*keys, F.col("__at").alias(start), F.col("__to").alias(end), F.col("__base.__v").alias("base"), F.col("__over.__v").alias("over"))
+
+
+def property_runs(ranges: DataFrame, keys: Sequence[str], start: str, end: str, fields: Sequence[str], marks: DataFrame, mark: str) -> DataFrame:
+    """keys, start, end, special and fields: neighbouring ranges of equal fields (nulls are equal) joined into runs, each special mark a run by itself."""
+    cuts = marks.select(*keys, F.col(mark).alias("cut")).unionByName(marks.select(*keys, (F.col(mark) + 1).alias("cut")))
+    parts = segments(ranges, keys, start, end, fields, cuts=cuts)
+    flags = marks.select(*keys, F.col(mark).alias(start)).distinct().withColumn("special", F.lit(True))
+    parts = parts.join(flags, [*keys, start], "left").withColumn("special", F.coalesce("special", F.lit(False)))
+    w = Window.partitionBy(*keys).orderBy(start)
+    same = F.lag("base").over(w).eqNullSafe(F.col("base")) & (F.lag(end).over(w) == F.col(start)) & ~F.col("special") & ~F.lag("special").over(w)
+    numbered_parts = parts.withColumn("__new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w.rowsBetween(*_SO_FAR)))
+    runs = numbered_parts.groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end), F.first("base").alias("base"), F.first("special").alias("special"))
+    return runs.select(*keys, start, end, "special", "base.*")
+
+
+def with_markers(runs: DataFrame, marks: DataFrame, paragraphs: DataFrame, keys: Sequence[str], start: str) -> DataFrame:
+    """keys, cp, kind (run, start, end), name: runs (already cut) and the markers of bookmarks in writing order.
+
+    marks: name, start_cp, end_cp, ord. A marker stands before the run that begins at its place, starts before ends, each by ord; those at a
+    paragraph's end stand behind its runs; in a paragraph without runs those at its start, then those at its end. paragraphs:
+    start_cp, end_cp, para_idx.
+    """
+    both = [marks.select(*keys, F.col(f"{kind}_cp").alias("cp"), F.lit(kind).alias("kind"), "name", "ord", F.lit(rank).alias("rank")) for rank, kind in enumerate(("start", "end"))]
+    placed = both[0].unionByName(both[1])
+    own = runs.select(*keys, F.col("para_idx"), F.col(start).alias("cp"), F.lit("run").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("long").alias("ord"), F.lit(2).alias("rank"))
+    first = own.select(*keys, "para_idx", "cp", F.lit(0).alias("side")).distinct()
+    empty = paragraphs.join(own.select(*keys, "para_idx").distinct(), [*keys, "para_idx"], "left_anti").select(*keys, "para_idx", F.col("start_cp").alias("cp"), F.lit(0).alias("side"))
+    last = paragraphs.select(*keys, "para_idx", F.col("end_cp").alias("cp"), F.lit(1).alias("side"))
+    closing = last.join(empty.select(*keys, "para_idx", "cp"), [*keys, "para_idx", "cp"], "left_anti")
+    slots = first.unionByName(empty).unionByName(closing)
+    found = slots.join(placed, [*keys, "cp"]).select(*keys, "para_idx", "cp", "kind", "name", "ord", "rank", "side")
+    every = found.unionByName(own.withColumn("side", F.lit(0)))
+    return numbered(every, [*keys, "para_idx"], ["cp", "side", "rank", "ord"], "pos").select(*keys, "para_idx", "pos", "cp", "kind", "name")
 
 
 def merge_spans(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column) -> DataFrame:
@@ -107,13 +170,15 @@ def first_seen_ids(df: DataFrame, keys: Sequence[str], same: Sequence[Column], o
 
 
 def reset_levels(df: DataFrame, keys: Sequence[str], order: Sequence[str], level: Column) -> DataFrame:
-    """df with island and parent: runs of one nesting level, and the latest run before it that is one level up."""
+    """df with island and parent: runs of one nesting level, and the latest run before it that is one level up.
+
+    The runs of a level are looked up as of their number, level by level: no pairs.
+    """
     rows = islands(df.withColumn("__level", level), keys, order, F.col("__level"))
     runs = rows.groupBy(*keys, "island").agg(F.first("__level").alias("__level"))
-    up = runs.select(*[F.col(k).alias(f"__up_{k}") for k in keys], F.col("island").alias("parent"), F.col("__level").alias("__up"))
-    on = reduce(and_, [F.col(k) == F.col(f"__up_{k}") for k in keys]) & (F.col("parent") < F.col("island")) & (F.col("__up") == F.col("__level") - 1)
-    found = runs.join(up, on, "left").groupBy(*keys, "island").agg(F.max("parent").alias("parent"))
-    return rows.drop("__level").join(found, [*keys, "island"])
+    wanted = runs.select(*keys, (F.col("__level") - 1).alias("__level"), "island")
+    found = asof_floor(wanted, runs.withColumn("parent", F.col("island")), [*keys, "__level"], "island", "island", "parent", fallback_first=False)
+    return rows.drop("__level").join(found.select(*keys, "island", "parent"), [*keys, "island"])
 
 
 def descending(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
@@ -127,3 +192,9 @@ def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int
     """df with row_idx and col_idx: the rows of a key laid out width to a line."""
     rows = numbered(df, keys, order, "__i", 0)
     return rows.withColumn("row_idx", F.expr(f"__i div {width}").cast("long")).withColumn("col_idx", (F.col("__i") % width).cast("long")).drop("__i")
+
+
+def page_of(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], limit: int, offset: int = 0) -> DataFrame:
+    """The rows of each key from offset on, limit of them, in order."""
+    rows = df.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return rows.filter((F.col("__at") > offset) & (F.col("__at") <= offset + limit)).drop("__at")

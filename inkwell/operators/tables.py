@@ -71,3 +71,138 @@ def covered(cells: DataFrame, key: str) -> DataFrame:
     """cells (row_idx, col_idx, row_span) with covered: whether a cell above in the same column spans over it."""
     w = Window.partitionBy(key, "col_idx").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)
     return cells.withColumn("covered", F.coalesce(F.max(F.col("row_idx") + F.col("row_span")).over(w) > F.col("row_idx"), F.lit(False)))
+
+
+def placeholder_columns(marks: Column) -> Column:
+    """Columns that so many cell marks in a row stand for: three or two if they go into them evenly, else up to three."""
+    return F.when((marks == 6) | ((marks % 3 == 0) & (marks >= 6)), F.lit(3)).when(marks % 2 == 0, F.lit(2)).otherwise(F.least(F.lit(3), marks))
+
+
+def mark_hint(text: Column) -> Column:
+    """Columns hinted at by the longest run of two or more cell marks; 0 without one."""
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(f"{CELL}{{2,}}"), F.lit(0)), F.length)), F.lit(0))
+    return bound(longest, lambda n: F.when(n >= 2, placeholder_columns(n)).otherwise(F.lit(0)))
+
+
+def row_candidates(text: Column) -> Column:
+    """array<array<string>>: the rows of cells that a text may hold. Carriage returns and runs of cell marks part rows, single marks cells;
+    blank cells at a row's end go, but for one behind a mark."""
+    blank = lambda t: F.rlike(t, F.lit(r"^[\s\x85\xA0]*$"))
+    clean = lambda t: F.trim(F.replace(t, F.lit("\r"), F.lit("\n")), F.lit("\r\n\t "))
+
+    def kept(line: Column) -> Column:
+        cells = F.transform(F.split(line, CELL), clean)
+        ends = F.when(F.endswith(line, F.lit(CELL)), 1).otherwise(0)
+        return bound(cells, lambda c: F.slice(c, 1, F.greatest(F.array_max(F.transform(c, lambda t, i: F.when(blank(t), 0).otherwise(i + 1))), ends)))
+
+    return F.filter(F.transform(F.split(text, rf"\r+|{CELL}{{2,}}"), kept), lambda r: F.size(r) > 0)
+
+
+def estimated_columns(paragraphs: DataFrame, key: str, text: str, widths: str) -> DataFrame:
+    """key, columns: the columns of a flat table by its paragraphs' widths and runs of marks, if that makes two or more; else by its rows of cells:
+    the longest row's if that is four or less, two if some row has two or nearly all cells are labels, else the longest row's."""
+    cells = row_candidates(F.col(text))
+    rows = paragraphs.select(key, F.greatest(F.coalesce(F.size(widths), F.lit(0)), mark_hint(F.col(text))).alias("__hint"), cells.alias("__rows"))
+    sizes = F.transform("__rows", F.size)
+    labels = F.size(F.filter(F.flatten("__rows"), lambda t: F.rlike(t, F.lit("[：:]"))))
+    rows = rows.select(key, "__hint", F.coalesce(F.array_max(sizes), F.lit(0)).alias("__most"), F.exists(sizes, lambda n: n == 2).alias("__two"), labels.alias("__labels"), F.size(F.flatten("__rows")).alias("__all"))
+    found = rows.groupBy(key).agg(F.max("__hint").alias("hint"), F.max("__most").alias("most"), F.bool_or("__two").alias("two"), F.sum("__labels").alias("labels"), F.sum("__all").alias("cells"))
+    by_cells = F.when(F.col("most") <= 4, F.col("most")).when(F.col("two") | (F.col("labels") >= F.greatest(F.lit(4), F.col("cells") - 1)), F.lit(2)).otherwise(F.col("most"))
+    return found.select(key, F.when(F.col("hint") >= 2, F.col("hint")).otherwise(by_cells).alias("columns"))
+
+
+def needs_recovery(estimates: DataFrame, tables: DataFrame, key: str) -> DataFrame:
+    """key, needed: whether a document's flat paragraphs (key, columns) still need to be made a table: two columns or more, and every table that it
+    has (key, row_count, column_count, most_cells) of one row or narrower than that."""
+    joined = estimates.join(tables, key, "left")
+    narrow = F.col("row_count").isNull() | (F.col("row_count") <= 1) | (F.col("column_count") < F.col("columns")) | (F.col("most_cells") < F.col("columns"))
+    return joined.groupBy(key).agg((F.first(F.col("columns") >= 2) & F.bool_and(narrow)).alias("needed"))
+
+
+def is_white(has_rgb: Column, rgb: Column, colour: Column) -> Column:
+    """Whether a run is white: by its own colour, else by that of the palette."""
+    return F.when(has_rgb, rgb == 0xFFFFFF).otherwise(colour == 8)
+
+
+def unshaded_headers(runs: DataFrame, keys: list[str], shaded: Column, text: Column, white: Column) -> DataFrame:
+    """keys, needed of rows of tables: whether a row has no shading of its own, some visible run, and nothing but white ones."""
+    visible = F.rlike(F.coalesce(text, F.lit("")), F.lit(r"[^\s\x85\xA0]"))
+    return runs.groupBy(*keys).agg((~F.bool_or(shaded) & (F.count_if(visible) > 0) & (F.count_if(visible & white) == F.count_if(visible))).alias("needed"))
+
+
+#: The shading of a header without any sign of colour, with a theme that has a first accent and without.
+ACCENT, PLAIN_HEADER = 0x0100_0004, 0x00BD_814F
+
+
+def header_colours(rows: DataFrame, borders: DataFrame, keys: list[str], accent: Column) -> DataFrame:
+    """keys, colour: of rows the colour that most of their borders (keys, colour) have, of equally frequent ones the greatest; else the theme's accent, else a plain one."""
+    from inkwell.operators.matching import mode
+
+    found = mode(borders.filter("colour <> 0"), keys, "colour", "__colour")
+    return rows.join(found.drop("n"), keys, "left").select(*keys, F.coalesce("__colour", F.when(accent, F.lit(ACCENT)).otherwise(F.lit(PLAIN_HEADER))).alias("colour"))
+
+
+def table_needs(cells: DataFrame, key: str, explicit: Column, nested: Column, renderable: Column, text: Column) -> DataFrame:
+    """key, nested, renderable, empty_cells, needs_borders of tables by their cells: borders are drawn around nested tables, and around content where the
+    table says nothing itself or has empty cells."""
+    some = cells.groupBy(key).agg(F.bool_or(nested).alias("nested"), F.bool_or(renderable).alias("renderable"), F.bool_or(~(text | renderable | nested)).alias("empty_cells"), F.bool_or(explicit).alias("__explicit"))
+    return some.select(key, "nested", "renderable", "empty_cells", (F.col("nested") | (F.col("renderable") & (~F.col("__explicit") | F.col("empty_cells")))).alias("needs_borders"))
+
+
+def rows_of_single_cells(cells: DataFrame, key: str, order: str, columns: str, lead_span: str) -> DataFrame:
+    """key, row_idx, col_idx, span and order (null: an empty cell that fills up the last row): tables whose rows were single cells, laid out anew.
+
+    Only tables of two columns or more with more cells than columns; a first cell that spans them all is a title row by itself. cells:
+    all of single-celled rows, with the table's columns and the first cell's span.
+    """
+    w = Window.partitionBy(key)
+    rows = cells.select(key, order, F.col(columns).alias("__c"), F.col(lead_span).alias("__lead"), (F.row_number().over(w.orderBy(order)) - 1).alias("__i"), F.count(F.lit(1)).over(w).alias("__n"))
+    rows = rows.filter("__c >= 2 and __n > __c").withColumn("__title", F.when(F.col("__lead") == F.col("__c"), 1).otherwise(0))
+    place = F.col("__i") - F.col("__title")
+    is_title = place < 0
+    row = F.when(is_title, F.lit(0)).otherwise(F.col("__title") + F.floor(place / F.col("__c")))
+    laid = rows.select(key, row.cast("long").alias("row_idx"), F.when(is_title, F.lit(0)).otherwise(place % F.col("__c")).cast("long").alias("col_idx"), F.when(is_title, F.col("__c")).otherwise(F.lit(1)).cast("long").alias("span"), order, "__i", "__n", "__c", "__title")
+    last = laid.filter(F.col("__i") == F.col("__n") - 1).filter("col_idx + 1 < __c and (__title = 0 or row_idx > 0)")
+    filler = last.select(key, "row_idx", F.explode(F.sequence(F.col("col_idx") + 1, (F.col("__c") - 1).cast("long"))).alias("col_idx"), F.lit(1).cast("long").alias("span"), F.lit(None).cast(cells.schema[order].dataType).alias(order))
+    return laid.select(key, "row_idx", "col_idx", "span", order).unionByName(filler)
+
+
+#: Fixed value: the widths of a table of three columns whose last one is empty.
+EMPTY_COLUMN_WIDTHS = (1242, 6378, 1621)
+
+
+def trailing_columns(rows: DataFrame, key: str, text: str, cells: str, flat: str, most_width: str) -> DataFrame:
+    """key, columns, widths of tables that get empty columns at their end, by one row per source paragraph: its text, its cells, whether it is flat, its widest cell.
+
+    All paragraphs must be flat, and some end in two marks or more. Columns are those that marks hint at; in a table of single cells also the
+    longest run of marks at a text's end. Three columns without widths of their own get fixed ones, if the third is empty throughout.
+    """
+    tail = F.length(F.regexp_extract(text, f"{CELL}+$", 0))
+    found = rows.groupBy(key).agg(F.bool_and(flat).alias("__flat"), F.max(cells).alias("__now"), F.max(mark_hint(F.col(text))).alias("__hint"), F.max(tail).alias("__tail"), F.max(most_width).alias("__width"))
+    columns = F.when(F.col("__now") == 1, F.greatest("__hint", "__tail")).otherwise(F.col("__hint"))
+    grown = found.withColumn("columns", columns).filter("__flat and columns > __now and __tail >= 2")
+    fixed = (F.col("columns") == 3) & (F.col("__now") < 3) & (F.col("__width") == 0)
+    return grown.select(key, "columns", F.when(fixed, F.array(*[F.lit(w) for w in EMPTY_COLUMN_WIDTHS])).alias("widths"))
+
+
+def trailing_paragraphs(rows: DataFrame, key: str, order: str, cells: str, text: str, columns: str) -> DataFrame:
+    """rows with trailing: whether it is the last row of a table of several columns, of one cell that isn't blank, behind a full row: a paragraph that follows the table."""
+    w = Window.partitionBy(key).orderBy(order)
+    last = F.lead(order).over(w).isNull()
+    full = F.coalesce(F.lag(cells).over(w) >= F.col(columns), F.lit(False))
+    return rows.withColumn("trailing", last & full & (F.col(cells) == 1) & (F.col(columns) > 1) & F.rlike(F.coalesce(text, F.lit("")), F.lit(r"[^\s\x85\xA0]")))
+
+
+def row_alignments(justifications: Column, rows: Column) -> Column:
+    """Alignments of so many rows by the justification at each position of a paragraph: the first, then each change to one that isn't 0, the last one repeated to the end."""
+    changes = lambda j: F.filter(j, lambda x, i: (i == 0) | (F.get(j, i - 1) != x))
+    kept = bound(justifications, lambda j: bound(changes(j), lambda c: F.slice(F.filter(c, lambda x, i: (i == 0) | (x != 0)), 1, F.greatest(F.lit(2), rows))))
+    padded = bound(kept, lambda k: F.concat(k, F.array_repeat(F.element_at(k, -1), F.greatest(F.lit(0), rows - F.size(k)))))
+    return F.when((F.size(justifications) > 0) & (rows > 0), padded).otherwise(F.slice(justifications, 1, 0))
+
+
+def filled_rows(cells: DataFrame, key: str, columns: str) -> DataFrame:
+    """cells (key, row_idx, col_idx) with empty ones (filler) up to the table's columns in each row."""
+    ends = cells.groupBy(key, "row_idx", columns).agg(F.max("col_idx").alias("__last"))
+    missing = ends.filter(F.col("__last") + 1 < F.col(columns)).select(key, "row_idx", F.explode(F.sequence(F.col("__last") + 1, (F.col(columns) - 1).cast("long"))).alias("col_idx"), F.lit(True).alias("filler"))
+    return cells.select(key, "row_idx", "col_idx", F.lit(False).alias("filler")).unionByName(missing)

@@ -39,7 +39,7 @@ def bounded_lookback(t: Tables) -> DataFrame:
 def containing_piece(t: Tables) -> DataFrame:
     points = t.documents.select("doc_id", F.expr("n_chars div 2").alias("cp"))
     pieces = paragraphs(t.documents, "doc_id", F.col("text")).select("doc_id", "para_idx", "start_cp", "end_cp")
-    return m.containing(points, pieces, ["doc_id"], "cp", "start_cp", "end_cp", "para_idx")
+    return m.containing(points, pieces, ["doc_id"], "cp", "start_cp", "end_cp", "para_idx", disjoint=True)
 
 
 @query(f"""select d.doc_id, (d.cp - p.start_cp)::bigint as offset_in_piece, (1024 + 2 * d.cp)::bigint as fc from (select doc_id, n_chars // 2 as cp from documents) d asof join {_PARAGRAPHS} p on d.doc_id = p.doc_id and d.cp >= p.start_cp""")
@@ -185,20 +185,6 @@ def usable_group(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.sum(text.visible(F.col("text"))).alias("visible")).filter(F.col("visible").between(1, 2560))
 
 
-@query("""select o_orderkey, coalesce(nullif(case when o_orderkey % 3 = 0 then 1 end, 0), case when o_orderkey % 2 = 0 then 2 end, 3) as size, coalesce(case when o_orderkey % 5 = 0 then 'direct' end, o_orderstatus) as face from orders""")
-def effective_properties(t: Tables) -> DataFrame:
-    """Direct over character style over paragraph style; null is unset."""
-    return t.orders.select("o_orderkey", F.coalesce(F.expr("nullif(case when o_orderkey % 3 = 0 then 1 end, 0)"), F.expr("case when o_orderkey % 2 = 0 then 2 end"), F.lit(3)).alias("size"), F.coalesce(F.expr("case when o_orderkey % 5 = 0 then 'direct' end"), F.col("o_orderstatus")).alias("face"))
-
-
-@query("""with h as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as slot from orders) select o_custkey, o_orderkey, slot // 6 as section, slot % 6 as hf_type, coalesce(lead(o_orderkey) over (partition by o_custkey order by o_orderkey), o_orderkey) as end_cp from h""")
-def header_slots(t: Tables) -> DataFrame:
-    """Six slots to a section, each ending where the next begins."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    slot = F.row_number().over(w) - 1
-    return t.orders.select("o_custkey", "o_orderkey", slot.alias("slot"), F.coalesce(F.lead("o_orderkey").over(w), "o_orderkey").alias("end_cp")).select("o_custkey", "o_orderkey", F.expr("cast(slot div 6 as bigint)").alias("section"), (F.col("slot") % 6).cast("long").alias("hf_type"), "end_cp")
-
-
 @query("""select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_totalprice desc nulls last, o_orderkey) as rn from orders) where rn <= 3""")
 def capped_rows(t: Tables) -> DataFrame:
     """At most three rows of a key; the filter on the rank becomes a per-key limit before the shuffle."""
@@ -206,18 +192,7 @@ def capped_rows(t: Tables) -> DataFrame:
     return t.orders.select("o_custkey", "o_orderkey", "o_totalprice", F.row_number().over(w).alias("rn")).filter("rn <= 3").drop("rn")
 
 
-@query("""select l_suppkey, case when count(distinct l_returnflag) = 1 and count(*) > 1 then 'pie' when count(*) > 500 then 'line' else 'column' end as chart_type from lineitem group by l_suppkey""")
-def chart_types(t: Tables) -> DataFrame:
-    n, series = F.count(F.lit(1)), F.count_distinct("l_returnflag")
-    return t.lineitem.groupBy("l_suppkey").agg(F.when((series == 1) & (n > 1), F.lit("pie")).when(n > 500, F.lit("line")).otherwise(F.lit("column")).alias("chart_type"))
-
-
-@query("""select l_orderkey, bool_or(l_discount = 0) as needs_borders, count(*) filter (where l_tax > 0.05) = count(*) as all_white from lineitem group by l_orderkey""")
-def table_predicates(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_orderkey").agg(F.bool_or(F.col("l_discount") == 0).alias("needs_borders"), (F.count_if(F.col("l_tax") > 0.05) == F.count(F.lit(1))).alias("all_white"))
-
-
-@query("""select o_orderkey, i::integer as i, 1000 // n + case when i < 1000 % n then 1 else 0 end as width from (select o_orderkey, o_orderkey % 5 + 1 as n from orders where o_orderkey < 500), lateral (select unnest(range(0, n)) as i)""")
+@query("""select o_orderkey, i::integer as i, 1000 // n + case when i < 1000 % n then 1 else 0 end as width from (select o_orderkey, o_orderkey % 5 + 1 as n from orders), lateral (select unnest(range(0, n)) as i)""")
 def even_widths(t: Tables) -> DataFrame:
-    rows = t.orders.filter("o_orderkey < 500").select("o_orderkey", (F.col("o_orderkey") % 5 + 1).alias("n"))
+    rows = t.orders.select("o_orderkey", (F.col("o_orderkey") % 5 + 1).alias("n"))
     return rows.select("o_orderkey", "n", F.explode(F.expr("sequence(0, cast(n as int) - 1)")).alias("i")).select("o_orderkey", "i", F.expr("1000 div n + if(i < 1000 % n, 1, 0)").alias("width"))

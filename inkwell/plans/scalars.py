@@ -184,9 +184,10 @@ def number_formats(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", formats.number_format(F.col("p_size"), F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 9).alias("format"))
 
 
-@query("""select p_partkey, case p_size when 1 then 'solid' when 2 then 'pct5' when 3 then 'pct10' when 10 then 'pct70' when 24 then 'thinHorzCross' when 46 then 'pct45' else null end as some from part where p_size in (1, 2, 3, 10, 24, 46)""")
+@query("""select p_partkey, case when c = 65535 then 'nil' when c <= 25 then ['clear', 'solid', 'pct5', 'pct10', 'pct20', 'pct25', 'pct30', 'pct40', 'pct50', 'pct60', 'pct70', 'pct75', 'pct80', 'pct90', 'horzStripe', 'vertStripe', 'reverseDiagStripe', 'diagStripe', 'horzCross', 'diagCross', 'thinHorzStripe', 'thinVertStripe', 'thinReverseDiagStripe', 'thinDiagStripe', 'thinHorzCross', 'thinDiagCross'][c + 1]
+else case c when 37 then 'pct12' when 38 then 'pct15' when 43 then 'pct35' when 44 then 'pct37' when 46 then 'pct45' when 49 then 'pct55' when 51 then 'pct62' when 52 then 'pct65' when 57 then 'pct85' when 60 then 'pct95' else 'clear' end end as some from (select p_partkey, case when p_partkey % 66 = 65 then 65535 else p_partkey % 66 end as c from part)""")
 def shading_patterns(t: Tables) -> DataFrame:
-    return t.part.filter("p_size in (1, 2, 3, 10, 24, 46)").select("p_partkey", formats.shading(F.col("p_size")).alias("some"))
+    return t.part.select("p_partkey", formats.shading(F.expr("if(p_partkey % 66 = 65, 65535L, p_partkey % 66)")).alias("some"))
 
 
 @query("""select p_partkey, case p_size when 0 then 'none' when 1 then 'black' when 2 then 'blue' when 3 then 'cyan' when 4 then 'green' when 5 then 'magenta' when 6 then 'red' when 7 then 'yellow' when 8 then 'white' when 9 then 'darkBlue' when 10 then 'darkCyan' when 11 then 'darkGreen' when 12 then 'darkMagenta' when 13 then 'darkRed' when 14 then 'darkYellow' when 15 then 'darkGray' when 16 then 'lightGray' else 'none' end as highlight from part""")

@@ -108,9 +108,9 @@ def nesting_islands(t: Tables) -> DataFrame:
     return seq.reset_levels(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], F.col("o_orderkey") % 3).select("o_custkey", "o_orderkey", "island", "parent")
 
 
-@query("""select user_id, bool_and(value < coalesce(lag_v, 1e300)) and count(*) >= 2 as falls from (select user_id, value, lag(value) over (partition by user_id order by event_id) as lag_v from events where event_id % 37 = 0) group by user_id""")
+@query("""select user_id, bool_and(value < coalesce(lag_v, 1e300)) and count(*) >= 2 as falls from (select user_id, value, lag(value) over (partition by user_id order by event_id) as lag_v from events) group by user_id""")
 def descending_sequence(t: Tables) -> DataFrame:
-    return seq.descending(t.events.filter("event_id % 37 = 0").select("user_id", "event_id", "value"), ["user_id"], ["event_id"], F.col("value"), "falls")
+    return seq.descending(t.events.select("user_id", "event_id", "value"), ["user_id"], ["event_id"], F.col("value"), "falls")
 
 
 @query("""select user_id, event_id, i // 7 as row_idx, i % 7 as col_idx from (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as i from events)""")
