@@ -6,6 +6,8 @@ import hashlib
 
 import numpy as np
 
+from inkwell.sources.compound import BadFile
+
 BLOCK = 512
 DEFAULT_PASSWORD = "VelvetSweatshop"
 
@@ -61,3 +63,26 @@ def verified(password: str, salt: bytes, verifier: bytes, verifier_hash: bytes)
     base = base_key(password, salt)
     plain = rc4(verifier + verifier_hash, base)
     return base if hashlib.md5(plain[:16]).digest() == plain[16:32] else None
+
+
+#: The first two bytes of files that aren't obfuscated.
+PLAIN = (b"\xec\xa5", b"\xb3\xa5")
+
+
+def looks_obfuscated(data: bytes) -> bool:
+    """Whether data doesn't begin as a plain file does."""
+    return data[:2] not in PLAIN
+
+
+def provider_key(password: str, table: bytes) -> tuple[bytes, int]:
+    """The base of block keys by a cryptographic provider's header, from the password's digest behind the salt, and where the header ends. The verifier isn't checked."""
+    bits = int.from_bytes(table[20:24], "little") or 40
+    at = 36
+    while at + 2 <= len(table) and table[at : at + 2] != b"\0\0":
+        at += 2
+    at += 2
+    at += -at % 4
+    size, salt = int.from_bytes(table[at : at + 4], "little"), table[at + 4 : at + 20]
+    if size != 16 or len(table) < at + 60 or not int.from_bytes(table[at + 36 : at + 40], "little"):
+        raise BadFile("incomplete encryption header")
+    return hashlib.sha1(salt + password.encode("utf-16-le")).digest()[: bits // 8], at + 60

@@ -79,30 +79,6 @@ def modifiers(data: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
-#: The modifiers that are given by name: opcode, name, kind of operand.
-NAMED = (
-    (0x0835, "bold", "bool"), (0x0836, "italic", "bool"), (0x0837, "strike", "bool"), (0x0838, "outline", "bool"), (0x0839, "shadow", "bool"),
-    (0x083A, "small_caps", "bool"), (0x083B, "caps", "bool"), (0x083C, "hidden", "bool"), (0x2A53, "double_strike", "bool"), (0x0800, "deleted", "bool"),
-    (0x0801, "inserted", "bool"), (0x2A0C, "highlight", "int"), (0x2A3E, "underline", "int"), (0x2A42, "colour_index", "int"), (0x2A48, "vertical", "int"),
-    (0x6870, "colour", "int"), (0x4845, "position", "signed"), (0x484B, "kerning", "int"), (0x4852, "scale", "int"), (0x4A43, "size", "int"),
-    (0x4A4F, "font", "int"), (0x4A30, "style", "int"), (0x6A03, "picture", "int"), (0x2403, "justify", "int"), (0x2461, "justify", "int"),
-    (0x2405, "keep", "bool"), (0x2406, "keep_next", "bool"), (0x2407, "page_break", "bool"), (0x840E, "right", "signed"), (0x840F, "left", "signed"),
-    (0x8411, "first_line", "signed"), (0x2416, "in_table", "bool"), (0x6649, "nesting", "int"), (0x2640, "outline_level", "int"),
-)
-_BY_CODE = {code: (name, kind) for code, name, kind in NAMED}
-
-
-def properties(data: bytes) -> dict[str, int]:
-    """Named properties of a run of modifiers; of one given twice the last holds; others are left aside."""
-    out: dict[str, int] = {}
-    for code, operand in modifiers(data):
-        if code in _BY_CODE:
-            name, kind = _BY_CODE[code]
-            value = int.from_bytes(operand, "little", signed=kind == "signed")
-            out[name] = int(value != 0) if kind == "bool" else value
-    return out
-
-
 def formatting_page(page: bytes, paragraphs: bool) -> list[tuple[int, int, int, bytes]]:
     """(first byte, end, style, modifiers) of the runs of a 512-byte page; at most 101 of characters, 29 of paragraphs fit."""
     if len(page) < 512 or not 0 < page[511] <= (29 if paragraphs else 101):

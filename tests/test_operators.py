@@ -144,5 +144,5 @@ def test_ingest_and_cli(spark, tmp_path, capsys):
     assert sorted(r.status for r in spark.read.parquet(out).collect()) == ["failed", "ok"]
     assert cli.main([str(tmp_path / "nothing"), out]) == 1
     assert cli.main([str(source), str(tmp_path / "docx")]) == 2 and "1 of 2 files" in capsys.readouterr().out
-    made = {r.path[-5:]: r for r in spark.read.parquet(str(tmp_path / "docx")).collect()}
-    assert made["b.doc"].error == "CorruptedFile" and packages.faults(bytes(made["a.doc"].docx)) == []
+    made = {r.path[-5:]: r for r in spark.read.parquet(str(tmp_path / "docx" / "_results")).collect()}
+    assert made["b.doc"].error == "CorruptedFile" and packages.faults((tmp_path / "docx" / "a.docx").read_bytes()) == []

@@ -7,7 +7,7 @@ import struct
 import pytest
 
 from inkwell.sinks import packages
-from inkwell.sources import biff, compound, crypto, structures, word
+from inkwell.sources import biff, compound, crypto, modifiers, structures, word
 
 
 def test_compound_round_trip():
@@ -51,7 +51,7 @@ def test_positions_and_tables():
 def test_modifiers():
     raw = struct.pack("<HB", 0x0835, 1) + struct.pack("<HH", 0x4A43, 28) + struct.pack("<HI", 0x6870, 0x00FF00) + struct.pack("<HB", 0xC615, 3) + b"abc" + struct.pack("<HBBB", 0xE000, 1, 2, 3) + struct.pack("<Hh", 0x840F, -720) + struct.pack("<HB", 0x0835, 0)
     assert [len(o) for _, o in structures.modifiers(raw)] == [1, 2, 4, 3, 3, 2, 1]
-    assert structures.properties(raw) == {"bold": 0, "size": 28, "colour": 0xFF00, "left": -720}
+    assert modifiers.character(raw) == {"bold": 0, "size": 28, "rgb": 0xFF00, "has_rgb": 1} and modifiers.paragraph(raw)["left"] == -720
     assert structures.modifiers(raw[:4]) == [(0x0835, b"\1")] and structures.modifiers(b"\1") == []
 
 
