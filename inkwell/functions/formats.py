@@ -128,6 +128,24 @@ def number_at(data: Column, at: int, size: int) -> Column:
     return F.when(F.octet_length(data) >= at + size, F.conv(digits, 16, 10).cast("long"))
 
 
+def big_number_at(data: Column, at: int, size: int, signed: bool = False) -> Column:
+    """The big-endian number in bytes at (from 0) of binary data, of up to seven bytes; null beyond its end."""
+    value = F.conv(F.hex(F.substring(data, at + 1, size)), 16, 10).cast("long")
+    if signed:
+        value = F.when(value >= 1 << 8 * size - 1, value - (1 << 8 * size)).otherwise(value)
+    return F.when(F.octet_length(data) >= at + size, value)
+
+
+def counted_text(data: Column, at: int, width: int, charset: str = "UTF-8") -> Column:
+    """The text in binary data at, behind its length in bytes, a little-endian number of width bytes; a width of 1 makes a Pascal string."""
+    return F.decode(F.substr(data, F.lit(at + width + 1), number_at(data, at, width).cast("int")), charset)
+
+
+def file_time(ticks: Column) -> Column:
+    """A time in ticks of a ten-millionth of a second since 1601, without zone; 0 has none."""
+    return F.when(ticks != 0, F.timestamp_micros((ticks / 10).cast("long") - 11_644_473_600_000_000).cast("timestamp_ntz"))
+
+
 def shading_operand(data: Column) -> Column:
     """struct<fore, back, pattern> of a shading: ten bytes of two colours and a pattern, a length of ten before them or not, else four of two palette colours; null if shorter."""
 

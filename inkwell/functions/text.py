@@ -92,7 +92,10 @@ def decode_quality(text: Column) -> Column:
     other = F.regexp_count(text, F.lit(rf"[^\p{{L}}\p{{Nd}}\p{{Cc}} {special}{MOJIBAKE}{ENCLOSED}{ARROWS}]"))
     far = F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}&&[^\p{L}\p{Nd}]]"))
     behind = F.regexp_replace(text, rf"(?s)^[^{CJK}{KANA}{HANGUL}]*", "")
-    return 6 * cjk + 5 * kana + 4 * marks - 50 * bad + 2 * plain - 8 * odd(MOJIBAKE) - 5 * odd(ENCLOSED + ARROWS) + other + far - 4 * F.regexp_count(behind, F.lit("[×÷]"))
+    wide = 6 * cjk + 5 * kana + 4 * marks - 50 * bad + 2 * plain - 8 * odd(MOJIBAKE) - 5 * odd(ENCLOSED + ARROWS) + other + far - 4 * F.regexp_count(behind, F.lit("[×÷]"))
+    # a text of Latin letters alone has neither of the rest
+    letters, signs = F.regexp_count(text, F.lit(r"[\p{L}\p{Nd} \t\r\n]")), F.regexp_count(text, F.lit(r"[^\p{L}\p{Nd}\p{Cc} ]"))
+    return F.when(F.rlike(text, F.lit(r"[^\x00-\xFF]")), wide).otherwise(2 * letters + signs)
 
 
 def scripts(text: Column) -> dict[str, Column]:

@@ -206,3 +206,101 @@ def filled_rows(cells: DataFrame, key: str, columns: str) -> DataFrame:
     ends = cells.groupBy(key, "row_idx", columns).agg(F.max("col_idx").alias("__last"))
     missing = ends.filter(F.col("__last") + 1 < F.col(columns)).select(key, "row_idx", F.explode(F.sequence(F.col("__last") + 1, (F.col(columns) - 1).cast("long"))).alias("col_idx"), F.lit(True).alias("filler"))
     return cells.select(key, "row_idx", "col_idx", F.lit(False).alias("filler")).unionByName(missing)
+
+
+def recovered_cells(paragraphs: DataFrame, key: str, order: str, flat: str, text: str, widths: str) -> DataFrame:
+    """key, table, row_idx, col_idx, text (null: filled up): tables made of runs of flat paragraphs, their rows cut to the columns that the run has.
+
+    Runs by islands, columns by estimated_columns(), rows by row_candidates(); a run of fewer than two columns is no table. Row and column are
+    running numbers within a run: windows by document and run, no pairs.
+    """
+    from inkwell.operators.sequences import islands
+
+    rows = islands(paragraphs.select(key, order, F.col(flat).alias("__flat"), F.col(text).alias("__text"), F.col(widths).alias("__widths")), [key], [order], F.col("__flat"), "table").filter("__flat")
+    group = rows.withColumn("__g", F.struct(key, "table"))
+    columns = estimated_columns(group, "__g", "__text", "__widths").filter("columns >= 2").select(F.col(f"__g.{key}").alias(key), F.col("__g.table").alias("table"), "columns")
+    parts = rows.join(columns, [key, "table"]).select(key, "table", "columns", order, F.posexplode(row_candidates(F.col("__text"))).alias("__row", "__cells"))
+    cells = parts.select(key, "table", "columns", order, "__row", F.posexplode("__cells").alias("__at", "text"))
+    line = [order, "__row", F.floor(F.col("__at") / F.col("columns"))]
+    numbered = cells.withColumn("row_idx", F.dense_rank().over(Window.partitionBy(key, "table").orderBy(*line)).cast("long") - 1).withColumn("col_idx", (F.col("__at") % F.col("columns")).cast("long"))
+    ends = numbered.groupBy(key, "table", "columns", "row_idx").agg(F.max("col_idx").alias("__last"))
+    filler = ends.filter("__last + 1 < columns").select(key, "table", "row_idx", F.explode(F.sequence(F.col("__last") + 1, (F.col("columns") - 1).cast("long"))).alias("col_idx"), F.lit(None).cast("string").alias("text"))
+    return numbered.select(key, "table", "row_idx", "col_idx", "text").unionByName(filler)
+
+
+def compact_rows(text: Column, widths: Column) -> Column:
+    """struct<rows, trailing> of one paragraph that holds whole rows of a table; null if it doesn't.
+
+    Its rows are row_candidates(); of nothing but marks, marker_rows() of the defined or hinted columns. Several cells there must be. A last row of
+    one cell behind a full one is no row but a paragraph that follows. Rows of single cells are filled up to the columns that marks hint at.
+    """
+    only_marks = F.rlike(text, F.lit(f"^{CELL}+$"))
+    columns = F.when(F.size(widths) > 0, F.size(widths)).otherwise(mark_hint(text))
+    marked = F.when(only_marks & (columns >= 2), F.transform(marker_rows(F.length(text), columns), lambda n: F.array_repeat(F.lit(""), n.cast("int"))))
+
+    def laid(rows: Column) -> Column:
+        sizes = F.transform(rows, F.size)
+        inferred = F.when(F.forall(sizes, lambda n: n == 1), mark_columns(text)).otherwise(F.lit(0))
+        return bound(F.struct(rows.alias("rows"), inferred.alias("inferred"), F.greatest(inferred, F.array_max(sizes)).alias("columns")), cut)
+
+    def cut(p: Column) -> Column:
+        last, before = F.element_at(p["rows"], -1), F.get(p["rows"], F.size(p["rows"]) - 2)
+        follows = (p["columns"] > 1) & (F.size(p["rows"]) >= 2) & (F.size(last) == 1) & F.rlike(F.element_at(last, 1), F.lit(r"[^\s\x85\xA0]")) & (F.size(before) >= p["columns"])
+        kept = F.when(follows, F.slice(p["rows"], 1, F.size(p["rows"]) - 1)).otherwise(p["rows"])
+        filled = F.transform(kept, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), p["inferred"] - F.size(r)))))
+        return F.struct(filled.alias("rows"), F.when(follows, F.element_at(last, 1)).alias("trailing"))
+
+    rows = bound(row_candidates(text), lambda r: F.when(F.size(r) > 0, r).otherwise(marked))
+    return bound(rows, lambda r: F.when((F.size(r) > 1) | F.exists(r, lambda c: F.size(c) > 1), laid(r)))
+
+
+def row_score(widths: Column, width: Column, indent: Column, spacing: Column, gap_half: Column, n_borders: Column) -> Column:
+    """How much a row's properties say: cells above all, then width, indent, gaps and borders."""
+    return F.size(widths) * 1000 + F.least(F.abs(width), F.lit(999)) + F.least(F.abs(indent), F.lit(99)) + F.when(spacing > 0, 50).otherwise(0) + F.when(gap_half > 0, 25).otherwise(0) + n_borders
+
+
+def resolved_rows(paragraphs: DataFrame, ranges: DataFrame, keys: list[str], ident: str, ahead: int = 64, back: int = 16) -> DataFrame:
+    """keys, ident, best (start of the range), height, header, cant_split of paragraphs (start_cp, end_cp) by the ranges (start_cp, end_cp, score, height, header, cant_split) of row properties.
+
+    Of the ranges within a paragraph the best by score, the last of equals; heights of later ones hold, flags add up. A paragraph without any takes
+    the next that says something, at most `ahead` behind it, else the last before, at most `back` away. Ranges don't overlap: segments and two look-ups, no pairs.
+    """
+    from inkwell.operators.matching import asof_ceiling, asof_floor
+    from inkwell.operators.sequences import segments
+
+    fields = [ident, "score", "height", "header", "cant_split", "__s"]
+    own = paragraphs.select(*keys, "start_cp", (F.col("end_cp") + 1).alias("end_cp"), ident)
+    known = ranges.withColumn("__s", F.col("start_cp"))
+    blank = {f: F.lit(None).cast(known.schema[f].dataType) for f in fields[1:]}
+    base = own.select(*keys, "start_cp", "end_cp", ident, *[c.alias(f) for f, c in blank.items()])
+    over = known.select(*keys, "start_cp", "end_cp", F.lit(None).cast(paragraphs.schema[ident].dataType).alias(ident), *fields[1:])
+    parts = segments(base, keys, "start_cp", "end_cp", fields, over=over)
+    o = F.col("over")
+    within = parts.groupBy(*keys, F.col(f"base.{ident}").alias(ident)).agg(
+        F.max_by(o["__s"], F.struct(o["score"], o["__s"])).alias("best"), F.max_by(F.when(o["height"] > 0, o["height"]), F.when(o["height"] > 0, o["__s"])).alias("height"),
+        F.bool_or(o["header"]).alias("header"), F.bool_or(o["cant_split"]).alias("cant_split"),
+    )
+    record = F.struct("start_cp", "end_cp", "score", "height", "header", "cant_split")
+    # a range's places, behind a paragraph's end or before its start
+    lone = own.join(within.filter("best is null").select(*keys, ident), [*keys, ident])
+    starts = known.filter("score > 0").select(*keys, F.col("start_cp").alias("__s"), record.alias("__next"))
+    rows = asof_ceiling(lone, starts, keys, "end_cp", "__s", "__next", fallback_last=False)
+    rows = asof_floor(rows, known.select(*keys, F.col("start_cp").alias("__s"), record.alias("__last")), keys, "start_cp", "__s", "__last", fallback_first=False)
+    n, p = F.col("__next"), F.col("__last")
+    chosen = F.coalesce(F.when(n["start_cp"] <= F.col("end_cp") - 1 + ahead, n), F.when(F.col("start_cp") - (p["end_cp"] - 1) <= back, p))
+    probed = rows.withColumn("__c", chosen).select(*keys, ident, F.col("__c.start_cp").alias("best"), F.when(F.col("__c.height") > 0, F.col("__c.height")).alias("height"), F.col("__c.header").alias("header"), F.col("__c.cant_split").alias("cant_split"))
+    every = within.filter("best is not null").unionByName(probed)
+    return every.select(*keys, ident, "best", "height", F.coalesce("header", F.lit(False)).alias("header"), F.coalesce("cant_split", F.lit(False)).alias("cant_split"))
+
+
+def finalised_cells(cells: DataFrame, key: str, columns: str) -> DataFrame:
+    """key, row_idx, col_idx, row_span, col_span, filler of a table's cells (row_idx, col_idx, merges: bits 2 merged sideways, 8 merged downwards): rows filled up to the table's
+    columns, merged cells gone, their owners spanning them."""
+    whole = filled_rows(cells, key, columns).join(cells.select(key, "row_idx", "col_idx", "merges"), [key, "row_idx", "col_idx"], "left").withColumn("merges", F.coalesce("merges", F.lit(0)))
+    across, down = Window.partitionBy(key, "row_idx").orderBy("col_idx"), Window.partitionBy(key, "col_idx").orderBy("row_idx")
+    side = (F.col("merges").bitwiseAND(2) != 0) & (F.col("col_idx") > 0)
+    below = (F.col("merges").bitwiseAND(8) != 0) & (F.col("row_idx") > 0)
+    whole = whole.withColumns({"__side": side, "__below": below})
+    whole = whole.withColumn("__a", F.sum(F.when(F.col("__side"), 0).otherwise(1)).over(across)).withColumn("__d", F.sum(F.when(F.col("__below"), 0).otherwise(1)).over(down))
+    spans = whole.withColumn("col_span", F.count(F.lit(1)).over(Window.partitionBy(key, "row_idx", "__a"))).withColumn("row_span", F.count(F.lit(1)).over(Window.partitionBy(key, "col_idx", "__d")))
+    return spans.filter(~F.col("__side") & ~F.col("__below")).select(key, "row_idx", "col_idx", "row_span", "col_span", "filler")

@@ -495,3 +495,49 @@ def column_major_tables(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_orderkey", "l_linenumber", F.expr("transform(sequence(1, int(l_quantity % 4) + 1), i -> concat(l_linenumber, '.', i))").alias("r"), F.expr("array(0, int(l_partkey % 3), int(l_suppkey % 3))").alias("m"))
     whole = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "r", "m"))).alias("all"))
     return assign.column_major_tables(whole.select("l_orderkey", F.transform("all", lambda x: x["r"]).alias("rows"), F.transform("all", lambda x: x["m"]).alias("merged")), "l_orderkey")
+
+
+@query(f"""with p as (select conv_id, turn, t, rows, turn % 5 < 3 as flat, case when conv_id % 3 = 0 then turn % 3 else 0 end as w from {_ROWS_SQL}),
+i as (select *, sum(case when flat is distinct from pf then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as tab from (select *, lag(flat) over (partition by conv_id order by turn) as pf from p)),
+g as (select conv_id, tab, max(greatest(w, {_HINT_SQL})) as hint, max(coalesce(list_max(list_transform(rows, lambda r: len(r))), 0)) as most, bool_or(len(list_filter(rows, lambda r: len(r) = 2)) > 0) as two, sum(len(list_filter(flatten(rows), lambda x: x like '%:%' or x like '%：%'))) as labels, sum(len(flatten(rows))) as cells from (select *, coalesce(list_max(list_transform(regexp_extract_all(t, '\\x07{{2,}}'), lambda m: length(m))), 0) as n from i where flat) group by all),
+c as (select conv_id, tab, case when hint >= 2 then hint when most <= 4 then most when two or labels >= greatest(4, cells - 1) then 2 else most end as n from g),
+r as (select i.conv_id, i.tab, turn, n, unnest(rows) as row, generate_subscripts(rows, 1) as ri from i join c on c.conv_id = i.conv_id and c.tab = i.tab where flat and n >= 2),
+x as (select conv_id, tab, turn, n, ri, unnest(row) as text, generate_subscripts(row, 1) - 1 as at_cell from r),
+y as (select *, dense_rank() over (partition by conv_id, tab order by turn, ri, at_cell // n) - 1 as row_idx, at_cell % n as col_idx from x), e as (select conv_id, tab, n, row_idx, max(col_idx) as m from y group by all)
+select conv_id, tab::bigint as "table", row_idx, col_idx::bigint as col_idx, text from y union all select conv_id, tab::bigint, row_idx, k, null from e, lateral (select unnest(range(m + 1, n)) as k)""")
+def recovered_cells(t: Tables) -> DataFrame:
+    widths = F.expr("if(conv_id % 3 = 0 and turn % 3 > 0, sequence(1, int(turn % 3)), cast(array() as array<int>))")
+    rows = _flat(t).withColumn("flat", F.col("turn") % 5 < 3).withColumn("w", widths)
+    return tables.recovered_cells(rows, "conv_id", "turn", "flat", "t", "w").withColumn("table", F.col("table").cast("long"))
+
+
+@query(f"""with b as (select user_id, event_id, event_id % 5 as k, case event_id % 5 when 0 then repeat(chr(7), (event_id % 9)::integer) when 1 then 'a' || chr(7) || 'b' || chr(13) || 'c' || chr(7) || 'd' || chr(13) || 'end' when 2 then 'x' || chr(7) || chr(7) || 'y' || chr(7) || chr(7) || chr(7) || 'z' when 3 then 'only' else 'p' || chr(7) || 'q' end as t from events)
+select event_id, case k when 0 then case when event_id % 9 >= 2 then list_transform(case when n % c > 0 and n >= c then [n % c] when n < c then [n] else [] end || list_transform(range(0, n // c), lambda i: c), lambda r: list_transform(range(0, r), lambda j: '')) end when 1 then [['a', 'b'], ['c', 'd']] when 2 then [['x', ''], ['y', ''], ['z', '']] when 3 then null else [['p', 'q']] end as rows, case when k = 1 then 'end' end as trailing
+from (select *, (event_id % 9)::integer as n, case when event_id % 9 = 6 or (event_id % 9 % 3 = 0 and event_id % 9 >= 6) then 3 when event_id % 9 % 2 = 0 then 2 else least(3, event_id % 9) end::integer as c from b) where not (k = 0 and (event_id % 9 in (2, 3) or n <= 1))""")
+def compact_rows(t: Tables) -> DataFrame:
+    """Paragraphs of marks, of rows with a trailing one, of single cells, and of none."""
+    own = F.expr("case event_id % 5 when 0 then repeat(char(7), int(event_id % 9)) when 1 then concat('a', char(7), 'b', char(13), 'c', char(7), 'd', char(13), 'end') when 2 then concat('x', repeat(char(7), 2), 'y', repeat(char(7), 3), 'z') when 3 then 'only' else concat('p', char(7), 'q') end")
+    rows = t.events.filter("not (event_id % 5 = 0 and event_id % 9 <= 3)").select("event_id", own.alias("t"))
+    return rows.select("event_id", tables.compact_rows(F.col("t"), F.array().cast("array<int>")).alias("c")).select("event_id", "c.rows", "c.trailing")
+
+
+@query(f"""with {_PARAS.replace('+ 1 as end_cp', 'as end_cp')}, r as (select user_id, event_id as s, event_id + 2 as e, case when event_id % 4 = 0 then 0 else event_id % 7 * 1000 + 5 end as score, event_id % 3 * 10 as height, event_id % 5 = 0 as header from events where event_type = 'purchase' and event_id % 3 = 0),
+i as (select pa.user_id, para_idx, start_cp, end_cp, (select arg_max(s, (score, s)) from r where r.user_id = pa.user_id and s <= end_cp and e > start_cp) as best, (select arg_max(height, s) filter (where height > 0) from r where r.user_id = pa.user_id and s <= end_cp and e > start_cp) as h, (select bool_or(header) from r where r.user_id = pa.user_id and s <= end_cp and e > start_cp) as hd from pa),
+n as (select i.*, (select min(s) from r where r.user_id = i.user_id and score > 0 and s > end_cp and s <= end_cp + 64) as nx, (select max(s) from r where r.user_id = i.user_id and e <= start_cp and start_cp - (e - 1) <= 16) as pv from i), c as (select *, coalesce(best, nx, pv) as b from n)
+select c.user_id, para_idx, b as best, case when best is not null then h else (select case when height > 0 then height end from r where r.user_id = c.user_id and s = b) end as height, coalesce(case when best is not null then hd else (select header from r where r.user_id = c.user_id and s = b) end, false) as header from c""")
+def resolved_rows(t: Tables) -> DataFrame:
+    paragraphs = _paragraphs(t)[1].withColumn("end_cp", F.col("end_cp") - 1)
+    k = F.col("event_id")
+    score = F.when(k % 4 == 0, 0).otherwise(k % 7 * 1000 + 5).cast("long")
+    ranges = t.events.filter("event_type = 'purchase' and event_id % 3 = 0").select("user_id", k.alias("start_cp"), (k + 2).alias("end_cp"), score.alias("score"), (k % 3 * 10 + F.lit(0)).alias("height"), (k % 5 == 0).alias("header"), F.lit(False).alias("cant_split"))
+    return tables.resolved_rows(paragraphs, ranges, ["user_id"], "para_idx").select("user_id", "para_idx", "best", "height", "header")
+
+
+@query("""with c as (select o_custkey, (row_number() over w - 1) // 4 as r, (row_number() over w - 1) % 4 as c, case when o_orderkey % 5 = 0 then 2 when o_orderkey % 7 = 0 then 8 else 0 end as g from orders window w as (partition by o_custkey order by o_orderkey)), e as (select o_custkey, r, max(c) as m from c group by all),
+a as (select *, false as filler from c union all select o_custkey, r, k, 0, true from e, lateral (select unnest(range(m + 1, 5)) as k)), f as (select *, g = 2 and c > 0 as side, g = 8 and r > 0 as below from a),
+h as (select *, sum(case when side then 0 else 1 end) over (partition by o_custkey, r order by c) as ga, sum(case when below then 0 else 1 end) over (partition by o_custkey, c order by r) as gd from f),
+s as (select *, count(*) over (partition by o_custkey, r, ga) as cs, count(*) over (partition by o_custkey, c, gd) as rs from h) select o_custkey, r as row_idx, c as col_idx, rs as row_span, cs as col_span, filler from s where not side and not below""")
+def finalised_cells(t: Tables) -> DataFrame:
+    cells = sequences.chunked(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 4).withColumn("columns", F.lit(5))
+    cells = cells.withColumn("merges", F.expr("case when o_orderkey % 5 = 0 then 2 when o_orderkey % 7 = 0 then 8 else 0 end"))
+    return tables.finalised_cells(cells, "o_custkey", "columns")

@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], C
 
 
 def _load() -> None:
-    from inkwell.plans import derivations, documents, layouts, markups, relations, scalars, sequences, tables, words  # noqa: F401
+    from inkwell.plans import contents, derivations, documents, layouts, markups, relations, scalars, sequences, tables, words  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

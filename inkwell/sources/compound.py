@@ -102,9 +102,9 @@ class Compound:
         return b"".join(out)[: e.size]
 
     def find(self, name: str) -> Entry | None:
-        """The first stream of a name or path, whatever the case."""
+        """The stream of a path, else the first of a name in any storage, whatever the case."""
         low = name.lower()
-        own = sorted((e for e in self.entries if e.kind == STREAM and low in (e.path.lower(), e.path.lower().rsplit("/", 1)[-1])), key=lambda e: e.sid)
+        own = sorted((e for e in self.entries if e.kind == STREAM and low in (e.path.lower(), e.path.lower().rsplit("/", 1)[-1])), key=lambda e: (e.path.lower() != low, e.sid))
         return own[0] if own else None
 
     def read(self, name: str) -> bytes:

@@ -6,6 +6,10 @@ import re
 import struct
 from xml.etree import ElementTree
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from inkwell.sources import biff
 from inkwell.sources.compound import STORAGE, BadFile, Compound, build
 
@@ -207,3 +211,42 @@ def obfuscated_font(data: bytes, key: str) -> bytes:
         return data
     turn = bytes.fromhex(digits)[::-1] * 2
     return bytes(a ^ b for a, b in zip(data[:32], turn, strict=True)) + data[32:]
+
+
+#: How scalable fonts begin; lengths that a font's name may have.
+SFNT, NAME_LENGTHS = (b"\0\1\0\0", b"OTTO"), range(3, 64)
+
+
+def embedded_fonts(data: bytes) -> list[dict]:
+    """name and data of the fonts in a stream of blocks, each with its length in front: what stands before a font's first bytes, back to a zero, is its name."""
+    out, at = [], 0
+    while at + 4 < len(data):
+        size = struct.unpack_from("<i", data, at)[0]
+        at += 4
+        if size <= 0 or at + size > len(data):
+            break
+        block, at = data[at : at + size], at + size
+        places = [p for s in SFNT if (p := block.find(s)) >= 0]
+        if len(block) < 32 or not places:
+            continue
+        head = block[: places[0]].rstrip(b"\0")
+        plain, wide = head.rpartition(b"\0")[2], head.rpartition(b"\0\0")[2].removeprefix(b"\0") + b"\0"
+        for raw, code in ((plain, "ascii"), (wide, "utf-16-le")):  # two-byte names have zeros, so that little of them is left as plain ones
+            name = raw.decode(code, "replace")
+            if len(name) in NAME_LENGTHS and name.isprintable() and "\ufffd" not in name and name.strip():
+                out.append({"name": name, "data": block[places[0] :]})
+                break
+    return out
+
+
+def themes(files: DataFrame, key: str, content: str) -> DataFrame:
+    """key, colours, fonts (maps) of theme parts, in Arrow batches."""
+
+    def run(batches):
+        for batch in batches:
+            found = [theme(c.as_py() or b"") for c in batch.column("__content")]
+            maps = [pa.array([sorted(x[n].items()) for x in found], pa.map_(pa.string(), pa.string())) for n in ("colours", "fonts")]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *maps], [key, "colours", "fonts"])
+
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, F.col(content).alias("__content")).mapInArrow(run, f"{key} {kind}, colours map<string,string>, fonts map<string,string>")
