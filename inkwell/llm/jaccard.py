@@ -12,6 +12,8 @@ from inkwell.llm.common import materialise
 from inkwell.llm.shingles import mixed, shingle_sets
 
 WORDS, PERCENT = 4, 85
+#: A set of copies of more than this share of all rows emits signatures only once; there are at most as many such sets.
+HEAVY_SETS = 10_000
 #: Bits of the number of classes of a profile, from and to; classes of a bucket that are compared at once, and bytes of their profiles.
 LEAST_CLASSES, MOST_CLASSES, BLOCK, BLOCK_BYTES = 9, 20, 4096, 4 << 20
 _U = np.uint64
@@ -87,31 +89,38 @@ def signatures(items: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
+def digest_of(spread: np.ndarray, items: np.ndarray) -> tuple[int, int]:
+    """The 128-bit digest of a set by its hashes, and these spread."""
+    return int(np.add.reduce(spread).view(np.int64)), int(np.add.reduce(mixed(items ^ _U(0x5851F42D4C957F2D))).view(np.int64))
+
+
 def digests(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit digest (f1, f2), its profile and a coarse one of half to once as many classes as shingles."""
+    """doc_id, n_shingles, the set's 128-bit digest (f1, f2) and its profile."""
 
     def run(batches):
         for batch in batches:
-            n, f1, f2 = (np.zeros(batch.num_rows, k) for k in (np.int64, np.uint64, np.uint64))
-            profiles, coarse = [], []
+            n, f1, f2 = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+            profiles = []
             for i, s in enumerate(shingle_sets(batch.column("text"), size)):
                 spread = mixed(s)
-                n[i], f1[i], f2[i] = len(s), np.add.reduce(spread), np.add.reduce(mixed(s ^ _U(0x5851F42D4C957F2D)))
+                n[i], (f1[i], f2[i]) = len(s), digest_of(spread, s) if len(s) else (0, 0)
                 profiles.append(profile_of(spread))
-                coarse.append(folded(np.frombuffer(profiles[-1], np.uint8), 1 << max(LEAST_CLASSES, (len(s) // 2).bit_length()) - 3).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(profiles, pa.binary()), pa.array(coarse, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "profile", "coarse"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(f1), pa.array(f2), pa.array(profiles, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "profile"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, profile binary, coarse binary")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, profile binary")
 
 
-def signature_rows(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """sig, doc_id of the rows of docs; doc_id not null."""
+def signature_rows(docs: DataFrame, heavy: dict[tuple[int, int], int], size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """sig, doc_id of the rows of docs that have a doc_id. Of the sets in heavy (digest: doc_id that stands for it) only that document has rows."""
+    firsts = {f1 for f1, _ in heavy}
 
     def run(batches):
         bands = Bands(percent)
         for batch in batches:
             found, owners, held = [], [], 0
             for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), size), strict=True):
+                if firsts and len(s) and int(np.add.reduce(spread := mixed(s)).view(np.int64)) in firsts and heavy.get(digest_of(spread, s), i) != i:
+                    continue
                 found.append(signatures(s, bands))
                 owners.append(i)
                 held += len(found[-1])
@@ -120,7 +129,7 @@ def signature_rows(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
                     found, owners, held = [], [], 0
             yield _rows(found, owners)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "sig long, doc_id long")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "sig long, doc_id long")
 
 
 def _rows(found: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
@@ -251,8 +260,8 @@ def components(edges: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs.
 
-    Documents with equal sets are one class, held by the least doc_id; only that document has signatures, so that copies, however
-    many, weigh as one. Documents of different sets become candidates by a common signature. What sizes and profiles don't rule out is checked by the whole sets, in three rounds that leave no two
+    Documents with equal sets are one class, held by the least doc_id; of classes that make more than a ten-thousandth of all rows only
+    that document has signatures. Documents of different sets become candidates by a common signature. What sizes and profiles don't rule out is checked by the whole sets, in three rounds that leave no two
     documents of one bucket in different components unchecked: each class against the least one that it shares a bucket
     with; then against the least one of each of its buckets, where components still differ; then, in the buckets that
     still hold several components, all pairs across these. Pairs within a component need no check, so that a bucket of near copies
@@ -264,23 +273,28 @@ def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     own = materialise(digests(docs, size))
     usable = own.filter("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    placed = materialise(usable.join(classes, ["f1", "f2"]).select("doc_id", "rep").distinct())
-    speakers = materialise(placed.select(F.col("rep").alias("doc_id")).distinct())
-    profiles = usable.join(speakers, "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    profiles = materialise(profiles.select(F.col("doc_id").alias("rep"), "n_shingles", "profile", "coarse"))
+    classes = materialise(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    heavy = {(r.f1, r.f2): r.rep for r in classes.filter(F.col("n") > max(64, own.count() // HEAVY_SETS)).select("f1", "f2", "rep").collect()}
+    members = materialise(usable.join(classes, ["f1", "f2"]).select("doc_id", "rep", "f1", "f2", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("profile")).alias("profile")))
+    profiles = materialise(members.filter("profile is not null").dropDuplicates(["rep", "f1", "f2"]).select("rep", "n_shingles", "profile"))
+    placed = members.select("doc_id", "rep").distinct()
 
     bucket = Window.partitionBy("sig")
-    rows = signature_rows(docs.join(speakers, "doc_id", "left_semi"), size, percent)
+    rows = signature_rows(docs, heavy, size, percent)
     least, greatest, many = F.min("doc_id").over(bucket), F.max("doc_id").over(bucket), F.count(F.lit(1)).over(bucket)
     buckets = materialise(rows.select("sig", "doc_id", least.alias("lead"), greatest.alias("last"), (many > 2).alias("many")).filter("lead <> last").drop("last"))
     met = materialise(buckets.filter("doc_id <> lead").groupBy("doc_id", "lead").agg(F.max("many").alias("many")))
 
+    def classed(pairs: DataFrame) -> DataFrame:
+        """Pairs of documents (x, y) as pairs of different classes (a, b), a < b."""
+        known = pairs.join(placed.select(F.col("doc_id").alias("x"), F.col("rep").alias("x_rep")), "x").join(placed.select(F.col("doc_id").alias("y"), F.col("rep").alias("y_rep")), "y").filter("x_rep <> y_rep")
+        return known.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
     def texts_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
         return docs.join(wanted, "doc_id", "left_semi")
 
-    pairs = materialise(near(met.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), profiles, percent))
+    pairs = materialise(near(classed(met.select(F.col("doc_id").alias("x"), F.col("lead").alias("y"))), profiles, percent))
     texts = materialise(texts_of(pairs))
     # the texts of one doc_id hang together
     several = placed.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).filter("b <> top")
@@ -294,15 +308,15 @@ def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
         links = materialise(links.union(linked(apart, texts, size, percent)))
         labels = materialise(components(links))
 
-    component = label(speakers, "doc_id", "c")
+    component = label(placed, "rep", "c").select("doc_id", "c").distinct()
     lead = component.select(F.col("doc_id").alias("lead"), F.col("c").alias("lead_c"))
     split = materialise(met.filter("many").join(component, "doc_id").join(lead, "lead").filter("c <> lead_c").select("doc_id", "lead"))
     if split.limit(1).count():
         sigs = buckets.filter("many").join(split, ["doc_id", "lead"], "left_semi").select("sig").distinct()
-        rest = buckets.filter("many and doc_id <> lead").join(sigs, "sig", "left_semi").select("sig", F.col("doc_id").alias("rep")).distinct()
-        # the coarse profiles go with every bucket of a set, the others only with the pairs that these leave
-        rest = materialise(label(rest, "rep", "c").join(profiles.select("rep", "n_shingles", F.col("coarse").alias("profile")), "rep"))
-        more = materialise(near(across(rest, percent).join(pairs, ["a", "b"], "left_anti"), profiles, percent))
+        rest = buckets.filter("many and doc_id <> lead").join(sigs, "sig", "left_semi").join(placed, "doc_id").select("sig", "rep").distinct()
+        # written once, clustered by class, so that a profile that goes with many buckets is stored once
+        rest = materialise(label(rest, "rep", "c").join(profiles, "rep"))
+        more = materialise(across(rest, percent).join(pairs, ["a", "b"], "left_anti"))
         if more.limit(1).count():
             links = materialise(links.union(linked(more, texts_of(more), size, percent)))
             labels = materialise(components(links))
