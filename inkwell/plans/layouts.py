@@ -482,9 +482,14 @@ def chart_types(t: Tables) -> DataFrame:
     return rows.select("l_suppkey", "kind", *[made[c].alias(c) for c in ("legend", "category_axis", "value_title", "reversed")])
 
 
-@query()
+@query("""with k as (select doc_id, unnest(p) as piece, generate_subscripts(p, 1) as i from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\s]+|\\s+') as p from documents)),
+w as (select *, coalesce(sum(length(piece) - length(replace(piece, 'e', ''))) over b, 0) as run, coalesce(sum(case when regexp_matches(piece, '^\\s') then 1 else 0 end) over b, 0) as cell, coalesce(sum(length(piece)) over b, 0) as at_text,
+max(case when contains(piece, 'e') then length(piece) - length(regexp_extract(piece, '[^e]*$')) end) over () as x from k window b as (partition by doc_id order by i rows between unbounded preceding and 1 preceding)),
+e as (select doc_id, i, last_value(case when contains(piece, 'e') then at_text + length(piece) - length(regexp_extract(piece, '[^e]*$')) end ignore nulls) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as last_e from w),
+s as (select w.doc_id, cell, run, at_text - coalesce(last_e, 0) as first_offset, unnest(q) as part, generate_subscripts(q, 1) - 1 as j from (select *, regexp_extract_all(piece, '[^e]*e|[^e]+') as q from w where not regexp_matches(piece, '^\\s')) w join e on e.doc_id = w.doc_id and e.i = w.i)
+select doc_id, cell::bigint as cell, (run + j)::bigint as run, case when j = 0 then first_offset else 0 end::bigint as "offset", length(part)::bigint as length from s""")
 def cell_runs(t: Tables) -> DataFrame:
-    """Order-dependent, so without SQL; tested against a plain loop."""
+    """Words as cells, and runs that end at each e."""
     rows = t.documents.select("doc_id", F.split(F.coalesce("text", F.lit("")), r"\s+").alias("cells"), F.split(F.coalesce("text", F.lit("")), r"(?<=e)").alias("runs"))
     return assign.cells_to_runs(rows, "doc_id")
 

@@ -78,24 +78,40 @@ def numbering_instances(t: Tables) -> DataFrame:
     return lists.used_definitions(over, used, defs, "o_custkey")
 
 
-@query()
+@query("""with recursive x as (select user_id, event_id as idx, case when event_id % 5 = 0 then -1 else event_id % 50 end as para from events where event_type = 'signup'), s as (select user_id, event_id as shape_id, case when event_id % 7 = 0 then -1 else event_id % 50 end as para from events where event_type = 'error'),
+c as (select x.user_id, x.idx, list(struct_pack(score := case when x.para >= 0 and s.para >= 0 then 100 * abs(x.para - s.para) when x.para >= 0 or s.para >= 0 then 10000 else 0 end + abs(x.idx - s.shape_id % 1000), shape := s.shape_id)) as l from x join s on s.user_id = x.user_id group by all),
+b as (select user_id, idx, list_sort(l) as l, row_number() over (partition by user_id order by idx) as k from c),
+w(user_id, k, used, idx, pick) as (select distinct user_id, 0::bigint, []::bigint[], null::bigint, null::struct(score bigint, shape bigint) from b
+union all select b.user_id, b.k, list_append(w.used, (list_filter(b.l, lambda e: not list_contains(w.used, e.shape))[1]).shape), b.idx, list_filter(b.l, lambda e: not list_contains(w.used, e.shape))[1] from w join b on b.user_id = w.user_id and b.k = w.k + 1)
+select user_id, idx, pick.shape as shape_id, pick.score as score from w where pick is not null""")
 def textbox_shapes(t: Tables) -> DataFrame:
-    """Order-dependent, so without SQL; tested against a plain loop."""
+    """Each box takes the best shape that is left: a loop, in SQL a recursion with a list of those taken."""
     boxes = t.events.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("idx"), F.expr("if(event_id % 5 = 0, -1, event_id % 50)").alias("para"))
     shapes = t.events.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("shape_id"), F.expr("if(event_id % 7 = 0, -1, event_id % 50)").alias("para"))
     return assign.textboxes_to_shapes(boxes, shapes, "user_id")
 
 
-@query()
+@query("""with recursive r as (select user_id, event_id as run, case when event_id % 5 = 0 then 0 else event_id end as o from events where event_type = 'signup'), i as (select user_id, event_id as image, case when event_id % 7 = 0 then 0 else event_id end as o from events where event_type = 'error'),
+f as (select user_id, list(image order by image) as free from i group by user_id), c as (select r.user_id, r.run, r.o, list(struct_pack(d := abs(i.o - r.o), image := i.image)) filter (where i.o <> 0) as near from r join i on i.user_id = r.user_id group by all),
+b as (select c.user_id, run, case when o <> 0 then list_sort(coalesce(near, [])) else [] end as near, free, row_number() over (partition by c.user_id order by run) as k from c join f on f.user_id = c.user_id),
+w(user_id, k, used, run, image) as (select distinct user_id, 0::bigint, []::bigint[], null::bigint, null::bigint from b
+union all select user_id, k, list_append(used, pick), run, pick from (select b.user_id, b.k, b.run, w.used, coalesce((list_filter(b.near, lambda e: not list_contains(w.used, e.image))[1]).image, list_filter(b.free, lambda e: not list_contains(w.used, e))[1], 0) as pick from w join b on b.user_id = w.user_id and b.k = w.k + 1))
+select user_id, run as run_idx, image as image_idx from w where run is not null""")
 def picture_images(t: Tables) -> DataFrame:
-    """Order-dependent, so without SQL; tested against a plain loop."""
+    """Each run takes the nearest image that is left: a loop, in SQL a recursion with a list of those taken."""
     runs = t.events.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("run_idx"), F.expr("if(event_id % 5 = 0, 0, event_id)").alias("offset"))
     images = t.events.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("image_idx"), F.expr("if(event_id % 7 = 0, 0, event_id)").alias("offset"))
     return assign.runs_to_images(runs, images, "user_id")
 
 
-@query()
+@query("""with recursive c as (select l_orderkey, l_linenumber as r, (l_partkey % 5)::integer as c, (l_suppkey % 3 + 1)::integer as s, l_partkey as w from lineitem where l_partkey > 0),
+u as (select l_orderkey, list_transform(range(0, 5), lambda k: coalesce(list_max(list_transform(list_filter(l, lambda e: e.c = k and e.s = 1), lambda e: e.w)), 0)) as widths from (select l_orderkey, list(struct_pack(c := c, s := s, w := w)) as l from c group by l_orderkey)),
+b as (select *, row_number() over (partition by l_orderkey order by r, c, s, w) as k from c where s > 1),
+z(l_orderkey, k, widths) as (select l_orderkey, 0::bigint, widths from u
+union all select l_orderkey, k, list_transform(widths, lambda x, i: case when n > 0 and rest > 0 and i > c and i <= e and x = 0 then greatest(1, rest // n) + case when len(list_filter(widths[c + 1:i - 1], lambda y: y = 0)) < rest % n then 1 else 0 end else x end) from (
+select z.l_orderkey, b.k, z.widths, b.c, least(5, b.c + b.s) as e, len(list_filter(z.widths[b.c + 1:least(5, b.c + b.s)], lambda y: y = 0)) as n, b.w - list_sum(z.widths[b.c + 1:least(5, b.c + b.s)]) as rest from z join b on b.l_orderkey = z.l_orderkey and b.k = z.k + 1))
+select l_orderkey, arg_max(widths, k) as widths from z group by l_orderkey""")
 def solved_widths(t: Tables) -> DataFrame:
-    """Order-dependent, so without SQL; tested against a plain loop."""
+    """Spanning cells share out what is left, one after another: a loop, in SQL a recursion."""
     cells = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("row_idx"), (F.col("l_partkey") % 5).alias("col_idx"), (F.col("l_suppkey") % 3 + 1).alias("span"), F.col("l_partkey").alias("width"))
     return assign.column_widths(cells, ["l_orderkey"], 5)

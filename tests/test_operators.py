@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from inkwell.functions import fields, formats, text
-from inkwell.operators import matching, sequences
+from inkwell.operators import assign, matching, sequences
 from inkwell.sources.containers import files, input_kind, rejected
 
 
@@ -146,3 +146,49 @@ def test_ingest_and_cli(spark, tmp_path, capsys):
     assert cli.main([str(source), str(tmp_path / "docx")]) == 2 and "1 of 2 files" in capsys.readouterr().out
     made = {r.path[-5:]: r for r in spark.read.parquet(str(tmp_path / "docx" / "_results")).collect()}
     assert made["b.doc"].error == "CorruptedFile" and packages.faults((tmp_path / "docx" / "a.docx").read_bytes()) == []
+
+
+def test_prefix_runs():
+    assert assign.prefix_runs(["ab cd", "ef"], ["ab ", "cd\x07", "ef"]) == [(0, 0, 0, 3), (0, 1, 0, 2), (1, 2, 0, 2)]
+    assert assign.prefix_runs([" ab ", "x", "cd"], ["\x07ab", "", " cd"]) == [(0, 0, 1, 2), (2, 2, 1, 2)]
+    assert assign.prefix_runs(["abc"], ["ab", "X"]) == [(0, 0, 0, 2)] and assign.prefix_runs(["a"], []) == [] and assign.prefix_runs([], ["a"]) == []
+
+
+def test_column_major():
+    assert assign.column_major([["a", "b"], ["c", "d"]], []) == [(0, 0, 1, ["a"]), (0, 1, 1, ["b"]), (1, 0, 1, ["c"]), (1, 1, 1, ["d"])]
+    assert assign.column_major([["a", "b", "c"], ["d"]], []) == [(0, 0, 2, ["a", "b"]), (0, 1, 1, ["c"]), (1, 0, 1, []), (1, 1, 1, ["d"])]
+    assert assign.column_major([["a", "b"], ["c", "d"]], [[0, 2], [0, 0]]) == [(0, 0, 1, ["a", "b"]), (0, 1, 1, []), (1, 0, 1, ["c"]), (1, 1, 1, ["d"])]
+    assert assign.column_major([["a", "b"], ["c", "d"]], [[0, 0], [1, 0]])[0] == (0, 0, 2, ["a", "b"])
+    assert assign.column_major([["a", "b"]], []) is None and assign.column_major([["a"], ["b"]], []) is None and assign.column_major([["a", "b"], ["c"]], []) is None
+
+
+def test_repeated_rows_stay(spark):
+    from inkwell.operators import assign, matching, sequences
+
+    points = spark.createDataFrame([("d", 3), ("d", 3), ("d", 9)], "k string, cp int")
+    ranges = spark.createDataFrame([("d", 0, 5, 7), ("d", 2, 4, 8)], "k string, s int, e int, n int")
+    assert sorted(tuple(r) for r in matching.containing(points, ranges, ["k"], "cp", "s", "e", "n").collect()) == [("d", 3, 7), ("d", 3, 7), ("d", 9, None)]
+    apart = spark.createDataFrame([("d", 0, 5, 7), ("d", 5, 6, 8)], "k string, s int, e int, n int")
+    assert sorted(tuple(r) for r in matching.containing(points, apart, ["k"], "cp", "s", "e", "n", disjoint=True).collect()) == [("d", 3, 7), ("d", 3, 7), ("d", 9, None)]
+    twice = spark.createDataFrame([("d", 0, 5), ("d", 0, 5), ("d", 9, 9)], "k string, s int, e int")
+    got = sequences.split_at(twice, points.withColumnRenamed("cp", "c"), ["k"], "s", "e", "c").select("s", "seg_start", "seg_end").collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, 3), (0, 0, 3), (0, 3, 5), (0, 3, 5), (9, 9, 9)]
+
+
+def test_long_chains_and_cycles(spark):
+    from inkwell.operators import matching
+
+    chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(60)] + [(100, 101), (101, 100)], "id long, base long")
+    got = {r.node: r.depth for r in matching.ancestors(chain, "id", "base").groupBy("node").agg({"depth": "max"}).withColumnRenamed("max(depth)", "depth").collect()}
+    assert got[59] == 59 and got[0] == 0 and got[100] == 1
+
+
+def test_paragraphs_grow_in_proportion(spark):
+    from pyspark.sql import functions as F
+
+    from inkwell.operators import sequences
+
+    lines = 60_000
+    df = spark.createDataFrame([(1, "ab\n" * lines), (2, ""), (3, "x")], "doc_id int, text string")
+    got = sequences.paragraphs(df, "doc_id", F.col("text")).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("start_cp").alias("last")).collect()
+    assert {r.doc_id: (r.n, r.last) for r in got} == {1: (lines + 1, 3 * lines), 2: (1, 0), 3: (1, 0)}
