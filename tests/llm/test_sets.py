@@ -2,6 +2,7 @@
 
 import collections
 import glob
+import math
 import random
 import re
 import zlib
@@ -476,3 +477,68 @@ def test_blocks_of_a_bucket(spark):
             both = len(np.intersect1d(sets[i], sets[j]))
             if i % 6 != j % 6 and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
                 assert (i, j) in found[0]
+
+
+def plain_features(text):
+    """The numbers of a text's n-grams, one by one."""
+    make = quality.Featuriser()
+    raw, words, grams = text.encode(), text.split(), []
+    for n in (1, 2, 3):
+        grams += [(int.from_bytes(raw[k : k + n], "big"), n) for k in range(len(raw) - n + 1)]
+    marks = [next((lag for lag in (1, 2, 3, 4) if k >= lag and words[k] == words[k - lag]), 0) for k in range(len(words))]
+    if len(words) > 1 and any(marks):
+        for n in range(1, 5):
+            for k in range(len(marks) - n + 1):
+                value = 0
+                for m in marks[k : k + n]:
+                    value = value << 3 | m
+                grams.append((value, 3 + n))
+    return {int(make._hashed(np.array([g], np.uint32), kind)[0]) for g, kind in grams}
+
+
+def plain_fit(sets, labels, cost=4.0, epochs=12, seed=7):
+    """Weights by feature and the bias: ratios of smoothed shares, then one dual after another."""
+    width, signs = quality.WIDTH, [1 if y == 1 else -1 for y in labels]
+    counts = {s: collections.Counter(f for x, y in zip(sets, signs, strict=True) if y == s for f in x) for s in (1, -1)}
+    totals = {s: width + sum(counts[s].values()) for s in (1, -1)}
+    ratio = lambda f: math.log((counts[1][f] + 1) / totals[1] / ((counts[-1][f] + 1) / totals[-1]))
+    examples = []
+    for x in sets:
+        v = {f: ratio(f) for f in x}
+        length = math.sqrt(sum(w * w for w in v.values())) or 1.0
+        examples.append({f: w / length for f, w in v.items()})
+    caps = {s: cost * 0.5 / (signs.count(s) / len(signs)) for s in (1, -1)}
+    weights, bias, duals, order = collections.Counter(), 0.0, [0.0] * len(sets), np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in order.permutation(len(sets)):
+            x, y = examples[i], signs[i]
+            slack = y * (sum(weights[f] * w for f, w in x.items()) + bias) - 1
+            dual = min(max(duals[i] - slack / (1 + sum(w * w for w in x.values())), 0.0), caps[y])
+            for f, w in x.items():
+                weights[f] += (dual - duals[i]) * y * w
+            bias += (dual - duals[i]) * y
+            duals[i] = dual
+
+    def score(features):
+        v = {f: ratio(f) for f in features}
+        length = math.sqrt(sum(w * w for w in v.values())) or 1.0
+        return 1 / (1 + math.exp(-2 * (sum(weights[f] * w for f, w in v.items()) / length + bias)))
+
+    return score
+
+
+def test_quality_against_plain(spark):
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choice("abcdefghijé") for _ in range(rnd.randint(2, 7)))
+    texts = {k: " ".join(word() for _ in range(25)) if k % 2 else " ".join(word() + rnd.choice("***$") for _ in range(6)) + " buy buy now now " * 3 for k in range(60)}
+    texts |= {60: "", 61: "x", 62: "word " * 20_000, 63: "a a a a"}
+    labels = [(k, k % 2, 0) for k in range(50)]
+    docs = spark.createDataFrame([*texts.items(), (70, None)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.documents_scored(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    taught = [k for k, _, _ in labels if zlib.crc32(str(k).encode()) % 3 != 1]
+    score = plain_fit([plain_features(texts[k]) for k in taught], [k % 2 for k in taught])
+    for k, text in texts.items():
+        assert abs(got[k] - score(plain_features(text))) < 1e-4, k
+    assert abs(got[70] - got[60]) < 1e-9
+    few = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), most_bytes=1)
+    assert few.slope  # the first document of either class always counts
