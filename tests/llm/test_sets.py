@@ -88,6 +88,18 @@ def test_jaccard_of_repeated_ids(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows, 4, 85)
 
 
+def test_jaccard_of_large_groups(spark):
+    """A third of all rows copies of one text, a third edited copies of another, near the threshold on both sides."""
+    rnd = random.Random(41)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 6)))
+    same, base = " ".join(word() for _ in range(90)), [word() for _ in range(120)]
+    texts = [same] * 150 + [" ".join(edited(rnd, base, rnd.choice((0.0, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04)))) for _ in range(150)] + [" ".join(word() for _ in range(rnd.randint(1, 200))) for _ in range(150)]
+    rows = list(enumerate(texts))
+    rnd.shuffle(rows)
+    got = jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == plain_components(rows, 4, 85)
+
+
 def test_signatures_are_complete():
     rnd, bands = np.random.default_rng(4), jaccard.Bands()
     for n in [*range(1, 40), 57, 100, 333, 1000]:
