@@ -136,3 +136,22 @@ def test_ingest(spark, tmp_path):
     ingest(spark, str(source), out, checkpoint, most_bytes=20_000).awaitTermination()
     got = {r.path.rpartition("/")[2]: (r.status, r.error, r.text) for r in spark.read.parquet(out).selectExpr("path", "status", "error", "get(stories, 0).text as text").collect()}
     assert got == {"a.doc": ("ok", None, "one\r"), "b.doc": ("ok", None, "two\r"), "large.doc": ("failed", "FileTooLarge", None), "p.docx": ("failed", "UnsupportedFormat", None)}
+
+
+def test_shapes_and_charts_stand_in_the_text():
+    from inkwell.sources import biff
+
+    record = lambda kind, instance, body, holds=False: struct.pack("<HHI", instance << 4 | (15 if holds else 2), kind, len(body)) + body
+    one = record(0xF004, 0, record(0xF00A, 202, struct.pack("<iI", 1025, 0x40)) + record(0xF00B, 1, struct.pack("<HI", 384, 0xFF)), True)
+    body = "A\x08B\r"
+    tables = {50: record(0xF002, 0, one, True), fx.ANCHORS: fx.positions([1, 4], [struct.pack("<5iHH2s", 1025, 100, 200, 1540, 920, 0, 2 << 1 | 2 << 3 | 4 << 5, bytes(2))]), 56: fx.positions([0, 8, 9], [bytes(8)])}
+    sheet = biff.encode([(0, 1, "a"), (0, 2, "b"), (1, 0, "s"), (1, 1, 1.0), (1, 2, 2.0)])
+    raw = fx.document(body, tables, stories={9: "In a box\r"}, streams={"Chart1": sheet})
+    docx, error, notes = packages.converted(raw, Options())
+    assert error is None and not notes, notes
+    z = zipfile.ZipFile(io.BytesIO(docx))
+    xml = z.read("word/document.xml").decode()
+    tree = ElementTree.fromstring(xml)[0]
+    assert "In a box" in "".join(tree[0].itertext()) and [t.text for t in tree[0].iter(f"{W}t")] == ["A", "In a box", "B"]
+    assert '<wp:positionH relativeFrom="column">' in xml and "<wp:wrapTopAndBottom/>" in xml and 'flipH="1"' in xml and "FF0000" in xml
+    assert "word/charts/chart1.xml" in z.namelist() and "<c:chart " in xml and not packages.faults(docx)
