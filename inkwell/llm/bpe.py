@@ -491,17 +491,6 @@ class Codec:
         return self.decoder.decode(np.frombuffer(packed, "<u4"))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
-def codec(path: str, pattern: str) -> Codec:
-    """One codec for a worker process; its tables have fixed sizes, some 50 MB, whatever it encodes."""
-    if (path, pattern) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
-
-
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -526,7 +515,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, patter
     body = free_name("__text", docs.columns)
 
     def run(batches):
-        own = codec(path, pattern)
+        own = Codec(path, pattern)  # a task's own, so that a worker holds its tables, some 50 MB, no longer than it encodes
         for batch in batches:
             for begin, texts in slices(batch.column(body), AT_ONCE):
                 found = own.encode_all([t or "" for t in texts.to_pylist()])

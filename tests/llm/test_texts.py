@@ -295,7 +295,7 @@ def test_bpe(spark, docs):
         assert r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encoded(docs.limit(0)).collect() == []
-    codec = bpe.codec(*bpe.default_vocabulary())
+    codec = bpe.Codec(*bpe.default_vocabulary())
     rnd = random.Random(1)
     for _ in range(300):
         ids = np.array([rnd.randrange(50256) if rnd.random() < 0.5 else rnd.randrange(256) for _ in range(rnd.randint(0, 30))], "<u4")
@@ -325,6 +325,6 @@ def test_bpe_long_pieces():
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    codec, rnd = bpe.codec(*bpe.default_vocabulary()), random.Random(9)
+    codec, rnd = bpe.Codec(*bpe.default_vocabulary()), random.Random(9)
     for text in ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12_000)), "=" * 9000 + "ab", " " * 5000 + "x", "日本語中文" * 1500]:
         assert codec.encode_all([text])[0].tolist() == own.encode_ordinary(text)
