@@ -119,4 +119,55 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from f
 """
 
-ORACLE: dict[str, str] = {"op6_chats": _OP6, "op9_urls": _OP9, "op10_rules": _OP10}
+
+
+def _op4() -> str:
+    """Matches by their places, candidates from runs of a class, entropy by windows, and each class added where it meets nothing before it."""
+    runs = {"a": "[0-9A-Za-z]+", "b": "[A-Za-z0-9+/_=-]{20,}"}
+    kinds = (  # run, what a whole candidate matches, what it must have, window, bits
+        ("a", "[0-9a-fA-F]{24,}", "[0-9].*[a-fA-F]|[a-fA-F].*[0-9]", 24, 3.0),
+        ("b", ".*", None, 20, 3.7),
+        ("a", "[a-z0-9]{20,}", "[0-9].*[a-z]|[a-z].*[0-9]", 20, 3.6),
+        ("a", "[A-Z0-9]{20,}", "[0-9].*[A-Z]|[A-Z].*[0-9]", 20, 3.6),
+        ("a", "[A-Za-z]{20,}", "[a-z].*[A-Z]", 20, 3.8),
+    )
+    needs = lambda x, n: f"regexp_matches({x}, '{n}')" if n else f"(regexp_matches({x}, '[0-9]') and regexp_matches({x}, '[a-z]') and regexp_matches({x}, '[A-Z]'))"
+    name = lambda k: f"'{secrets.KINDS[k]}'"
+
+    def placed(pattern: str, group: int = 0) -> str:
+        return f"""(select r, v, s + e - length(m) as b, s + e as e from (select r, m, v, e, coalesce(sum(0) over (partition by r), 0) as s from (
+          select r, m, v, sum(length(g) + length(m)) over (partition by r order by i) as e from (
+            select r, unnest(m) as m, unnest(v) as v, unnest(g[1:len(m)]) as g, generate_subscripts(m, 1) as i from (
+              select r, regexp_extract_all(t, '{pattern}') as m, regexp_extract_all(t, '{pattern}', {group}) as v, regexp_split_to_array(t, '{pattern}') as g from d)))))"""
+
+    quote = lambda p: p.replace("'", "''")
+    base = [quote("(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"]
+    parts = ["with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents)"]
+    parts += [f"run_{n} as (select r, v, b, e from {placed(p)})" for n, p in runs.items()]
+    union = f"select r, 0 as k, b, e from {placed(base[0], 1)} where length(v) >= {secrets.LEAST_VALUE}"
+    parts.append(f"u0 as ({union} union all select r, 1, b, e from {placed(base[1])} union all select r, 2, b, e from {placed(base[2])})")
+    for k, (run, whole, need, window, high) in enumerate(kinds, 3):
+        mixed = f"{needs('x', need)} and length(x) >= {window} and list_max(list_transform(range(1, length(x) - {window - 2}), lambda i: list_aggregate(string_split(substr(x, i, {window}), ''), 'entropy'))) >= {high}"
+        chosen = f"select r, {k} as k, b, e from run_{run} c where regexp_full_match(v, '{whole}') and {needs('v', need)} and not regexp_matches(v, '{secrets.ALLOWED}') and len(list_filter(regexp_split_to_array(v, '{secrets.PLACEHOLDER}'), lambda x: {mixed})) > 0"
+        parts.append(f"u{k - 2} as (select * from u{k - 3} union all select * from ({chosen}) c where not exists (select 1 from u{k - 3} u where u.r = c.r and u.b < c.e and u.e > c.b))")
+    kind = "case k " + " ".join(f"when {k} then {name(k)}" for k in range(len(secrets.KINDS))) + " end"
+    text = f"string_agg({kind} || ':' || b || ':' || e, ',' order by b, k, e)"
+    counts = ", ".join(f"count(k) filter (where k = {k}) as n_{secrets.KINDS[k]}" for k in range(3))
+    return ",\n".join(parts) + f"\nselect any_value(doc_id) as doc_id, {counts}, sha256(coalesce({text} filter (where k < 3), '')) as base_sha256, coalesce({text}, '') as spans from d left join u{len(kinds)} u on u.r = d.r group by d.r"
+
+
+_OP8 = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (
+  select distinct doc_id, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+l as (select x, y from e union all select y, x from e),
+r(node, other) as (select doc_id, doc_id from documents union select r.node, l.y from r join l on l.x = r.other)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(other) from r where r.node = d.doc_id) as component_id from documents d left join n on n.doc_id = d.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op4_secrets": _op4(), "op8_jaccard": _OP8, "op6_chats": _OP6, "op9_urls": _OP9, "op10_rules": _OP10}
