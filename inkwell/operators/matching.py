@@ -120,3 +120,12 @@ def ancestors(nodes: DataFrame, node: str, base: str, most: int | None = None) -
         reach, step = reach.union(new), materialise(both(step, step))
         size *= 2
     return reach if most is None else reach.filter(F.col("depth") <= most)
+
+
+def unrooted(nodes: DataFrame, node: str, base: str) -> DataFrame:
+    """node of those whose chain of bases never ends: they are in a cycle, or inherit from one. A base that isn't a node ends a chain."""
+    known = nodes.select(F.col(node).alias("__k"))
+    roots = nodes.filter(F.col(base).isNull()).select(F.col(node).alias("ancestor"))
+    loose = nodes.filter(F.col(base).isNotNull()).join(known, F.col(base) == F.col("__k"), "left_anti").select(F.col(node).alias("ancestor"))
+    ended = ancestors(nodes, node, base).join(roots.union(loose), "ancestor", "left_semi").select(F.col("node").alias(node))
+    return nodes.select(node).join(ended, node, "left_anti")

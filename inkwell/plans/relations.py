@@ -196,3 +196,12 @@ def capped_rows(t: Tables) -> DataFrame:
 def even_widths(t: Tables) -> DataFrame:
     rows = t.orders.select("o_orderkey", (F.col("o_orderkey") % 5 + 1).alias("n"))
     return rows.select("o_orderkey", "n", F.explode(F.expr("sequence(0, cast(n as int) - 1)")).alias("i")).select("o_orderkey", "i", F.expr("1000 div n + if(i < 1000 % n, 1, 0)").alias("width"))
+
+
+@query("""select p_partkey, '[WARNING] base styles of ' || p_partkey || ' run in a circle' as line from part where p_partkey % 10 >= 5""")
+def style_cycles(t: Tables) -> DataFrame:
+    """In each ten the fifth and sixth are each other's base, and the rest behind them inherit from these."""
+    k = F.col("p_partkey")
+    nodes = t.part.select("p_partkey", F.when(k % 10 == 5, k + 1).when(k % 10 > 0, k - 1).alias("base"))
+    line = text.message(F.lit("Warning"), F.concat(F.lit("base styles of "), k.cast("string"), F.lit(" run in a circle")), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return m.unrooted(nodes, "p_partkey", "base").select("p_partkey", line.alias("line"))
