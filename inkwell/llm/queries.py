@@ -156,6 +156,49 @@ def _op4() -> str:
     return ",\n".join(parts) + f"\nselect any_value(doc_id) as doc_id, {counts}, sha256(coalesce({text} filter (where k < 3), '')) as base_sha256, coalesce({text}, '') as spans from d left join u{len(kinds)} u on u.r = d.r group by d.r"
 
 
+def _op7() -> str:
+    """Tokens with their types, windows of them as they are and as templates, alignments by shift with one value a slot, and what they cover."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7)
+    low = lambda x: f"translate({x}, '{upper}', '{upper.lower()}')"
+    token = "(?:[A-Za-z\\x{80}-\\x{10FFFF}]+|[0-9]+(?:[.,][0-9]+)*)+"
+    units = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
+    w, share, run = decontaminate.WINDOW, decontaminate.SHARE, decontaminate.RUN
+
+    def tokens(source: str, key: str) -> str:
+        """key, x (number of the text), v (values), p (template), l (1: literal) as lists."""
+        return f"""(select k, x, list({low("m")} order by i) as v, list(case when num then '#n' when name then '#c' when unit then '#u' else {low("m")} end order by i) as p, list(case when num or name or unit then 0 else 1 end order by i) as l from (
+        select *, coalesce(lag(num) over (partition by x order by i), false) and {low("m")} in ({units}) and not num and not name as unit from (
+          select *, not num and not (i = 1 or regexp_matches(g, '[.!?:\\n\\r"]')) and {low("left(m, 1)")} <> left(m, 1) as name from (
+            select *, regexp_matches(m, '[0-9]') as num from (
+              select k, x, unnest(m) as m, unnest(g[1:len(m)]) as g, generate_subscripts(m, 1) as i from (
+                select k, x, regexp_extract_all(t, '{token}') as m, regexp_split_to_array(t, '{token}') as g from (select distinct {key} as k, text as t, dense_rank() over (order by {key}, text) as x from {source} where {key} is not null and text is not null))))))
+      group by k, x)"""
+
+    windows = lambda lists, size: f"select k, x, i - 1 as pos, {size} as size, array_to_string(v[i:i + {size} - 1], ' ') as e, array_to_string(p[i:i + {size} - 1], ' ') as tp, 2 * list_sum(l[i:i + {size} - 1]) >= {size} as usable, v[i:i + {size} - 1] as v, l[i:i + {size} - 1] as l from {lists}"
+    return f"""
+with it as {tokens("benchmark", "item_id")}, dt as {tokens("documents", "doc_id")},
+iw as (select * from ({windows("(select *, unnest(range(1, len(v) - least(8, len(v)) + 2)) as i from it where len(v) > 0)".replace("8", str(w)), f"least({w}, len(v))")})),
+sizes as (select distinct size as s from iw), dw as (select * from ({windows("(select dt.*, s, unnest(range(1, len(v) - s + 2)) as i from dt, sizes where len(v) >= s)", "s")})),
+n as (select x, count(*) as n, count(*) filter (where usable) as nu from iw group by x),
+met as (
+  select d.k as doc_id, d.x as dx, i.k as item_id, i.x as ix, d.pos - i.pos as shift, i.pos, i.usable, true as exact, list_distinct(list_filter(list_transform(range(1, len(i.v) + 1), lambda j: case when i.l[j] = 0 then struct_pack(a := i.v[j], b := i.v[j]) end), lambda s: s is not null)) as slots from dw d join iw i on d.size = i.size and d.e = i.e
+  union all
+  select d.k, d.x, i.k, i.x, d.pos - i.pos, i.pos, i.usable, false, list_distinct(list_filter(list_transform(range(1, len(i.v) + 1), lambda j: case when i.l[j] = 0 then struct_pack(a := i.v[j], b := d.v[j]) end), lambda s: s is not null)) from dw d join iw i on d.size = i.size and d.tp = i.tp and d.usable and i.usable),
+votes as (select dx, ix, shift, s.a as a, s.b as b, count(*) as c from (select dx, ix, shift, unnest(slots) as s from met where not exact) group by all),
+vals as (select dx, ix, shift, a, arg_max(b, (c, a = b, b)) as b from votes group by dx, ix, shift, a),
+bad as (select distinct m.dx, m.ix, m.shift, m.pos from (select dx, ix, shift, pos, unnest(slots) as s from met where not exact) m join vals v on v.dx = m.dx and v.ix = m.ix and v.shift = m.shift and v.a = m.s.a where v.b <> m.s.b),
+agreed as (select met.* from met left join bad on not met.exact and bad.dx = met.dx and bad.ix = met.ix and bad.shift = met.shift and bad.pos = met.pos where bad.pos is null),
+lines as (
+  select doc_id, dx, item_id, ix, shift, list(distinct pos) as at_all, coalesce(list(distinct pos) filter (where usable), []) as at_usable, list_sort(coalesce(list(distinct pos) filter (where exact), [])) as at_exact, list_distinct(flatten(list(slots))) as slots from agreed group by all),
+pairs as (
+  select doc_id, dx, item_id, ix, len(list_distinct(flatten(list(at_all)))) as n_all, len(list_distinct(flatten(list(at_usable)))) as n_usable, max(len(slots)) as n_slots, bool_and(len(list_filter(slots, lambda s: s.a <> s.b)) > 0) as changed,
+    bool_or(len(list_filter(range(1, len(at_exact) - {run - w - 1}), lambda j: at_exact[j + {run - w}] = at_exact[j] + {run - w})) > 0) as long from lines group by all),
+told as (select p.*, greatest(n_all / n.n, case when nu > 0 then n_usable / nu else 0.0 end) as coverage, case when case when nu > 0 then n_usable / nu else 0.0 end > n_all / n.n then n_usable else n_all end as n_windows, long and n.n + {w - 1} >= {run} as run from pairs p join n on n.x = p.ix),
+best as (select doc_id, item_id, max(struct_pack(coverage := coverage, n_windows := n_windows, n_slots := n_slots, same := not changed)) as b from told where coverage >= {share} or run group by doc_id, item_id)
+select doc_id, item_id, b.n_windows as n_windows, b.coverage as coverage, b.n_slots as n_slots, not b.same as reparameterised from best
+"""
+
+
 _OP8 = r"""
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
@@ -170,4 +213,4 @@ r(node, other) as (select doc_id, doc_id from documents union select r.node, l.y
 select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(other) from r where r.node = d.doc_id) as component_id from documents d left join n on n.doc_id = d.doc_id
 """
 
-ORACLE: dict[str, str] = {"op4_secrets": _op4(), "op8_jaccard": _OP8, "op6_chats": _OP6, "op9_urls": _OP9, "op10_rules": _OP10}
+ORACLE: dict[str, str] = {"op4_secrets": _op4(), "op7_leaks": _op7(), "op8_jaccard": _OP8, "op6_chats": _OP6, "op9_urls": _OP9, "op10_rules": _OP10}
