@@ -74,8 +74,8 @@ def _bytes(value: str, size: int) -> str:
     return "concat(" + ", ".join(f"unhex(lpad(hex(shiftright({value}, {8 * k}) & 255), 2, '0'))" for k in range(size)) + ")"
 
 
-@query("""select p_partkey, case when p_partkey % 4 = 3 then null when p_partkey % 4 = 2 then p_partkey % 17 else p_partkey * 7 end as fore, case when p_partkey % 4 = 3 then null when p_partkey % 4 = 2 then p_size % 17 else p_size * 1000 end as back,
-case when p_partkey % 4 = 3 then null when p_partkey % 4 = 2 then 'clear' when p_size % 5 = 0 then 'nil' when p_size % 5 = 1 then 'solid' when p_size % 5 = 2 then 'pct5' when p_size % 5 = 3 then 'pct10' else 'pct20' end as pattern from part""")
+@query("""select * replace (back::bigint as back) from (select p_partkey, case when p_partkey % 4 = 3 then null when p_partkey % 4 = 2 then p_partkey % 17 else p_partkey * 7 end as fore, case when p_partkey % 4 = 3 then null when p_partkey % 4 = 2 then p_size % 17 else p_size * 1000 end as back,
+case when p_partkey % 4 = 3 then null when p_partkey % 4 = 2 then 'clear' when p_size % 5 = 0 then 'nil' when p_size % 5 = 1 then 'solid' when p_size % 5 = 2 then 'pct5' when p_size % 5 = 3 then 'pct10' else 'pct20' end as pattern from part)""")
 def shading_operands(t: Tables) -> DataFrame:
     direct = f"concat({_bytes('p_partkey * 7', 4)}, {_bytes('p_size * 1000L', 4)}, {_bytes('if(p_size % 5 = 0, 65535L, p_size % 5)', 2)})"
     data = F.expr(f"case p_partkey % 4 when 0 then {direct} when 1 then concat(unhex('0A'), {direct}) when 2 then concat({_bytes('p_partkey % 17', 2)}, {_bytes('p_size % 17L', 2)}) else unhex('0102') end")
@@ -155,9 +155,9 @@ def effective_tables(t: Tables) -> DataFrame:
     return made.select("p_partkey", "e.indent", F.col("e.border_top.style").alias("top"))
 
 
-@query("""select o_orderkey, case when o_orderkey % 5 > 0 and o_orderkey % 3 > 0 then 20 + o_orderkey % 3 when o_orderkey % 2 = 0 and o_orderkey % 7 > 0 then 30 + o_orderkey % 7 else 24 + o_custkey % 2 * 4 end as size,
+@query("""select * replace (size::integer as size) from (select o_orderkey, case when o_orderkey % 5 > 0 and o_orderkey % 3 > 0 then 20 + o_orderkey % 3 when o_orderkey % 2 = 0 and o_orderkey % 7 > 0 then 30 + o_orderkey % 7 else 24 + o_custkey % 2 * 4 end as size,
 o_custkey % 4 = 0 or (o_orderkey % 2 = 0 and o_orderkey % 9 = 0) or (o_orderkey % 5 > 0 and o_orderkey % 6 = 0) as bold,
-case when o_orderkey % 5 > 0 and o_orderkey % 4 = 0 then o_orderkey % 8 = 0 else o_custkey % 3 = 0 or (o_orderkey % 2 = 0 and o_orderkey % 11 = 0) or (o_orderkey % 5 > 0 and o_orderkey % 8 = 0) end as italic from orders""")
+case when o_orderkey % 5 > 0 and o_orderkey % 4 = 0 then o_orderkey % 8 = 0 else o_custkey % 3 = 0 or (o_orderkey % 2 = 0 and o_orderkey % 11 = 0) or (o_orderkey % 5 > 0 and o_orderkey % 8 = 0) end as italic from orders)""")
 def effective_properties(t: Tables) -> DataFrame:
     """Paragraph style, over it character style, over it direct formatting; 24 is an unset size."""
     defaults = {"size": 24, "bold": False, "italic": False}
@@ -179,10 +179,10 @@ def filled_properties(t: Tables) -> DataFrame:
     return rows.select("p_partkey", *properties.filled(F.col("o"), F.col("b"), {"font": 0, "bold": False}))
 
 
-@query("""with r as (select p_partkey, p_size % 3 as j, p_size % 4 as sb, p_size % 5 as lb, p_partkey % 3 as li, p_size % 2 as lv, p_size % 7 = 0 as ex, case when p_size % 6 = 0 then 240 else 300 end as ln, p_partkey % 5 > 0 as st, p_partkey % 4 as sj, p_partkey % 2 as ssb, p_partkey % 7 as slb, p_partkey % 6 as sli, p_partkey % 9 = 0 as sex from part)
+@query("""select * replace (level::bigint as level, line::bigint as line) from (with r as (select p_partkey, p_size % 3 as j, p_size % 4 as sb, p_size % 5 as lb, p_partkey % 3 as li, p_size % 2 as lv, p_size % 7 = 0 as ex, case when p_size % 6 = 0 then 240 else 300 end as ln, p_partkey % 5 > 0 as st, p_partkey % 4 as sj, p_partkey % 2 as ssb, p_partkey % 7 as slb, p_partkey % 6 as sli, p_partkey % 9 = 0 as sex from part)
 select p_partkey, case when j = 0 and st then sj else j end as justify, case when sb = 0 and st then ssb else sb end as space_before, case when sb = 0 and lb = 0 and st and ssb = 0 then slb else lb end as lines_before,
 case when li = 0 and st and sli > 0 then sli else li end as list, case when st and ((li = 0 and sli > 0) or (li > 0 and lv = 0 and sli = li)) then 5 else lv end as level,
-case when not ex and st and (sex or ln = 240) then 360 else ln end as line, ex or (st and sex) as explicit_line from r""")
+case when not ex and st and (sex or ln = 240) then 360 else ln end as line, ex or (st and sex) as explicit_line from r)""")
 def paragraph_styles(t: Tables) -> DataFrame:
     """A paragraph's unset fields from its style; some have none."""
     p, n = F.col("p_partkey"), F.col("p_size").cast("long")
@@ -350,15 +350,15 @@ def header_parts(t: Tables) -> DataFrame:
     return lengths.select("o_custkey", stories.repaired_length(F.col("n"), F.col("cps")).alias("ccp")).join(settings, "o_custkey")
 
 
-@query("""select p_partkey, case when p_size % 3 = 0 then p_size * 1000 else 11906 end as page_width, case when p_size % 4 = 0 then 9000 else 16838 end as page_height, case when p_partkey % 2 = 0 or p_partkey % 5 = 0 then case when p_size % 3 = 0 then 300 else 0 end else 0 end as gutter,
-case when p_size % 3 = 0 then p_size * 1000 else 11906 end > case when p_size % 4 = 0 then 9000 else 16838 end as landscape, p_size % 4 = 0 as title_page from part""")
+@query("""select * replace (page_width::bigint as page_width, page_height::bigint as page_height, gutter::bigint as gutter) from (select p_partkey, case when p_size % 3 = 0 then p_size * 1000 else 11906 end as page_width, case when p_size % 4 = 0 then 9000 else 16838 end as page_height, case when p_partkey % 2 = 0 or p_partkey % 5 = 0 then case when p_size % 3 = 0 then 300 else 0 end else 0 end as gutter,
+case when p_size % 3 = 0 then p_size * 1000 else 11906 end > case when p_size % 4 = 0 then 9000 else 16838 end as landscape, p_size % 4 = 0 as title_page from part)""")
 def section_pages(t: Tables) -> DataFrame:
     wide, high = "if(p_size % 3 = 0, map('page_width', p_size * 1000L, 'gutter', 300L), cast(map() as map<string, bigint>))", "if(p_size % 4 = 0, map('page_height', 9000L, 'title_page', 1L), cast(map() as map<string, bigint>))"
     made = stories.section_page(F.expr(f"map_concat({wide}, {high})"), F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 5 == 0)
     return t.part.select("p_partkey", made.alias("s")).select("p_partkey", *[f"s.{c}" for c in ("page_width", "page_height", "gutter", "landscape", "title_page")])
 
 
-@query("""select o_custkey, arg_min(o_orderkey * 10, o_orderkey) as page_width, 16838 as page_height, 1440 as "left", 1440 as "right", 1440 as top, 1440 as bottom from orders group by o_custkey""")
+@query("""select * replace (page_height::bigint as page_height, "left"::bigint as "left", "right"::bigint as "right", top::bigint as top, bottom::bigint as bottom) from (select o_custkey, arg_min(o_orderkey * 10, o_orderkey) as page_width, 16838 as page_height, 1440 as "left", 1440 as "right", 1440 as top, 1440 as bottom from orders group by o_custkey)""")
 def document_pages(t: Tables) -> DataFrame:
     page = stories.section_page(F.expr("map('page_width', o_orderkey * 10)"), F.lit(False), F.lit(False))
     return stories.document_page(t.orders.select("o_custkey", "o_orderkey", page.alias("page")), "o_custkey", "o_orderkey", "page")

@@ -15,7 +15,7 @@ def mark_column_hint(t: Tables) -> DataFrame:
     return rows.groupBy("user_id").agg(F.max(tables.mark_columns(F.col("s"))).cast("long").alias("n"))
 
 
-@query("""select o_orderkey, i // 3 as row_idx, (i % 3) * 2 as col_idx, 't' || i as token from orders, (select unnest([0, 1, 2, 4, 6]) as i)""")
+@query("""select * replace (row_idx::bigint as row_idx, col_idx::bigint as col_idx) from (select o_orderkey, i // 3 as row_idx, (i % 3) * 2 as col_idx, 't' || i as token from orders, (select unnest([0, 1, 2, 4, 6]) as i))""")
 def compact_grid(t: Tables) -> DataFrame:
     """A title, then tokens in three columns: gaps of two marks move on by one place, gaps of four by two."""
     gap = lambda n: f"repeat(char(7), {n})"

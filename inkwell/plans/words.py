@@ -44,8 +44,8 @@ def _sheet_file(rows: list) -> bytes:
     return fx.document("x", {fx.STYLES: fx.sheet(entries)})
 
 
-@query("""with p as (select p_brand, p_size, p_name, row_number() over (partition by p_brand order by p_partkey, p_size, p_name) - 1 as i from part)
-select p_brand, i as style_id, case when i % 3 = 2 then 'character' else 'paragraph' end as kind, p_name as name, case when i > 0 and i % 3 < 2 then i - 1 end as based_on, p_size as size, p_size % 2 = 1 as bold, case when i % 3 < 2 then p_size % 4 end as justify from p""")
+@query("""select * replace (size::bigint as size, justify::bigint as justify) from (with p as (select p_brand, p_size, p_name, row_number() over (partition by p_brand order by p_partkey, p_size, p_name) - 1 as i from part)
+select p_brand, i as style_id, case when i % 3 = 2 then 'character' else 'paragraph' end as kind, p_name as name, case when i > 0 and i % 3 < 2 then i - 1 end as based_on, p_size as size, p_size % 2 = 1 as bold, case when i % 3 < 2 then p_size % 4 end as justify from p)""")
 def word_styles(t: Tables) -> DataFrame:
     rows = _gathered(t.part, "p_brand", "p_partkey", "p_size", "p_name")
     made = _decoded(rows, "p_brand", _sheet_file).select("p_brand", F.explode("styles").alias("s")).select("p_brand", "s.*")
@@ -68,7 +68,7 @@ def _formatted_file(rows: list) -> bytes:
 _ORDERS_SQL = "(select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 as i from orders)"
 
 
-@query(f"select o_custkey, i * 7 as cp_start, i * 7 + 7 as cp_end, o_orderkey % 200 as size, case when o_orderkey % 3 = 0 then 1 end as italic from {_ORDERS_SQL}")
+@query(f"""select * replace (italic::bigint as italic) from (select o_custkey, i * 7 as cp_start, i * 7 + 7 as cp_end, o_orderkey % 200 as size, case when o_orderkey % 3 = 0 then 1 end as italic from {_ORDERS_SQL})""")
 def word_runs(t: Tables) -> DataFrame:
     made = _decoded(_gathered(t.orders, "o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", _formatted_file)
     return made.select("o_custkey", F.explode("runs").alias("r")).select("o_custkey", "r.cp_start", "r.cp_end", _of("r.properties", "size").alias("size"), _of("r.properties", "italic").alias("italic"))
@@ -96,7 +96,7 @@ def _table_file(rows: list) -> bytes:
     return fx.document(body, {}, {fx.PARAGRAPHS: pages})
 
 
-@query(f"""select o_custkey, i as row, list_transform(range(0, o_orderkey % 3 + 2), lambda j: 100 * (j + 1) + o_orderkey % 50) as widths, list_transform(range(0, o_orderkey % 3 + 2), lambda j: case when o_orderkey % 2 = 0 and j = 0 then 1 when o_orderkey % 2 = 0 and j = 1 then 2 else 0 end) as merges from {_ORDERS_SQL}""")
+@query(f"""select * replace ("row"::integer as "row", merges::bigint[] as merges) from (select o_custkey, i as row, list_transform(range(0, o_orderkey % 3 + 2), lambda j: 100 * (j + 1) + o_orderkey % 50) as widths, list_transform(range(0, o_orderkey % 3 + 2), lambda j: case when o_orderkey % 2 = 0 and j = 0 then 1 when o_orderkey % 2 = 0 and j = 1 then 2 else 0 end) as merges from {_ORDERS_SQL})""")
 def word_tables(t: Tables) -> DataFrame:
     rows = t.orders.select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 3 + 2).cast("int").alias("n"))
     made = _decoded(_gathered(rows, "o_custkey", "o_orderkey", "n"), "o_custkey", _table_file)
@@ -109,7 +109,7 @@ def _list_file(rows: list) -> bytes:
     return fx.document("x", {fx.LISTS: fx.lists(known), fx.OVERRIDES: fx.overrides(over)})
 
 
-@query("""select p_brand, p_partkey + 1 as list_id, level::bigint as level, case when level = 0 then ['Decimal', 'UpperRoman', 'LowerRoman', 'UpperLetter', 'LowerLetter', 'OrdinalNumber'][p_size % 6 + 1] else 'Decimal' end as format, case when level = 0 then '(%1)' else '%' || (level + 1) end as text, case when level = 0 then 10 * p_size else 720 * (level + 1) end as indent, case when level = 0 and p_size % 2 = 1 then p_size + 1 end as start_at from part, range(0, 9) r(level)""")
+@query("""select * replace (start_at::bigint as start_at) from (select p_brand, p_partkey + 1 as list_id, level::bigint as level, case when level = 0 then ['Decimal', 'UpperRoman', 'LowerRoman', 'UpperLetter', 'LowerLetter', 'OrdinalNumber'][p_size % 6 + 1] else 'Decimal' end as format, case when level = 0 then '(%1)' else '%' || (level + 1) end as text, case when level = 0 then 10 * p_size else 720 * (level + 1) end as indent, case when level = 0 and p_size % 2 = 1 then p_size + 1 end as start_at from part, range(0, 9) r(level))""")
 def word_lists(t: Tables) -> DataFrame:
     """Levels of lists, with the starts that overrides give them."""
     rows = _gathered(t.part, "p_brand", "p_partkey", "p_size")
@@ -129,7 +129,7 @@ def _section_file(rows: list) -> bytes:
     return fx.document(body, {fx.SECTIONS: fx.positions([4 * k for k in range(len(rows) + 1)], seds), fx.FLAGS: flags}, tail=tail)
 
 
-@query(f"""select o_custkey, i as section, i * 4 as start_cp, i * 4 + 4 as end_cp, 8000 + o_orderkey % 9000 as page_width, 8000 + o_orderkey % 9000 > 16838 as landscape, case when min(o_orderkey) over (partition by o_custkey) % 2 = 1 then 100 else 0 end as gutter from {_ORDERS_SQL}""")
+@query(f"""select * replace (gutter::bigint as gutter) from (select o_custkey, i as section, i * 4 as start_cp, i * 4 + 4 as end_cp, 8000 + o_orderkey % 9000 as page_width, 8000 + o_orderkey % 9000 > 16838 as landscape, case when min(o_orderkey) over (partition by o_custkey) % 2 = 1 then 100 else 0 end as gutter from {_ORDERS_SQL})""")
 def word_sections(t: Tables) -> DataFrame:
     made = _decoded(_gathered(t.orders, "o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", _section_file)
     rows = made.select("o_custkey", "flags", F.explode("sections").alias("s")).select("o_custkey", "flags", "s.*")
