@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -95,12 +96,24 @@ def quality(text: str) -> int:
     return score
 
 
+_UNSURE = re.compile("[\ufffd×÷\u0b80-\u0bff\u24b6-\u24ff\u27f0-\u27ff]")
+_CONTROL, _PLAIN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"), re.compile(r"[^\W_]|[ \t\r\n]")
+
+
+def _fits(text: str) -> bool:
+    """Whether a decoded text has no replacement characters, and quality() finds one good character in two, or more."""
+    if not _UNSURE.search(text):  # then it is two for a plain character, more for a wide one, one for a sign, none for a control
+        controls = len(_CONTROL.findall(text))
+        return not controls or len(_PLAIN.findall(text)) >= controls
+    return "\ufffd" not in text and quality(text) >= len(text)
+
+
 def best_text(main: bytes, offset: int, raw: int, n: int, language: int) -> str:
     """One-byte text of n characters. The language's code page is taken if it fits: no replacement characters, and every other character a good one.
     Else the best by quality() of two-byte text at either offset, the page at either, and other pages; of equal ones the first in this order."""
     page = CODE_PAGES.get(language, "cp1252")
     own = main[offset : offset + n].decode(page, "replace")
-    if "\ufffd" not in own and quality(own) >= len(own):
+    if _fits(own):
         return own
     tried = [main[at : at + 2 * n].decode("utf-16-le", "replace") for at in (raw, offset) if at + 2 * n <= len(main)]
     tried += [own, *([main[raw : raw + n].decode(page, "replace")] if raw + n <= len(main) else [])]
