@@ -11,6 +11,8 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from inkwell.llm.common import kept_through
 
 SHARDS, SEED, BUCKET_BYTES = 16, 20_240_917, 64 << 20
+#: An identity that more than this share of all records have in common, and more than LEAST_COPIES, is dealt copy by copy; there are at most as many such identities.
+HEAVY_IDENTITIES, LEAST_COPIES = 1000, 10_000
 
 
 def byte_size(text: Column) -> Column:
@@ -18,7 +20,29 @@ def byte_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def shuffled(records: DataFrame, identity: list[str], size: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _copies(records: DataFrame, identity: list[str], total: int, least: int) -> DataFrame:
+    """records with __copy: 0, but for identities with very many records, whose records are numbered, so that each can go its own way.
+
+    Which of these records gets which number doesn't matter, as each number comes up once. They are numbered within their input partitions,
+    from where the partitions before end, so that no task sees more of one identity than a partition holds.
+    """
+    key = F.xxhash64(*identity)
+    counts = records.groupBy(key.alias("__h")).agg(F.count(F.lit(1)).alias("__c"))
+    heavy = [r["__h"] for r in counts.filter(F.col("__c") > max(least, total // HEAVY_IDENTITIES)).select("__h").collect()]
+    if not heavy:
+        return records.withColumn("__copy", F.lit(0).cast("long"))
+    rows = records.withColumns({"__h": key, "__part": F.spark_partition_id()})
+    many = rows.filter(F.col("__h").isin(heavy))
+    before = many.groupBy("__h", "__part").agg(F.count(F.lit(1)).alias("__c"))
+    before = before.select("__h", "__part", F.coalesce(F.sum("__c").over(Window.partitionBy("__h").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__from"))
+    own = F.row_number().over(Window.partitionBy("__h", "__part").orderBy(F.lit(0))) - 1
+    numbered = many.withColumn("__at", own).join(before, ["__h", "__part"]).withColumn("__copy", (F.col("__at") + F.col("__from")).cast("long"))
+    few = rows.filter(F.coalesce(~F.col("__h").isin(heavy), F.lit(True))).withColumn("__copy", F.lit(0).cast("long"))
+    columns = [*records.columns, "__copy"]
+    return few.select(columns).union(numbered.select(columns))
+
+
+def shuffled(records: DataFrame, identity: list[str], size: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, least_copies: int = LEAST_COPIES) -> DataFrame:
     """records with shard and slot, by the law of rows: shards' counts differ by one at most.
 
     Pass one deals the records evenly into buckets by a seeded hash of the identity columns, each bucket a partition of its
@@ -26,15 +50,18 @@ def shuffled(records: DataFrame, identity: list[str], size: str, shards: int = S
     that the same records get the same order whatever the partitioning of the input. Buckets one after another give the
     global order, which is cut into even runs. Only bucket counts, a few bytes each, meet in one place.
 
-    Nulls count as values of the hash; records equal in every column are interchangeable; an empty table stays empty.
+    Nulls count as values of the hash; records equal in every column are interchangeable; very many records of one identity are
+    dealt one by one, so that they spread over all buckets (identity has to be all columns then, or which of them goes where would
+    depend on the input's partitioning). An empty table stays empty.
     Columns named shard or slot give way to the outputs. Partitions come out as the buckets, in global order.
 
-    records are read three times, so they must be the same each time; what isn't is to be materialised before.
+    records are read several times, so they must be the same each time; what isn't is to be materialised before.
     """
     records = records.drop("shard", "slot")
     total = records.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     buckets = max(shards, math.ceil(total.b / bucket_bytes))
-    dealt = records.select(F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(buckets)).cast("int").alias("__bucket"), F.struct(*identity, *[c for c in records.columns if c not in identity]).alias("__record"))
+    way = F.when(F.col("__copy") == 0, F.xxhash64(F.lit(seed), *identity)).otherwise(F.xxhash64(F.lit(seed), *identity, "__copy"))
+    dealt = _copies(records, identity, total.n, least_copies).select(F.pmod(way, F.lit(buckets)).cast("int").alias("__bucket"), F.struct(*identity, *[c for c in records.columns if c not in identity]).alias("__record"))
     begins = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__begin", F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))
     begins = begins.select(F.col("__bucket").alias("__b"), F.coalesce("__begin", F.lit(0)).alias("__begin"))
     mixed = dealt.repartitionById(buckets, F.col("__bucket")).groupBy("__bucket").agg(F.sort_array(F.collect_list("__record")).alias("__all"))

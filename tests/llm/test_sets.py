@@ -388,6 +388,20 @@ def test_shards(spark):
     assert sorted(r.slot for r in few) == [0, 0, 0]
 
 
+def test_shards_of_many_copies(spark):
+    rows = [(i, f"text {i}") for i in range(400)] + [(5, "same")] * 300 + [(None, None)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for n in (3, 7):
+        made = shards.shuffled(df.repartition(n).withColumn("size", shards.byte_size(df["text"])), ["doc_id", "text", "size"], "size", least_copies=50)
+        found.append(sorted((r.shard, r.slot, r.doc_id or -1, r.text or "") for r in made.collect()))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    counts = collections.Counter(s for s, *_ in found[0])
+    assert max(counts.values()) - min(counts.values()) <= 1 and all(sorted(x[1] for x in found[0] if x[0] == s) == list(range(n)) for s, n in counts.items())
+    spread = collections.Counter(s for s, _, i, t in found[0] if t == "same")
+    assert len(spread) == 16 and max(spread.values()) < 60  # not in one bucket, so not in one run of shards
+
+
 def test_write_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, "t" * i) for i in range(100)], "doc_id long, text string")
     shards.write_shards(df, str(tmp_path / "out"), identity=["doc_id"])
