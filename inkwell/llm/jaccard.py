@@ -16,6 +16,8 @@ WORDS, PERCENT = 4, 85
 HEAVY_SETS = 10_000
 #: Bits of the number of classes of a profile, from and to; classes of a bucket that are compared at once, and bytes of their profiles.
 LEAST_CLASSES, MOST_CLASSES, BLOCK, BLOCK_BYTES = 9, 20, 4096, 4 << 20
+#: A signature that this many of about SAMPLE_ROWS documents have is hot: its rows are dealt to SALTS tasks. Results don't depend on these.
+SAMPLE_ROWS, HOT_ROWS, SALTS = 5000, 50, 64
 _U = np.uint64
 
 
@@ -132,6 +134,30 @@ def signature_rows(docs: DataFrame, heavy: dict[tuple[int, int], int], size: int
     return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, "sig long, doc_id long")
 
 
+def buckets_of(docs: DataFrame, heavy: dict[tuple[int, int], int], total: int, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """sig, doc_id, lead, many: the signature rows that are not alone, with the least doc_id of their signature and whether it has more than two rows.
+
+    A signature that a sample shows to be hot is dealt to several tasks, and the least of each of these compared; there are at most
+    as many such signatures as a HOT_ROWS-th of those of the sample. Which signatures are dealt changes nothing in the result.
+    """
+    some = docs.sample(min(1.0, SAMPLE_ROWS / max(total, 1)), 7)
+    hot = materialise(signature_rows(some, heavy, size, percent).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS).select("sig"))
+    rows, any_hot = signature_rows(docs, heavy, size, percent), hot.limit(1).count() > 0
+    many = lambda rows: F.count(F.lit(1)).over(rows) > 2
+    if not any_hot:
+        one = Window.partitionBy("sig")
+        seen = rows.select("sig", "doc_id", F.min("doc_id").over(one).alias("lead"), F.max("doc_id").over(one).alias("last"), many(one).alias("many"))
+        return materialise(seen.filter("lead <> last").drop("last"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    dealt = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "sig", "left").select("sig", "doc_id", salt.alias("salt"))
+    one = Window.partitionBy("sig", "salt")
+    seen = dealt.select("sig", "doc_id", F.col("salt").isNotNull().alias("hot"), F.min("doc_id").over(one).alias("lead"), F.max("doc_id").over(one).alias("last"), many(one).alias("many"))
+    seen = materialise(seen.filter("hot or lead <> last"))
+    whole = materialise(seen.filter("hot").groupBy("sig").agg(F.min("lead").alias("first"), F.max("last").alias("end"), (F.count(F.lit(1)) > 2).alias("more")))
+    known = seen.join(F.broadcast(whole), "sig", "left").filter("not hot or first <> end")
+    return known.select("sig", "doc_id", F.coalesce("first", "lead").alias("lead"), F.coalesce("more", "many").alias("many"))
+
+
 def _rows(found: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
     sig = np.concatenate([np.zeros(0, np.uint64), *found])
     return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), [len(f) for f in found]))], ["sig", "doc_id"])
@@ -274,15 +300,13 @@ def joined(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFr
     own = materialise(digests(docs, size))
     usable = own.filter("doc_id is not null and n_shingles > 0")
     classes = materialise(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    heavy = {(r.f1, r.f2): r.rep for r in classes.filter(F.col("n") > max(64, own.count() // HEAVY_SETS)).select("f1", "f2", "rep").collect()}
+    total = own.count()
+    heavy = {(r.f1, r.f2): r.rep for r in classes.filter(F.col("n") > max(64, total // HEAVY_SETS)).select("f1", "f2", "rep").collect()}
     members = materialise(usable.join(classes, ["f1", "f2"]).select("doc_id", "rep", "f1", "f2", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("profile")).alias("profile")))
     profiles = materialise(members.filter("profile is not null").dropDuplicates(["rep", "f1", "f2"]).select("rep", "n_shingles", "profile"))
     placed = members.select("doc_id", "rep").distinct()
 
-    bucket = Window.partitionBy("sig")
-    rows = signature_rows(docs, heavy, size, percent)
-    least, greatest, many = F.min("doc_id").over(bucket), F.max("doc_id").over(bucket), F.count(F.lit(1)).over(bucket)
-    buckets = materialise(rows.select("sig", "doc_id", least.alias("lead"), greatest.alias("last"), (many > 2).alias("many")).filter("lead <> last").drop("last"))
+    buckets = buckets_of(docs, heavy, total, size, percent)
     met = materialise(buckets.filter("doc_id <> lead").groupBy("doc_id", "lead").agg(F.max("many").alias("many")))
 
     def classed(pairs: DataFrame) -> DataFrame:

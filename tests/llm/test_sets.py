@@ -88,8 +88,10 @@ def test_jaccard_of_repeated_ids(spark):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_components(rows, 4, 85)
 
 
-def test_jaccard_of_large_groups(spark):
+@pytest.mark.parametrize("hot_rows", [2, 50, 1 << 30])
+def test_jaccard_of_large_groups(spark, monkeypatch, hot_rows):
     """A third of all rows copies of one text, a third edited copies of another, near the threshold on both sides."""
+    monkeypatch.setattr(jaccard, "HOT_ROWS", hot_rows)
     rnd = random.Random(41)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 6)))
     same, base = " ".join(word() for _ in range(90)), [word() for _ in range(120)]
