@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -118,9 +118,8 @@ def prefix_runs(cells: Sequence[str], runs: Sequence[str]) -> list[tuple[int, in
             if at >= len(text):
                 run, at = run + 1, 0
                 continue
-            n = 0
-            while n < min(len(rest), len(text) - at) and rest[n] == text[at + n]:
-                n += 1
+            most = min(len(rest), len(text) - at)
+            n = most if rest[:most] == text[at : at + most] else next(i for i in range(most) if rest[i] != text[at + i])
             if n:
                 out.append((k, run, at, n))
                 at, rest = at + n, rest[n:]
@@ -131,17 +130,29 @@ def prefix_runs(cells: Sequence[str], runs: Sequence[str]) -> list[tuple[int, in
     return out
 
 
+#: Rows of a batch of runs.
+MOST_ROWS = 50_000
+
+
+def run_batches(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The runs of each row's cells, in batches of MOST_ROWS and what the last row of each adds."""
+    names = ["cell", "run", "offset", "length"]
+    for batch in batches:
+        at, found = [], [[] for _ in names]
+        for i, (cells, runs) in enumerate(zip(batch.column("cells"), batch.column("runs"), strict=True)):
+            rows = prefix_runs(cells.as_py() or [], runs.as_py() or [])
+            at += [i] * len(rows)
+            for column, values in zip(found, zip(*rows, strict=True), strict=bool(rows)):
+                column += values
+            if len(at) >= MOST_ROWS or i == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in found)], [key, *names])
+                at, found = [], [[] for _ in names]
+
+
 def cells_to_runs(paragraphs: DataFrame, key: str) -> DataFrame:
     """key, cell, run, offset, length of paragraphs (key, cells array<string>, runs array<string>), each by itself, in Arrow batches."""
     kind = paragraphs.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            rows = [(k.as_py(), *x) for k, c, r in zip(batch.column(key), batch.column("cells"), batch.column("runs"), strict=True) for x in prefix_runs(c.as_py() or [], r.as_py() or [])]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(key).type), *(pa.array(c, pa.int64()) for c in columns[1:])], [key, "cell", "run", "offset", "length"])
-
-    return paragraphs.select(key, "cells", "runs").mapInArrow(run, f"{key} {kind}, cell long, run long, offset long, length long")
+    return paragraphs.select(key, "cells", "runs").mapInArrow(lambda batches: run_batches(batches, key), f"{key} {kind}, cell long, run long, offset long, length long")
 
 
 def column_major(rows: Sequence[Sequence[str]], merged: Sequence[Sequence[int]]) -> list[tuple[int, int, int, list[str]]] | None:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from inkwell.functions import fields, formats, text
@@ -154,6 +155,17 @@ def test_prefix_runs():
     assert assign.prefix_runs(["abc"], ["ab", "X"]) == [(0, 0, 0, 2)] and assign.prefix_runs(["a"], []) == [] and assign.prefix_runs([], ["a"]) == []
 
 
+def test_runs_come_in_batches_of_few_rows():
+    words = [f"w{k}" for k in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([[], *[words] * 999]), pa.array([["x"], *[[w + " " for w in words]] * 999])], ["key", "cells", "runs"])
+    got = list(assign.run_batches([batch], "key"))
+    assert max(b.num_rows for b in got) < assign.MOST_ROWS + 400 and sum(b.num_rows for b in got) == 999 * 400
+    assert [x for b in got for x in b.column("key").to_pylist()] == [k for k in range(1, 1000) for _ in words]
+    assert got[-1].slice(got[-1].num_rows - 1).to_pylist() == [{"key": 999, "cell": 399, "run": 399, "offset": 0, "length": 4}]
+    none = list(assign.run_batches([batch.slice(0, 1)], "key"))
+    assert [b.num_rows for b in none] == [0] and none[0].schema.field("key").type == pa.int64()
+
+
 def test_column_major():
     assert assign.column_major([["a", "b"], ["c", "d"]], []) == [(0, 0, 1, ["a"]), (0, 1, 1, ["b"]), (1, 0, 1, ["c"]), (1, 1, 1, ["d"])]
     assert assign.column_major([["a", "b", "c"], ["d"]], []) == [(0, 0, 2, ["a", "b"]), (0, 1, 1, ["c"]), (1, 0, 1, []), (1, 1, 1, ["d"])]
