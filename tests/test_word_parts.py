@@ -226,3 +226,15 @@ def test_obfuscated_texts_that_would_look_plain(spark):
     found = contents.obfuscated_texts(SimpleNamespace(documents=spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     expected = sorted((i, hashlib.md5((t or "").encode()).hexdigest(), bool(t)) for i, t in rows)
     assert sorted((r.doc_id, r.plain, r.hidden) for r in found) == expected
+
+
+def test_more_than_a_thousand_lists(spark):
+    n = 1500
+    table = fx.lists([(k + 1, 0, [fx.level(k, 0, "x")]) for k in range(n)])
+    known = sheets.lists(table, 0, len(table)).value
+    assert [x["list_id"] for x in known] == list(range(1, n + 1)) and all(x["levels"][0]["start_at"] == x["list_id"] - 1 for x in known)
+    over = bytes(4) + fx.overrides([(k + 1, [fx.override(0, start=k + 7)]) for k in range(n)])
+    assert [(x["list_id"], x["levels"][0]["start_at"]) for x in sheets.overrides(over, 4, len(over) - 4, known).value] == [(k + 1, k + 7) for k in range(n)]
+    part = spark.range(2300).selectExpr("'B' as p_brand", "id as p_partkey", "cast(id % 50 + 1 as int) as p_size")
+    rows = words.word_lists(SimpleNamespace(part=part)).filter("level = 0").collect()
+    assert sorted((r.list_id, r.indent, r.start_at) for r in rows) == [(k + 1, 10 * (k % 50 + 1), k % 50 + 2 if k % 2 == 0 else None) for k in range(2300)]
